@@ -66,7 +66,7 @@ def prefix_sums(totals: DataFrame, keys: list[str], order: str, value: str, out:
     run = F.floor(F.col(order) / F.lit(span))
     inner = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     low = totals.withColumn("_run", run).withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    outer = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    outer = (Window.partitionBy(*keys) if keys else Window).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = totals.withColumn("_run", run).groupBy(*keys, "_run").agg(F.sum(value).alias("_sum"))
     runs = runs.withColumn("_base", F.coalesce(F.sum("_sum").over(outer), F.lit(0)))
     on = F.col("a._run") == F.col("b._run")

@@ -24,7 +24,7 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 class PieceIds(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers; holds at most `bound` pieces."""
 
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 500_000):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
