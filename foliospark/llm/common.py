@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,3 +113,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def as_null(kind: str) -> Column:
     return F.lit(None).cast(kind)
+
+
+def by_bucket(rows: DataFrame, buckets: int, function: Callable[[list[bytes], list[bytes]], Iterator[list]], schema: str) -> DataFrame:
+    """function(blobs of kind 0, blobs of kind 1) of each bucket of rows(bucket, kind, blob), one bucket at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+        for b in batches:
+            for bucket, kind, blob in zip(b["bucket"].to_pylist(), b["kind"].to_pylist(), b["blob"].to_pylist()):
+                if bucket != now and now is not None:
+                    yield from function(*held)
+                    held = ([], [])
+                now = bucket
+                held[kind].append(blob)
+        if now is not None:
+            yield from function(*held)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.record_batch([pa.array(c) for c in columns], names)
+
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(named, schema)

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocked, grouped, pairs_meet, roots
-from .common import bounded_batches, components, documents, written
+from .bytesets import mixed
+from .common import bounded_batches, by_bucket, components, documents, written
 
 SEED = 42  # of XXH64
 
@@ -123,6 +124,106 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     return signs.join(joined, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+_CELL = np.dtype([("key", "<u8"), ("rep", "<i8")])
+
+
+def _deal(radius: int, lanes: int, buckets: int):
+    """Classes (rep, fp0, ...) by bucket of their table keys. Of a batch's classes with one key the least goes on, linked to the others."""
+    kept = np.array(masks(radius), np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep = b["rep"].to_numpy()
+            order = np.argsort(rep, kind="stable")
+            rep = rep[order]
+            cells, links = [], []
+            for lane in range(lanes):
+                fp = b[f"fp{lane}"].to_numpy()[order].view(np.uint64)
+                for i, m in enumerate(kept):
+                    key = mixed((fp & m) ^ mixed(np.full(1, lane * len(kept) + i + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                    first, inverse = np.unique(key, return_index=True, return_inverse=True)[1:]
+                    rest = first[inverse] != np.arange(len(key))
+                    cell = np.zeros(len(first), _CELL)
+                    cell["key"], cell["rep"] = key[first], rep[first]
+                    cells.append(cell)
+                    links.append(np.stack([rep[rest], rep[first[inverse]][rest]], 1))
+            cell, link = np.concatenate(cells), np.unique(np.concatenate(links), axis=0)
+            where = (cell["key"] >> np.uint64(8)) % np.uint64(buckets)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+            out = [(k, 0, cell[order[s:e]].tobytes()) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
+            if len(link):
+                out.append((int(link[0, 0]) % buckets, 1, link.astype("<i8").tobytes()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "blob"])
+
+    return run
+
+
+def _meet(found: list[bytes], linked: list[bytes]) -> Iterator[list]:
+    """Candidate links of a bucket: each class with the least of its key and with the one before it."""
+    pairs = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in linked]
+    if found:
+        x = np.concatenate([np.frombuffer(f, _CELL) for f in found])
+        x = x[np.lexsort((x["rep"], x["key"]))]
+        same = np.flatnonzero(x["key"][1:] == x["key"][:-1]) + 1
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], x["key"][1:] != x["key"][:-1]]), np.arange(len(x)), 0))
+        rep = x["rep"]
+        pairs += [np.stack([rep[same], rep[same - 1]], 1), np.stack([rep[same], rep[start[same]]], 1)]
+    u = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    yield [u[:, 0].copy(), u[:, 1].copy()]
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs(u, v) of ids whose sets of shingles share `similarity` or more of their union."""
+    ids = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "doubtful")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)).tobytes() for t in b["text"]]
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array(data, pa.binary())], ["doc_id", "hashes"])
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.record_batch([b["u"], b["v"], pa.array(good, pa.bool_())], ["u", "v", "good"])
+
+    sets = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(shingles, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+    return both.mapInArrow(share, "u long, v long, good boolean").filter("good").select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, radius: int = 3, margin: float = 0.1, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, keep) of docs(doc_id, text) with an id: keep is the least id of the document's group.
+
+    Word-shingle similarity (Jaccard) of `similarity` or more is read off `lanes` fingerprints of 64 bits each:
+    two texts of one length that share it differ in acos(2s / (1 + s)) / pi of all bits. Each fingerprint is
+    entered in the tables of `radius`, so pairs within it in any lane meet, and many beyond it. What meets is
+    linked in stars and chains, never as all pairs, and each link is tested on all bits; one whose similarity by
+    bits is less than margin from the threshold is decided by the shingles themselves.
+    """
+    signs = written(signed(docs.filter("doc_id is not null"), shingle, lanes), "signs")
+    bits = [f"fp{i}" for i in range(lanes)]
+    classes = written(signs.groupBy(*bits).agg(F.min("doc_id").alias("rep")), "classes")
+    buckets = max(1, -(-classes.count() * lanes * len(masks(radius)) * _CELL.itemsize // bucket_bytes))
+    met = by_bucket(classes.mapInArrow(_deal(radius, lanes, buckets), "bucket int, kind int, blob binary"), buckets, _meet, "u long, v long")
+    one, two = classes.select(F.col("rep").alias("u"), F.struct(*bits).alias("a")), classes.select(F.col("rep").alias("v"), F.struct(*bits).alias("b"))
+    apart = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in bits), F.lit(0))
+
+    def limit(s: float) -> int:
+        return int(np.arccos(min(1.0, 2 * s / (1 + s))) / np.pi * 64 * lanes)
+
+    near = written(met.filter("u <> v").distinct().join(one, "u").join(two, "v").select("u", "v", apart.alias("apart")).filter(F.col("apart") <= limit(similarity - margin)), "near")
+    doubtful = near.filter(F.col("apart") > limit(min(1.0, similarity + margin))).select("u", "v")
+    links = near.filter(F.col("apart") <= limit(min(1.0, similarity + margin))).select("u", "v").union(_checked(docs, doubtful, shingle, similarity))
+    labels = components(links)
+    known = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*bits, F.coalesce("component", "rep").alias("keep"))
+    return signs.join(known, bits).select("doc_id", "keep")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash_components(documents(spark, sf_dir))
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import Batch, mixed, repeated
-from .common import bounded_batches, documents, written
+from .common import bounded_batches, by_bucket, documents, written
 
 K = 32
 NO_ID = -(1 << 63)
@@ -119,29 +119,6 @@ def _scan(rows: DataFrame, least: int, buckets: int, size: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, kind int, blob binary")
 
 
-def by_bucket(rows: DataFrame, buckets: int, function, schema: str) -> DataFrame:
-    """function(blobs of kind 0, blobs of kind 1) of each bucket, one bucket at a time."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [])
-        for b in batches:
-            for bucket, kind, blob in zip(b["bucket"].to_pylist(), b["kind"].to_pylist(), b["blob"].to_pylist()):
-                if bucket != now and now is not None:
-                    yield from function(*held)
-                    held = ([], [])
-                now = bucket
-                held[kind].append(blob)
-        if now is not None:
-            yield from function(*held)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in run(batches):
-            yield pa.record_batch([pa.array(c) for c in columns], names)
-
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(named, schema)
-
-
 def _again(hot_batches: int):
     """Of a bucket's anchors those that occur again: (k, p, h, hot); hot is -1 where only the batch knows."""
 

@@ -21,7 +21,7 @@ from .blocks import blocked, grouped, pairs_meet, roots
 from .bytesets import mixed
 from .common import bounded_batches, components, written
 
-TABLES, PROBES, WIDTH, SEED = 8, 4, 2.0, 17
+TABLES, PROBES, WIDTH, SEED = 8, 4, 1.2, 17
 
 
 def projections(dim: int, tables: int = TABLES) -> np.ndarray:
@@ -91,14 +91,12 @@ def link_cells(threshold: float, tables: int, probes: int, width: float):
         near, rep, n, unit = near[np.ix_(some, some)], rep[some], n[some], unit[some]
         root = roots(near, rep)
         here = group["key"][0].as_py()
-        keys = np.sort(cells(unit, tables, probes, width), axis=1)
-        below = [set(k[k < here].tolist()) for k in keys]  # a pair counts here unless it meets at a lesser key
-        count = np.zeros(len(rep), np.int64)
-        for i in range(len(rep)):
-            for j in np.flatnonzero(near[i, i + 1 :]) + i + 1:
-                if below[i].isdisjoint(below[j]):
-                    count[i] += n[j]
-                    count[j] += n[i]
+        keys = cells(unit, tables, probes, width)
+        lesser, inverse = np.unique(keys, return_inverse=True)
+        met = np.zeros((len(rep), len(lesser)), np.float32)
+        met[np.arange(len(rep))[:, None], inverse.reshape(keys.shape)] = 1
+        met = met[:, (lesser < here) & (met.sum(0) > 1)]  # a pair counts here unless it meets at a lesser key
+        count = (near & ~(met @ met.T > 0)) @ n
         return {"rep": rep, "links": count, "root": root}
 
     return links

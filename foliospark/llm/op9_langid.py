@@ -141,10 +141,12 @@ def train(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000, max_lan
 def predict(docs: DataFrame, model: Model | None, batch_chars: int = 4_000_000) -> DataFrame:
     """docs with _lang and _score added: `und` and 0 where the text is null, empty or has no letter.
 
-    Rows are independent; other columns pass through as they are; a table without labels predicts `und` alone.
+    Rows are independent; other columns pass through as they are (ones named _letter, _lang or _score are dropped
+    first); a table without labels predicts `und` alone.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 500)
+    docs = docs.drop("_letter", "_lang", "_score")
     shared = spark.sparkContext.broadcast(model)
     kept = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_letter boolean, _lang string, _score double"])
