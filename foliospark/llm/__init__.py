@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-from . import op10_mixing as _mixing
-from .op1_secrets import op1_secrets
-from .op2_simhash import op2_simhash
-from .op3_repeats import op3_repeats
-from .op4_quality import op4_quality
-from .op5_packing import op5_packing
-from .op6_sharding import op6_sharding
-from .op7_records import op7_records
-from .op8_lattice import op8_lattice
-from .op9_langid import op9_langid
-from .op10_mixing import op10_mixing
+from . import op1_secrets, op2_simhash, op3_repeats, op4_quality, op5_packing, op6_sharding, op7_records, op8_lattice, op9_langid, op10_mixing
 
-#: query -> function of (spark, sf_dir)
-QUERIES = {
-    f.__name__: f
-    for f in (op1_secrets, op2_simhash, op3_repeats, op4_quality, op5_packing, op6_sharding, op7_records, op8_lattice, op9_langid, op10_mixing)
-}
-#: query -> DuckDB SQL with the same result; the others are tested against brute force
-ORACLES: dict[str, str] = {"op10_mixing": _mixing.SQL}
+_MODULES = (op1_secrets, op2_simhash, op3_repeats, op4_quality, op5_packing, op6_sharding, op7_records, op8_lattice, op9_langid, op10_mixing)
+
+#: query -> function of (spark, sf_dir): each module has the one of its own name
+QUERIES = {name: getattr(m, name) for m in _MODULES for name in [m.__name__.rpartition(".")[2]]}
+#: query -> DuckDB SQL with the same result, where SQL can express it; the others are tested against brute force
+ORACLES: dict[str, str] = {name: m.SQL for m in _MODULES if hasattr(m, "SQL") for name in [m.__name__.rpartition(".")[2]]}

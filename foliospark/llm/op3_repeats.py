@@ -180,6 +180,7 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iter
     def shared(a: int, b: int, i: int, n: int, side: int) -> int:
         return min(_lcp(a, b, n), size[side][i])
 
+    rank = {i: n for n, i in enumerate(order)}
     lcp = [shared(right[i], right[i + 1], order[i], n, 1) for i in range(len(order) - 1)]
     for r, first, last in intervals(lcp):
         if r + m < least:
@@ -189,16 +190,38 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iter
         for l, s, e in intervals(more):
             if l + r < least:
                 continue
-            yield l, r, rows[s : e + 1]
+            some = rows[s : e + 1]
+            ranks = [rank[i] for i in some]
+            if min(lcp[min(ranks) : max(ranks)]) == r:  # else all of them share the next byte on the right
+                yield l, r, some
+
+
+_SPAN = np.dtype([("k", "<i8"), ("t", "<i8"), ("s", "<i8"), ("e", "<i8")])
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans of each document, overlapping or touching ones as one."""
+    if len(spans) < 2:
+        return spans
+    x = spans[np.lexsort((spans["s"], spans["t"], spans["k"]))]
+    same = np.concatenate([[False], (x["k"][1:] == x["k"][:-1]) & (x["t"][1:] == x["t"][:-1])])
+    base = np.cumsum(~same) * (int(x["e"].max()) + 2)  # documents apart on one line
+    reach = np.maximum.accumulate(base + x["e"])
+    new = np.concatenate([[True], base[1:] + x["s"][1:] > reach[:-1]])
+    out = x[new]
+    out["e"] = np.maximum.reduceat(base + x["e"], np.flatnonzero(new)) - base[new]
+    return out
 
 
 def _reduce(least: int, left: int, right: int):
     """Spans (k, t, start, end) that are later occurrences, from the contexts of a bucket."""
     cell = np.dtype([("h", "<u8"), ("k", "<i8"), ("t", "<i8"), ("p", "<u4"), ("c", f"V{left + right}")])
-    span = np.dtype([("k", "<i8"), ("t", "<i8"), ("s", "<i8"), ("e", "<i8")])
 
     def function(found: list[bytes], done: list[bytes]) -> Iterator[list]:
-        out = [np.frombuffer(zstandard.decompress(d), span) for d in done]
+        for d in done:
+            x = np.frombuffer(zstandard.decompress(d), _SPAN)
+            yield [x[c].copy() for c in "ktse"]
+        out = [np.zeros(0, _SPAN)]
         if found:
             x = np.concatenate([np.frombuffer(zstandard.decompress(d), cell) for d in found])
             x = x[np.lexsort((x["p"], x["t"], x["k"], x["h"]))]
@@ -213,15 +236,21 @@ def _reduce(least: int, left: int, right: int):
                 for l, r, rows in maximal_repeats([c[left:] for c in text], [c[:left][::-1] for c in text], least):
                     one = min(keys[i] for i in rows)
                     got += [(*keys[i][:2], keys[i][2] - l, keys[i][2] + r) for i in rows if keys[i] > one]
-            out.append(np.array(got, span) if got else np.zeros(0, span))
-        all_ = np.concatenate(out) if out else np.zeros(0, span)
+                if len(got) > 20_000:
+                    out.append(merged(np.array(got, _SPAN)))
+                    got = []
+            out.append(np.array(got, _SPAN))
+        all_ = merged(np.concatenate(out))
         yield [all_[c].copy() for c in "ktse"]
 
     return function
 
 
-def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int = 16 << 20, batch_bytes: int = 2 << 20, hot_batches: int = 1024) -> DataFrame:
-    """(k, t, start, end) of strings of at least `least` bytes that also start earlier, for rows(k, t, n, text)."""
+def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int = 8 << 20, batch_bytes: int = 2 << 20, hot_batches: int = 1024, copies: DataFrame | None = None) -> DataFrame:
+    """(k, t, start, end) of strings of at least `least` bytes that also start earlier, for rows(k, t, n, text).
+
+    copies(k): documents to leave out, as all their text is an earlier one's.
+    """
     left, right = least - K, least
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -230,6 +259,8 @@ def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int = 16 << 20,
     hot = written(found.filter("hot = 1").select("h").distinct(), "hot")
     flagged = found.join(hot.withColumn("is_hot", F.lit(1)), "h", "left")
     signed = F.when(F.col("is_hot").isNull(), F.col("p")).otherwise(-F.col("p") - 1)
+    if copies is not None:
+        flagged = flagged.join(copies, "k", "left_anti")
     places = flagged.groupBy("k").agg(F.collect_set(signed).alias("places"))
     packed = long.mapInArrow(_compress, "k long, t long, n long, z binary").join(places, "k")
     made = packed.mapInArrow(_contexts(least, left, right, buckets, batch_bytes), "bucket int, kind int, blob binary")
@@ -262,7 +293,6 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(least: int, left: int, right: int, buckets: int, size: int):
     """From rows(k, t, n, z, places): contexts of anchors by bucket; equal ones of a batch but the first give spans here."""
     cell = np.dtype([("h", "<u8"), ("k", "<i8"), ("t", "<i8"), ("p", "<u4"), ("c", f"V{left + right}")])
-    span = np.dtype([("k", "<i8"), ("t", "<i8"), ("s", "<i8"), ("e", "<i8")])
     weights = mixed(np.arange(1, left + right + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def flush(parts: list[tuple]) -> pa.RecordBatch:
@@ -281,8 +311,9 @@ def _contexts(least: int, left: int, right: int, buckets: int, size: int):
         s, e = np.maximum(p[back] - left, 0), np.minimum(p[back] + right, n[back])
         one = np.array([ahead[int(whole[i])] for i in back], np.int64)
         good = (e - s >= least) & ~((k[back] == k[one]) & (t[back] == t[one]) & (p[back] == p[one]))
-        spans = np.zeros(int(good.sum()), span)
+        spans = np.zeros(int(good.sum()), _SPAN)
         spans["k"], spans["t"], spans["s"], spans["e"] = k[back][good], t[back][good], s[good], e[good]
+        spans = merged(spans)
         zip_ = zstandard.ZstdCompressor(level=1).compress
         if len(spans):
             out.append((int(abs(int(spans["k"][0])) % buckets), 1, zip_(spans.tobytes())))
@@ -322,7 +353,7 @@ def _contexts(least: int, left: int, right: int, buckets: int, size: int):
                     p, hot = p[fits], hot[fits]
                     parts.append((np.full(len(p), k, np.int64), np.full(len(p), t, np.int64), p, np.full(len(p), n, np.int64), hot, contexts(data, p, left, right)))
                     held += len(p) * (left + right)
-                    if held >= 4 * size:
+                    if held >= 2 * size:
                         yield flush(parts)
                         parts, held = [], 0
         if held:
@@ -345,13 +376,15 @@ def remove_repeats(docs: DataFrame, least: int = 100, **sizes: int) -> DataFrame
     bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
-    spans = written(find_spans(rows, least, **sizes), "spans")
     # a document whose whole text is an earlier one's goes altogether; its own anchors add nothing new
     digest = written(rows.select("k", "t", "n", F.sha2("text", 256).alias("sha")), "digest")
     first = digest.groupBy("sha").agg(F.min(F.struct("k", "t")).alias("one"))
-    merged = spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    copies = digest.filter(F.col("n") >= least).join(first, "sha").filter(F.struct("k", "t") > F.col("one")).select("k", "t", F.lit(True).alias("copy")).distinct()
-    side = merged.join(copies, ["k", "t"], "full")
+    same = digest.join(first, "sha").select("k", "t", ((F.col("n") >= least) & (F.struct("k", "t") > F.col("one"))).alias("copy"))
+    copies = written(same.filter("copy").distinct(), "copies")
+    whole = written(same.groupBy("k").agg(F.bool_and("copy").alias("copy")).filter("copy").select("k"), "copied")
+    spans = written(find_spans(rows, least, copies=whole, **sizes), "spans")
+    merged_ = spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    side = merged_.join(copies, ["k", "t"], "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
