@@ -32,7 +32,8 @@ def masks(radius: int, seed: int = 1) -> list[int]:
     while True:
         vectors = rng.integers(1, 1 << (radius + 1), 64)
         kept = [[p for p in range(64) if int(v & vectors[p]).bit_count() & 1] for v in range(1, 1 << (radius + 1))]
-        if all(24 <= len(k) <= 40 for k in kept):  # neither too few bits to tell texts apart nor too many to be alike
+        usual = 64 * (1 << radius) / ((2 << radius) - 1)
+        if all(abs(len(k) - usual) <= 8 for k in kept):  # neither too few bits to tell texts apart nor too many to be alike
             return [int(np.uint64(sum(1 << p for p in k)).astype(np.int64)) for k in kept]
 
 
