@@ -126,7 +126,7 @@ def find_secrets(docs: DataFrame, width: int = 20, classes: tuple[CharClass, ...
         found = _found(text, pattern, {"access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}.get(kind))
         found = F.filter(found, _long_enough(pattern, group, LEAST[kind]))
         base.append(_spans(found, kind))
-    out = docs.withColumn("_base", F.array_sort(F.concat(*base)))
+    out = once(docs, "_base", F.array_sort(F.concat(*base)))
     added = []
     for c in classes:
         bound = math.floor(width * (math.log2(width) - c.threshold) * SCALE)
@@ -136,8 +136,14 @@ def find_secrets(docs: DataFrame, width: int = 20, classes: tuple[CharClass, ...
         found = F.filter(found, _dense(c.alphabet, width, bound))
         added.append(_spans(found, c.kind))
     extra = F.concat(*added)
-    new = F.filter(extra, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    return out.withColumn("_spans", F.when(F.size(extra) == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", new))))
+    out = once(out, "_extra", extra)
+    new = F.filter("_extra", lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
+    return once(out, "_spans", F.array_sort(F.concat("_base", new))).drop("_extra")
+
+
+def once(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """docs with a column that is computed once a row: a generator keeps the optimizer from copying its expression."""
+    return docs.withColumn(name, F.explode(F.array(value)))
 
 
 def joined(spans: Column) -> Column:
@@ -146,20 +152,24 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each run of overlapping or touching spans replaced by mark."""
-    kind = "array<struct<start:bigint,rank:int,end:bigint>>"
+def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """found with text after replacing each run of overlapping or touching _spans by mark; a null text stays null."""
+    kind = "array<struct<start:bigint,end:bigint>>"
 
     def step(got: Column, s: Column) -> Column:
-        last = F.element_at(got, -1)
-        grown = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"))
-        merge = (F.size(got) > 0) & (s["start"] <= F.try_element_at(got, F.lit(-1))["end"])
-        return F.when(merge, F.concat(F.slice(got, 1, F.size(got) - 1), F.array(grown))).otherwise(F.concat(got, F.array(s))).cast(kind)
-
-    runs = F.aggregate(spans, F.array().cast(kind), step)
-    edge = F.struct(F.length(text).cast("bigint").alias("start"), F.lit(0).alias("rank"), F.length(text).cast("bigint").alias("end"))
-    kept = F.transform(F.concat(runs, F.array(edge)), lambda s, i: F.substring(text, F.coalesce(F.get(runs, i - 1)["end"], F.lit(0)).cast("int") + 1, (s["start"] - F.coalesce(F.get(runs, i - 1)["end"], F.lit(0))).cast("int")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(kept, mark))
+        last = F.try_element_at(got, F.lit(-1))
+        here = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        joins = F.coalesce(s["start"] <= last["end"], F.lit(False))
+        return F.when(joins, F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(got, F.array(here))).cast(kind)
+
+    runs = once(found, "_runs", F.aggregate("_spans", F.array().cast(kind), step))
+    n = F.length("text").cast("bigint")
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_runs", lambda r: r["end"]))
+    starts = F.concat(F.transform("_runs", lambda r: r["start"]), F.array(n))
+    gaps = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda z: F.substring(F.col("text"), z["a"].cast("int") + 1, (z["b"] - z["a"]).cast("int")))
+    text = F.when(F.size("_runs") == 0, F.col("text")).otherwise(F.array_join(gaps, mark))
+    return runs.withColumn("text", text).drop("_runs")
 
 
 def _of_rank(rank: int):

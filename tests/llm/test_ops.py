@@ -86,7 +86,7 @@ def test_secrets_entropy(spark):
 def test_secrets_allow_and_redact(spark):
     texts = ["key Q7x/K2p9+Zr4Lm8Vb1Nc6Ty3 end", "id 123e4567-e89b-12d3-a456-426614174000", "abcdefghijklmnopqrstuvwxyzabcdef", "EXAMPLE9Kq3LmP0xVbT7sWcR2h", "1234567890123456789012", None, "", 'é token = "a1b2c3d4e5" x']
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = op1_secrets.find_secrets(df).select("doc_id", op1_secrets.joined(F.col("_spans")).alias("s"), op1_secrets.redacted(F.col("text"), F.col("_spans")).alias("r")).collect()
+    rows = op1_secrets.redact(op1_secrets.find_secrets(df)).select("doc_id", op1_secrets.joined(F.col("_spans")).alias("s"), F.col("text").alias("r")).collect()
     got = {r["doc_id"]: (r["s"], r["r"]) for r in rows}
     assert got[0] == ("entropy_base64:4:28", "key [SECRET] end")
     assert [got[i][0] for i in (1, 2, 3, 4, 5, 6)] == [""] * 6 and got[5][1] is None
