@@ -411,3 +411,18 @@ def remove_repeats(docs: DataFrame, least: int = 100, **sizes: int) -> DataFrame
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
+
+
+SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) b, octet_length(encode(coalesce(text, ''))) n from documents),
+s as (select doc_id, n, b, unnest(range(1, greatest(n - 98, 1))) s from d),
+w as (select doc_id, s, md5(b[s:s + 99]) h from s),
+l as (select doc_id, s from (select *, row_number() over (partition by h order by doc_id, s) k from w) q where k > 1),
+m as (select *, case when s > 100 + lag(s) over (partition by doc_id order by s) then 1 else 0 end cut from l),
+g as (select doc_id, min(s) s, max(s) + 99 e from (select *, sum(cut) over (partition by doc_id order by s) run from m) q group by doc_id, run),
+k as (select d.doc_id, coalesce(lag(g.e) over (partition by d.doc_id order by g.s), 0) + 1 a, g.s - 1 z, g.s from d join g on g.doc_id = d.doc_id
+  union all select d.doc_id, coalesce(max(g.e), 0) + 1, d.n, d.n + 1 from d left join g on g.doc_id = d.doc_id group by d.doc_id, d.n),
+o as (select d.doc_id, unhex(coalesce(string_agg(hex(d.b[k.a:k.z]), '' order by k.s) filter (k.z >= k.a), '')) kept from d join k on k.doc_id = d.doc_id group by d.doc_id)
+select d.doc_id, d.n::bigint n_bytes, coalesce(r.removed, 0)::bigint n_removed, coalesce(r.spans, 0)::bigint n_spans, sha256(o.kept) kept_sha256
+from d join o on o.doc_id = d.doc_id left join (select doc_id, sum(e - s + 1) removed, count(*) spans from g group by doc_id) r on r.doc_id = d.doc_id
+"""

@@ -104,3 +104,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g3 as (select doc_id, i, count(*) over (partition by doc_id, key) c from (select doc_id, i, array_to_string(w[i:i + 2], ' ') key from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) i from d) q) q2),
+c3 as (select g.doc_id, count(*) n, sum(length(d.w[g.j])) chars from (select distinct doc_id, unnest(range(i, i + 3)) j from g3 where c > 1) g join d on d.doc_id = g.doc_id group by g.doc_id),
+g5 as (select doc_id, i, count(*) over (partition by doc_id, key) c from (select doc_id, i, array_to_string(w[i:i + 4], ' ') key from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) i from d) q) q2),
+c5 as (select g.doc_id, count(*) n, sum(length(d.w[g.j])) chars from (select distinct doc_id, unnest(range(i, i + 5)) j from g5 where c > 1) g join d on d.doc_id = g.doc_id group by g.doc_id),
+g8 as (select doc_id, i, count(*) over (partition by doc_id, key) c from (select doc_id, i, array_to_string(w[i:i + 7], ' ') key from (select doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) i from d) q) q2),
+c8 as (select g.doc_id, count(*) n, sum(length(d.w[g.j])) chars from (select distinct doc_id, unnest(range(i, i + 8)) j from g8 where c > 1) g join d on d.doc_id = g.doc_id group by g.doc_id),
+g10 as (select doc_id, i, count(*) over (partition by doc_id, key) c from (select doc_id, i, array_to_string(w[i:i + 9], ' ') key from (select doc_id, w, unnest(range(1, greatest(len(w) - 8, 1))) i from d) q) q2),
+c10 as (select g.doc_id, count(*) n, sum(length(d.w[g.j])) chars from (select distinct doc_id, unnest(range(i, i + 10)) j from g10 where c > 1) g join d on d.doc_id = g.doc_id group by g.doc_id),
+l as (select doc_id, line, row_number() over (partition by doc_id, line order by i) k from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from d) q
+  where regexp_matches(line, '[^\x20\x09-\x0D]')),
+n as (select doc_id, count(*) lines, sum(length(line)) chars, count(*) filter (k > 1) dup, coalesce(sum(length(line)) filter (k > 1), 0) dup_chars from l group by doc_id),
+m as (select d.doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) n_symbols,
+    coalesce(n.dup, 0) n_dup_lines, coalesce(c8.n, 0) n_repeat_words, len(w) < 20 or 100 * coalesce(c8.n, 0) > 30 * len(w) base_failed,
+    coalesce(n.dup_chars, 0)::double / greatest(coalesce(n.chars, 0), 1) dup_line_share, coalesce(c3.chars, 0)::double as s3, coalesce(c5.chars, 0)::double as s5, coalesce(c8.chars, 0)::double as s8, coalesce(c10.chars, 0)::double as s10, coalesce(n.lines, 0) lines
+  from d left join n on n.doc_id = d.doc_id left join c3 on c3.doc_id = d.doc_id left join c5 on c5.doc_id = d.doc_id left join c8 on c8.doc_id = d.doc_id left join c10 on c10.doc_id = d.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, dup_line_share,
+  s3 / greatest(word_chars, 1) dup_3gram_share, s5 / greatest(word_chars, 1) dup_5gram_share, s8 / greatest(word_chars, 1) dup_8gram_share, s10 / greatest(word_chars, 1) dup_10gram_share,
+  not base_failed and dup_line_share <= 0.3 and n_dup_lines <= 0.3 * lines and s3 / greatest(word_chars, 1) <= 0.6 and s5 / greatest(word_chars, 1) <= 0.4
+    and s8 / greatest(word_chars, 1) <= 0.3 and s10 / greatest(word_chars, 1) <= 0.25 kept
+from m
+"""

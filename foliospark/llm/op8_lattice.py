@@ -151,3 +151,19 @@ def embedding_links(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return made.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+SQL = r"""
+with recursive v as (
+  select vec_id, label, embedding::double[] e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+n as (select *, sqrt(list_inner_product(e, e)) n from v),
+p as (select a.vec_id u, b.vec_id w from n a join n b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r as (select vec_id, vec_id root from v union select p.w, r.root from r join p on p.u = r.vec_id),
+c as (select vec_id, min(root) component_id from r group by vec_id),
+k as (select u, count(*) n from p group by u)
+select e.vec_id, coalesce(k.n, 0)::bigint n_links, coalesce(c.component_id, e.vec_id) component_id, coalesce(e.vec_id = coalesce(c.component_id, e.vec_id), false) kept
+from embeddings e left join c on c.vec_id = e.vec_id left join k on k.u = e.vec_id
+"""
