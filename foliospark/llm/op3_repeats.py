@@ -246,7 +246,7 @@ def _reduce(least: int, left: int, right: int):
     return function
 
 
-def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int = 8 << 20, batch_bytes: int = 2 << 20, hot_batches: int = 1024, copies: DataFrame | None = None) -> DataFrame:
+def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int = 8 << 20, batch_bytes: int = 1 << 19, hot_batches: int = 4096, copies: DataFrame | None = None) -> DataFrame:
     """(k, t, start, end) of strings of at least `least` bytes that also start earlier, for rows(k, t, n, text).
 
     copies(k): documents to leave out, as all their text is an earlier one's.
@@ -353,7 +353,7 @@ def _contexts(least: int, left: int, right: int, buckets: int, size: int):
                     p, hot = p[fits], hot[fits]
                     parts.append((np.full(len(p), k, np.int64), np.full(len(p), t, np.int64), p, np.full(len(p), n, np.int64), hot, contexts(data, p, left, right)))
                     held += len(p) * (left + right)
-                    if held >= 2 * size:
+                    if held >= 4 * size:
                         yield flush(parts)
                         parts, held = [], 0
         if held:
