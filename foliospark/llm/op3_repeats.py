@@ -233,9 +233,13 @@ def _reduce(least: int, left: int, right: int):
                 g = x[s:e]
                 text = [c.tobytes() for c in g["c"]]
                 keys = list(zip(g["k"].tolist(), g["t"].tolist(), g["p"].tolist()))
+                reach: dict[int, int] = {}  # of a row, the furthest left so far: repeats come with right parts falling
                 for l, r, rows in maximal_repeats([c[left:] for c in text], [c[:left][::-1] for c in text], least):
                     one = min(keys[i] for i in rows)
-                    got += [(*keys[i][:2], keys[i][2] - l, keys[i][2] + r) for i in rows if keys[i] > one]
+                    for i in rows:
+                        if l > reach.get(i, -1) and keys[i] > one:
+                            reach[i] = l
+                            got.append((*keys[i][:2], keys[i][2] - l, keys[i][2] + r))
                 if len(got) > 20_000:
                     out.append(merged(np.array(got, _SPAN)))
                     got = []
