@@ -17,6 +17,7 @@ gathered at all: its strings of `least` bytes are grouped by their hashes, with
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,6 +186,7 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iter
     for r, first, last in intervals(lcp):
         if r + m < least:
             continue
+        cuts = [p for p in range(first, last) if lcp[p] == r]
         rows = sorted(order[first : last + 1], key=lefts.__getitem__)
         more = [shared(left[a], left[b], a, m, 0) for a, b in zip(rows, rows[1:])]
         for l, s, e in intervals(more):
@@ -192,7 +194,8 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iter
                 continue
             some = rows[s : e + 1]
             ranks = [rank[i] for i in some]
-            if min(lcp[min(ranks) : max(ranks)]) == r:  # else all of them share the next byte on the right
+            at = bisect_left(cuts, min(ranks))
+            if at < len(cuts) and cuts[at] < max(ranks):  # else all of them share the next byte on the right
                 yield l, r, some
 
 
