@@ -197,32 +197,38 @@ def _checked(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return both.mapInArrow(share, "u long, v long, good boolean").filter("good").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, radius: int = 3, margin: float = 0.1, bucket_bytes: int = 16 << 20) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """doc_id, a 128-bit digest (a, b) of the text's set of shingles, and fingerprints fp0, fp1, ... of the set, of every row."""
+    bounded_batches(docs.sparkSession)
+    names = ["doc_id", "a", "b", *(f"fp{i}" for i in range(lanes))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b["text"]:
+                h = np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
+                rows.append([*np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist(), *(fingerprint(remixed(h, i)) for i in range(lanes))])
+            columns = np.array(rows, np.int64).reshape(-1, lanes + 2).T
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(c) for c in columns)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, radius: int = 3, bucket_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, keep) of docs(doc_id, text) with an id: keep is the least id of the document's group.
 
-    Word-shingle similarity (Jaccard) of `similarity` or more is read off `lanes` fingerprints of 64 bits each:
-    two texts of one length that share it differ in acos(2s / (1 + s)) / pi of all bits. Each fingerprint is
-    entered in the tables of `radius`, so pairs within it in any lane meet, and many beyond it. What meets is
-    linked in stars and chains, never as all pairs, and each link is tested on all bits; one whose similarity by
-    bits is less than margin from the threshold is decided by the shingles themselves.
+    Texts with one set of word shingles are a class. Each class is entered in the tables of `radius` of `lanes`
+    fingerprints of its set; what meets is linked in stars and chains, and a link holds if the sets themselves
+    share `similarity` or more of their union.
     """
-    signs = written(signed(docs.filter("doc_id is not null"), shingle, lanes), "signs")
+    signs = written(_sets(docs.filter("doc_id is not null"), shingle, lanes), "signs")
     bits = [f"fp{i}" for i in range(lanes)]
-    classes = written(signs.groupBy(*bits).agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(signs.groupBy("a", "b", *bits).agg(F.min("doc_id").alias("rep")), "classes")
     buckets = max(1, -(-classes.count() * lanes * len(masks(radius)) * _CELL.itemsize // bucket_bytes))
     met = by_bucket(classes.mapInArrow(_deal(radius, lanes, buckets), "bucket int, kind int, blob binary"), buckets, _meet, "u long, v long")
-    one, two = classes.select(F.col("rep").alias("u"), F.struct(*bits).alias("a")), classes.select(F.col("rep").alias("v"), F.struct(*bits).alias("b"))
-    apart = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in bits), F.lit(0))
-
-    def limit(s: float) -> int:
-        return int(np.arccos(min(1.0, 2 * s / (1 + s))) / np.pi * 64 * lanes)
-
-    near = written(met.filter("u <> v").distinct().join(one, "u").join(two, "v").select("u", "v", apart.alias("apart")).filter(F.col("apart") <= limit(similarity - margin)), "near")
-    doubtful = near.filter(F.col("apart") > limit(min(1.0, similarity + margin))).select("u", "v")
-    links = near.filter(F.col("apart") <= limit(min(1.0, similarity + margin))).select("u", "v").union(_checked(docs, doubtful, shingle, similarity))
-    labels = components(links)
-    known = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*bits, F.coalesce("component", "rep").alias("keep"))
-    return signs.join(known, bits).select("doc_id", "keep")
+    labels = components(_checked(docs, written(met.filter("u <> v").distinct(), "met"), shingle, similarity))
+    known = classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("keep"))
+    return signs.join(known, ["a", "b"]).select("doc_id", "keep")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
