@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocked, grouped, pairs_meet, roots
-from .bytesets import mixed
-from .common import bounded_batches, by_bucket, components, documents, written
+from .common import bounded_batches, components, documents, written
 
 SEED = 42  # of XXH64
 
@@ -125,55 +124,6 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     return signs.join(joined, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-_CELL = np.dtype([("key", "<u8"), ("rep", "<i8")])
-
-
-def _deal(radius: int, lanes: int, buckets: int):
-    """Classes (rep, fp0, ...) by bucket of their table keys. Of a batch's classes with one key the least goes on, linked to the others."""
-    kept = np.array(masks(radius), np.int64).view(np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rep = b["rep"].to_numpy()
-            order = np.argsort(rep, kind="stable")
-            rep = rep[order]
-            cells, links = [], []
-            for lane in range(lanes):
-                fp = b[f"fp{lane}"].to_numpy()[order].view(np.uint64)
-                for i, m in enumerate(kept):
-                    key = mixed((fp & m) ^ mixed(np.full(1, lane * len(kept) + i + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                    first, inverse = np.unique(key, return_index=True, return_inverse=True)[1:]
-                    rest = first[inverse] != np.arange(len(key))
-                    cell = np.zeros(len(first), _CELL)
-                    cell["key"], cell["rep"] = key[first], rep[first]
-                    cells.append(cell)
-                    links.append(np.stack([rep[rest], rep[first[inverse]][rest]], 1))
-            cell, link = np.concatenate(cells), np.unique(np.concatenate(links), axis=0)
-            where = (cell["key"] >> np.uint64(8)) % np.uint64(buckets)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-            out = [(k, 0, cell[order[s:e]].tobytes()) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
-            if len(link):
-                out.append((int(link[0, 0]) % buckets, 1, link.astype("<i8").tobytes()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "blob"])
-
-    return run
-
-
-def _meet(found: list[bytes], linked: list[bytes]) -> Iterator[list]:
-    """Candidate links of a bucket: each class with the least of its key and with the one before it."""
-    pairs = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in linked]
-    if found:
-        x = np.concatenate([np.frombuffer(f, _CELL) for f in found])
-        x = x[np.lexsort((x["rep"], x["key"]))]
-        same = np.flatnonzero(x["key"][1:] == x["key"][:-1]) + 1
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], x["key"][1:] != x["key"][:-1]]), np.arange(len(x)), 0))
-        rep = x["rep"]
-        pairs += [np.stack([rep[same], rep[same - 1]], 1), np.stack([rep[same], rep[start[same]]], 1)]
-    u = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    yield [u[:, 0].copy(), u[:, 1].copy()]
-
-
 def _checked(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of pairs(u, v) of ids whose sets of shingles share `similarity` or more of their union."""
     ids = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "doubtful")
@@ -197,36 +147,48 @@ def _checked(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return both.mapInArrow(share, "u long, v long, good boolean").filter("good").select("u", "v")
 
 
-def _sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """doc_id, a 128-bit digest (a, b) of the text's set of shingles, and fingerprints fp0, fp1, ... of the set, of every row."""
+def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, a 128-bit digest (a, b) of the text's set of shingles, its size and the keys of its bands, of every row.
+
+    A band is `rows` minima of remixed shingles. tags has the low byte of each minimum. A set without shingles has no keys.
+    """
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "a", "b", *(f"fp{i}" for i in range(lanes))]
+    lanes = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            out = []
             for text in b["text"]:
                 h = np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
-                rows.append([*np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist(), *(fingerprint(remixed(h, i)) for i in range(lanes))])
-            columns = np.array(rows, np.int64).reshape(-1, lanes + 2).T
-            yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(c) for c in columns)], names)
+                low, high = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist()
+                if not len(h):
+                    out.append((low, high, 0, [], b""))
+                    continue
+                least = np.array([remixed(h, i + 1).min() for i in range(lanes)], "<u8")
+                keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(bands, rows))]
+                out.append((low, high, len(h), np.array(keys, np.uint64).view(np.int64), least.astype(np.uint8).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            columns = zip(*out) if out else [()] * len(kinds)
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "a", "b", "size", "keys", "tags"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, size int, keys array<long>, tags binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, radius: int = 3, bucket_bytes: int = 16 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 3) -> DataFrame:
     """(doc_id, keep) of docs(doc_id, text) with an id: keep is the least id of the document's group.
 
-    Texts with one set of word shingles are a class. Each class is entered in the tables of `radius` of `lanes`
-    fingerprints of its set; what meets is linked in stars and chains, and a link holds if the sets themselves
-    share `similarity` or more of their union.
+    Texts with one set of word shingles are a class. Classes meet in a cell where all `rows` minima of one of `bands`
+    bands of their sets agree, which a pair of similarity s does in none of them with a chance of
+    (1 - s**rows)**bands: 4e-10 at 0.8. Each class of a cell is linked to the least, and a link holds if the sets
+    themselves share `similarity` or more of their union.
     """
-    signs = written(_sets(docs.filter("doc_id is not null"), shingle, lanes), "signs")
-    bits = [f"fp{i}" for i in range(lanes)]
-    classes = written(signs.groupBy("a", "b", *bits).agg(F.min("doc_id").alias("rep")), "classes")
-    buckets = max(1, -(-classes.count() * lanes * len(masks(radius)) * _CELL.itemsize // bucket_bytes))
-    met = by_bucket(classes.mapInArrow(_deal(radius, lanes, buckets), "bucket int, kind int, blob binary"), buckets, _meet, "u long, v long")
-    labels = components(_checked(docs, written(met.filter("u <> v").distinct(), "met"), shingle, similarity))
+    signs = written(_sets(docs.filter("doc_id is not null"), shingle, bands, rows), "signs")
+    classes = written(signs.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags")), "classes")
+    dealt = classes.select(F.explode("keys").alias("key"), "rep")
+    least = dealt.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    cells = written(dealt.join(least, "key"), "cells")
+    stars = written(cells.filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "stars")
+    labels = components(_checked(docs, stars, shingle, similarity))
     known = classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("keep"))
     return signs.join(known, ["a", "b"]).select("doc_id", "keep")
 

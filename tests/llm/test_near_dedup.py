@@ -23,6 +23,21 @@ def kept(spark, texts, **more):
     return {r["doc_id"]: r["keep"] for r in op2_simhash.near_duplicates(df, **more).collect()}
 
 
+def test_pairs_at_the_threshold(spark):
+    """Of 5-word shingles, n - x of n shared each way: (n - x) / (n + x) is 0.8 at x = n / 9, less one step above."""
+    rng, texts, want = random.Random(1), [], {}
+    for k in range(300):
+        n = 9 * rng.choice([7, 20, 30, 60])
+        x = n // 9 + (k % 3 == 2)
+        a = words(rng, n + 4)
+        texts += [" ".join(a), " ".join(a[: n + 4 - x] + words(rng, x))]
+        assert (similar(*texts[-2:]) >= 0.8) == (k % 3 < 2)
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (k % 3 == 2)}
+    got = kept(spark, texts)
+    missed = sum(want[i] < got[i] for i in want)
+    assert (missed, sum(want[i] > got[i] for i in want)) == (0, 0), f"{missed} of 200 pairs missed"
+
+
 @pytest.mark.parametrize("times", [10, 20])
 def test_repeats_inside_a_text_count_once(spark, times):
     rng, texts, want = random.Random(3), [], {}
