@@ -11,6 +11,7 @@ Texts with equal fingerprints are one class, whatever their number; only classes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,21 +175,57 @@ def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, size int, keys array<long>, tags binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 3) -> DataFrame:
+def least_matches(similarity: float, lanes: int, risk: float = 1e-9) -> int:
+    """The most equal minima of `lanes` that a pair of `similarity` falls short of with a chance of at most risk."""
+    short, n = 0.0, 0
+    while n < lanes and (short := short + math.comb(lanes, n) * similarity**n * (1 - similarity) ** (lanes - n)) <= risk:
+        n += 1
+    return n
+
+
+def _alike(similarity: float, lanes: int):
+    """A function for grouped(): the pairs (u, v), u > v, of classes of different components that size and minima do not rule out."""
+    least = least_matches(similarity, lanes)
+
+    def pairs(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
+        rep, comp, size = (group[c].to_numpy() for c in ("rep", "comp", "size"))
+        if (comp == comp[0]).all():
+            return None
+        near = (comp[:, None] != comp[None, :]) & (rep[:, None] > rep[None, :])
+        near &= np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :])
+        if (meet := pairs_meet(own, bi, bj)) is not None:
+            near &= meet
+        u, v = np.nonzero(near)
+        tags = np.frombuffer(b"".join(group["tags"].to_pylist()), np.uint8).reshape(-1, lanes)
+        good = np.concatenate([np.zeros(0, bool), *((tags[u[i : i + 65536]] == tags[v[i : i + 65536]]).sum(1) >= least for i in range(0, len(u), 65536))])
+        return {"u": rep[u[good]], "v": rep[v[good]]} if good.any() else None
+
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 3, limit: int = 1024) -> DataFrame:
     """(doc_id, keep) of docs(doc_id, text) with an id: keep is the least id of the document's group.
 
     Texts with one set of word shingles are a class. Classes meet in a cell where all `rows` minima of one of `bands`
     bands of their sets agree, which a pair of similarity s does in none of them with a chance of
-    (1 - s**rows)**bands: 4e-10 at 0.8. Each class of a cell is linked to the least, and a link holds if the sets
-    themselves share `similarity` or more of their union.
+    (1 - s**rows)**bands: 4e-10 at 0.8. A link holds if the sets themselves share `similarity` or more of
+    their union. Each class of a cell is first tested with the least, so that large groups become components without
+    all their pairs; then all classes of a cell that are in different components meet in blocks, and what sizes and
+    minima do not rule out (a true pair with a chance of at most 1e-9) is tested on the sets.
     """
     signs = written(_sets(docs.filter("doc_id is not null"), shingle, bands, rows), "signs")
     classes = written(signs.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags")), "classes")
     dealt = classes.select(F.explode("keys").alias("key"), "rep")
     least = dealt.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    cells = written(dealt.join(least, "key"), "cells")
-    stars = written(cells.filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "stars")
-    labels = components(_checked(docs, stars, shingle, similarity))
+    stars = written(dealt.join(least, "key").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "stars")
+    links = written(_checked(docs, stars, shingle, similarity), "links")
+    comp = written(classes.join(components(links), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "tags", "keys"), "comp")
+    dealt = comp.select(F.explode("keys").alias("key"), "rep", "comp", "size", "tags")
+    apart = dealt.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    open_ = written(dealt.join(apart, "key", "left_semi"), "open")
+    pairs = grouped(blocked(open_, "key", "rep", limit, open_.select("key")), "key", ["rep", "comp", "size", "tags"], "u long, v long", _alike(similarity, bands * rows))
+    rest = written(pairs.distinct().join(stars, ["u", "v"], "left_anti"), "rest")
+    labels = components(links.union(_checked(docs, rest, shingle, similarity)))
     known = classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("keep"))
     return signs.join(known, ["a", "b"]).select("doc_id", "keep")
 

@@ -38,6 +38,21 @@ def test_pairs_at_the_threshold(spark):
     assert (missed, sum(want[i] > got[i] for i in want)) == (0, 0), f"{missed} of 200 pairs missed"
 
 
+def test_pairs_among_texts_of_one_template(spark):
+    """300 texts share a passage at about 0.6, so cells hold many that are not similar; 100 of them have a near copy."""
+    rng = random.Random(2)
+    passage = words(rng, 150)
+    texts = [" ".join(passage + words(rng, 50)) for _ in range(300)]
+    for i in range(100):
+        w = texts[i].split()
+        texts.append(" ".join(w[:-15] + words(rng, 15)))
+    assert similar(texts[0], texts[1]) < 0.7 and similar(texts[0], texts[300]) >= 0.8
+    got = kept(spark, texts)
+    want = {i: i if i < 300 else i - 300 for i in range(400)}
+    wrong = sum(got[i] != want[i] for i in want)
+    assert not wrong, f"{wrong} of 400 documents wrong"
+
+
 @pytest.mark.parametrize("times", [10, 20])
 def test_repeats_inside_a_text_count_once(spark, times):
     rng, texts, want = random.Random(3), [], {}
