@@ -429,6 +429,23 @@ def wrap_fixed(spark, d):
     return lines.select("doc_id", "rk", F.array_join(text.wrapped(F.col("line"), F.lit(14)), "|").alias("lines"))
 
 
+ALL_LINES = "select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 rk from documents"
+
+
+@query(f"""with recursive l as ({ALL_LINES}), w as (select doc_id, rk, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') ws from l),
+s as (select doc_id, rk, ws, 0 i, []::varchar[] lines, '' cur from w
+  union all select doc_id, rk, ws, i + 1,
+    case when length(joined) <= 14 then lines when length(word) <= 14 then flushed
+      else flushed || list_transform(range(0, ((length(word) + 13) // 14) - 1), lambda k: substr(word, (k * 14 + 1)::bigint, 14)) end,
+    case when length(joined) <= 14 then joined when length(word) <= 14 then word else substr(word, (((length(word) + 13) // 14 - 1) * 14 + 1)::bigint, 14) end
+  from (select *, ws[i + 1] word, case when cur = '' then ws[i + 1] else cur || ' ' || ws[i + 1] end joined, case when cur = '' then lines else list_append(lines, cur) end flushed from s where i < len(ws)) q)
+select doc_id, rk::int rk, array_to_string(case when len(ws) = 0 then [''] when cur = '' then lines else list_append(lines, cur) end, '|') lines from s where i = len(ws)""")
+def wrap_lines(spark, d):
+    """Every line of every text; wrap_fixed has the first four of each."""
+    lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("rk", "line"))
+    return lines.select("doc_id", "rk", F.array_join(text.wrapped(F.col("line"), F.lit(14)), "|").alias("lines"))
+
+
 @query(f"""with g as ({G}), p as (select region_id, x, y, w, h, y + h * 0.25 t from g)
 select region_id, x + (w / 2) * 0.5 l, x + w - (w / 2) * 0.5 r from p""")
 def scanline(spark, d):
