@@ -120,6 +120,7 @@ def train(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000, max_lan
 
     Texts over max_chars are not in the sample (predictions take texts of any length), nor are null or
     letterless ones. The hash makes each language's draw a bounded top list, kept so by map-side aggregation.
+    Only the max_langs languages with most usable rows are learned; a document of another gets one of those.
     None if no row is labelled.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
