@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, prefix_sums, written
 
-#: A key is a hash's leading 52 bits.
-KEY_BITS = 52
+#: A key is a hash's leading 52 bits; the leading 31 of these decide the bucket, so that their product with a number
+#: of buckets below 2**31 fits a long.
+KEY_BITS, RANGE_BITS = 52, 31
 
 
 def words_in(text: Column) -> Column:
@@ -58,9 +59,10 @@ def mix(docs: DataFrame, size: Column, carried: list[str], seed: int = 42, bucke
     digest = written(digest, "mix")
     sources = targets(digest.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")))
     sources = written(sources, "targets")
-    # the range of keys is cut into as many buckets as the source's rows fill
+    # the range of keys is cut into as many buckets as the source's rows fill: up to 2**31 of them
     keyed = digest.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    bucket = F.floor(F.col("key") * F.ceil(F.col("n") / F.lit(bucket_rows)) / F.lit(1 << KEY_BITS))
+    leading = F.shiftright("key", KEY_BITS - RANGE_BITS)
+    bucket = F.shiftright(leading * F.ceil(F.col("n") / F.lit(bucket_rows)), RANGE_BITS)
     keyed = keyed.select("d.*", "s.source_size", "s.target", bucket.alias("bucket"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     bases = prefix_sums(sums, ["source"], "bucket", "sum", "base").drop("sum")
