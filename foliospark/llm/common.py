@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word of a text: a maximal run of characters other than blank and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="foliospark-")
+        folder = tempfile.mkdtemp(prefix="foliospark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -37,17 +43,74 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> Iterator[None]:
+    """Limits what an Arrow batch holds while an action runs; the session's own settings are back afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Lowers the session's limits of an Arrow batch to these, for plans that run after the operator has returned.
+
+    Other queries of the session then run under them too, with the same results.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not re.fullmatch(r"\d+b?", now) or not 0 < int(now.rstrip("b")) <= size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows and about `size` bytes, whatever the session's settings.
+
+    After the last one the worker gives memory that it does not use back to the system.
+    """
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def written(df: DataFrame, tag: str, batch_bytes: int = 16 << 20) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with small_batches(df.sparkSession, size=batch_bytes):
+        df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._shared_path = path
+    return found
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
-    """Limits what one Arrow batch holds, so that batches of very long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def discard(*tables: DataFrame) -> None:
+    """Removes what written() made, once nothing that is still to run reads it."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
@@ -55,9 +118,6 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-    return to_arrow_schema(T._parse_datatype_string(ddl)) if not ddl else to_arrow_schema(T.StructType.fromDDL(ddl))
-
-
 def prefix_sums(totals: DataFrame, keys: list[str], order: str, value: str, out: str, span: int = 4096) -> DataFrame:
     """Exclusive prefix sums of value by order within keys, in two levels of span buckets each.
 
@@ -104,7 +164,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
-        edges = written(_stars(edges), "links")
+        last, edges = edges, written(_stars(edges), "links")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
@@ -130,6 +191,7 @@ def by_bucket(rows: DataFrame, buckets: int, function: Callable[[list[bytes], li
                 held[kind].append(blob)
         if now is not None:
             yield from function(*held)
+        release()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in run(batches):

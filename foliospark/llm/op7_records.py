@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, shared_path
+from .common import documents, shared_path, small_batches
 from .tokens import piece_ids, public_path
 
 #: Fixed value: what masking adds to a rotated checksum.
@@ -60,8 +60,6 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, s
     A null or empty text has the end id alone. Rows of one doc_id are ordered by a hash of their text, then the
     text; a doc_id with very many rows is spread over files by that hash. An empty table gives no file.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -81,7 +79,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, s
 
     # the text writer copies the bytes of a string as they are and ends each row with a line feed, part of the record here
     made = rows.mapInArrow(encode, "value binary").select(F.substring("value", 1, F.length("value") - 1).cast("string").alias("value"))
-    made.write.option("compression", "none").text(f"{path}/records")
+    with small_batches(docs.sparkSession):
+        made.write.option("compression", "none").text(f"{path}/records")
 
 
 def read_records(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -108,16 +107,14 @@ def read_records(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").filter("length > 0")
     number = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    found = files.select(number.alias("shard"), "path", "content").mapInArrow(scan, schema)
-    return found
+    return files.select(number.alias("shard"), "path", "content").mapInArrow(scan, schema)
 
 
 def write_index(spark: SparkSession, path: str) -> DataFrame:
     """Reads the files back and writes their index beside them."""
     found = read_records(spark, path)
-    found.write.parquet(f"{path}/index")
-    bounded_batches(spark)
+    with small_batches(spark, rows=1):  # one file at a time
+        found.write.parquet(f"{path}/index")
     return spark.read.schema(found.schema).parquet(f"{path}/index")
 
 
