@@ -1,8 +1,8 @@
 """Quality rules: how much of a text lies inside repeated n-grams of words and repeated lines.
 
-Rolling hashes of n-grams of several lengths over a whole batch of texts in numpy; the hash of a window is a
-sum over hashes of its words, so a window costs n multiplications whatever its characters. An n-gram counts as
-repeated if it occurs more than once in its text; characters of words in such windows count once.
+Rolling hashes of n-grams of several lengths over a whole batch of texts in numpy: one prefix sum of word hashes times
+the powers of a base gives the hash of every window as a difference, at the same cost for any length. An n-gram counts
+as repeated if it occurs more than once in its text; characters of words in such windows count once.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytesets import Batch, mixed, powers, repeated
-from .common import bounded_batches, documents
+from .common import bound_batches, documents, slices
 
 #: n-gram length -> the largest share of characters that may lie in repeated n-grams.
 SHARES = {3: 0.6, 5: 0.4, 8: 0.3, 10: 0.25}
@@ -30,42 +30,71 @@ SCHEMA = (
 )
 
 
-def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """The counts and shares of each text."""
-    b, n = Batch.of(texts), len(texts)
-    start, end = b.words()
-    doc = b.doc_of(start)
-    chars = b.chars()[end] - b.chars()[start]
-    out = {"n_words": np.bincount(doc, minlength=n), "word_chars": np.bincount(doc, chars, n).astype(np.int64)}
-    out["n_symbols"] = np.add.reduceat(_SYMBOL[b.data].astype(np.int64), b.bounds[:-1]) if n else np.zeros(0, np.int64)
+#: An odd multiplier of word hashes and its inverse modulo 2**64.
+ROLL = 0xC2B2AE3D27D4EB4F
+ROLL_INV = pow(ROLL, -1, 1 << 64)
+
+
+def line_groups(texts: list[bytes], size: int) -> Iterator[list[tuple[int, bytes]]]:
+    """(text, whole lines of it) in groups of about size bytes. Only a longer line makes a larger piece."""
+    group, held = [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at == 0 or at < len(t):
+            to = len(t) if len(t) - at <= size else t.rfind(b"\n", at, at + size)
+            if to < 0:
+                to = t.find(b"\n", at + size)
+            to = len(t) if to < 0 else to
+            group.append((i, t[at:to]))
+            held += to - at + 1
+            at = to + 1
+            if held >= size:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def measure(texts: list[bytes], size: int = 4 << 20) -> dict[str, np.ndarray]:
+    """The counts and shares of each text. Bytes are looked at in groups of about size; of a text its words and lines are held."""
+    n = len(texts)
+    none = np.zeros(0, np.int64)
+    words, lines, symbols = [(none, none.astype(np.uint64), none)], [(none, none.astype(np.uint64), none)], np.zeros(n, np.int64)
+    for group in line_groups(texts, size):
+        of, b = np.array([i for i, _ in group]), Batch.of([t for _, t in group])
+        chars = b.chars()
+        start, end = b.words()
+        words.append((of[b.doc_of(start)], b.hashes(start, end), chars[end] - chars[start]))
+        np.add.at(symbols, of, np.add.reduceat(_SYMBOL[b.data].astype(np.int64), b.bounds[:-1]))
+        first, last = b.lines()
+        has = np.zeros(len(first), bool)
+        has[np.searchsorted(last, start, side="right")] = True  # a line with a word
+        first, last = first[has], last[has]
+        lines.append((of[b.doc_of(first)], b.hashes(first, last), chars[last] - chars[first]))
+    doc, word, chars = (np.concatenate(x) for x in zip(*words))
+    out = {"n_words": np.bincount(doc, minlength=n), "word_chars": np.bincount(doc, chars, n).astype(np.int64), "n_symbols": symbols}
     salt = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    word = b.hashes(start, end)
     total = np.maximum(out["word_chars"], 1)
+    rolled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * powers(ROLL, len(word)), dtype=np.uint64)])
     for k in sorted({8, *SHARES}):
         inside = np.zeros(len(word) + 1, np.int64)
         m = len(word) - k + 1
         if m > 0:
-            c = powers(0xC2B2AE3D27D4EB4F, k)
-            h = sum((word[j : j + m] * c[j] for j in range(k)), np.zeros(m, np.uint64))
+            h = (rolled[k:] - rolled[:m]) * powers(ROLL_INV, m)  # of the window at each word, whatever its length
             at = np.flatnonzero(doc[:m] == doc[k - 1 :])  # windows inside one text
             more, _ = repeated(mixed(h[at]) ^ salt[doc[at]])
-            np.add.at(inside, at[more], 1)
-            np.add.at(inside, at[more] + k, -1)
+            inside[:m][at[more]] += 1
+            inside[k : k + m][at[more]] -= 1
         covered = np.cumsum(inside[:-1]) > 0
         if k == 8:
             out["n_repeat_words"] = np.bincount(doc[covered], minlength=n)
         if k in SHARES:
             out[f"dup_{k}gram_share"] = np.bincount(doc[covered], chars[covered], n) / total
-    start, end = b.lines()
-    has = np.zeros(len(start), bool)
-    has[np.searchsorted(end, b.words()[0], side="right")] = True  # a line with a word
-    start, end = start[has], end[has]
-    doc = b.doc_of(start)
-    _, later = repeated(b.hashes(start, end) ^ salt[doc])
+    doc, line, chars = (np.concatenate(x) for x in zip(*lines))
+    _, later = repeated(line ^ salt[doc])
     n_lines = np.bincount(doc, minlength=n)
     out["n_dup_lines"] = np.bincount(doc[later], minlength=n)
-    on_lines = b.chars()[end] - b.chars()[start]
-    out["dup_line_share"] = np.bincount(doc[later], on_lines[later], n) / np.maximum(np.bincount(doc, on_lines, n), 1)
+    out["dup_line_share"] = np.bincount(doc[later], chars[later], n) / np.maximum(np.bincount(doc, chars, n), 1)
     out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
     good = (out["dup_line_share"] <= LINE_CHARS) & (out["n_dup_lines"] <= LINE_COUNT * n_lines)
     for k, most in SHARES.items():
@@ -79,13 +108,13 @@ def quality(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
 
     A null or empty text has no words and fails the base rule. Rows are independent; repeated rows, ties and
     null ids pass through, other columns are not read, an empty table gives no row. About batch_bytes of texts
-    are held at a time, or one longer text.
+    are held at a time, or one longer text with the hashes of its words.
     """
-    bounded_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch["doc_id"], [b"" if t is None else t for t in batch["text"].cast(pa.binary()).to_pylist()]
             at = 0
             while at < len(texts):
