@@ -5,11 +5,16 @@ nearest point of the lattice E8 (the better of D8 and D8 shifted by one half). A
 lattice point and under the next nearest ones, in every table. Vectors of one label that share a point are
 compared by cosine in double precision. A pair that shares several points counts at the least of them.
 
+Vectors do not travel to every point they are entered under. First only (point, id, sketch of 64 signs) do: at a point
+stay those that have another within sketch_bits of theirs there. Only these are joined to their vectors and compared.
+A pair at the threshold is further apart than sketch_bits with a chance below 1e-6.
+
 Equal vectors of one label are one class, whatever their number; only classes meet at lattice points.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, grouped, pairs_meet, roots
 from .bytesets import mixed
-from .common import bounded_batches, components, written
+from .common import components, slices, written
 
 TABLES, PROBES, WIDTH, SEED = 8, 4, 1.2, 17
 
@@ -70,12 +75,46 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: f
     return np.hstack(out).view(np.int64)
 
 
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """64 signs of random projections of each vector."""
+    planes = np.random.default_rng(SEED + 1).standard_normal((unit.shape[1], 64))
+    return np.packbits(unit @ planes > 0, axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def sketch_limit(threshold: float, risk: float = 1e-6) -> int:
+    """The most of 64 signs that a pair at the threshold differs in, but for a chance of risk."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    left, n = 1.0, -1
+    while left > risk and n < 64:
+        n += 1
+        left -= math.comb(64, n) * p**n * (1 - p) ** (64 - n)
+    return n
+
+
 def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors of a binary column of doubles, scaled to length 1."""
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+    """Vectors of a binary column, in the precision that their table has, scaled to length 1 in double precision."""
+    data = column.to_pylist()
+    x = np.stack([np.frombuffer(d, "<f8" if d[:1] == b"d" else "<f4", offset=1).astype("<f8") for d in data])
+    x /= np.abs(x).max(1, keepdims=True)  # keeps squares of very large or small numbers finite
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def alive(bits: int):
+    """A function for grouped(): the classes of a lattice point that have another within bits of their sketch."""
+
+    def some(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
+        sketch = group["sketch"].to_numpy().view(np.uint64)
+        near = np.bitwise_count(sketch[:, None] ^ sketch[None, :]) <= bits
+        np.fill_diagonal(near, False)
+        if (meet := pairs_meet(own, bi, bj)) is not None:
+            near &= meet
+        if not (rows := near.any(1)).any():
+            return None
+        return {"home": group["at"].to_numpy()[rows], "rep": group["rep"].to_numpy()[rows], "key": group["key"].to_numpy()[rows]}
+
+    return some
+
+
 def link_cells(threshold: float, tables: int, probes: int, width: float):
     """A function for grouped(): for each class of a lattice point its new links and the least class they reach."""
 
@@ -110,34 +149,36 @@ def embedding_links(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
     Repeated rows are vectors of their own. vec_id should be a key; of rows that share one, links add up. A
     lattice point with over limit classes is compared in blocks. An empty table gives no row.
     """
-    spark = rows.sparkSession
-    bounded_batches(spark, 4000)
     vector = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.coalesce(bad, F.lit(True))
-    base = rows.select("vec_id", "label", vector.alias("v")).withColumn("ok", good & F.coalesce(norm > 0, F.lit(False)))
+    some = F.exists("v", lambda x: x != 0)
+    base = rows.select("vec_id", "label", vector.alias("v")).withColumn("ok", good & F.coalesce(some, F.lit(False)))
+    single = dict(rows.dtypes)["embedding"] == "array<float>"
     classes = written(base.filter("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            label, v = b["label"].to_pylist(), b["v"].to_pylist()
+        for b in slices(batches, 4000):
+            v = b["v"].to_pylist()
             for dim in sorted({len(x) for x in v}):
                 at = [i for i, x in enumerate(v) if len(x) == dim]
-                x = np.array([v[i] for i in at], "<f8")
-                top = np.abs(x).max(1, keepdims=True)  # keeps squares of very large or small numbers finite
-                keys = cells((x / top) / np.sqrt(((x / top) ** 2).sum(1, keepdims=True)), tables, probes, width)
-                n = keys.shape[1]
-                data = [(x[i] / top[i]).tobytes() for i in range(len(at))]
-                yield pa.record_batch(
-                    [pa.array(keys.ravel()), pa.array([label[i] for i in at for _ in range(n)], b["label"].type), pa.array(np.full(len(at) * n, dim, np.int32)), pa.array(b["rep"].to_numpy()[at].repeat(n)), pa.array(b["n"].to_numpy()[at].repeat(n)), pa.array([d for d in data for _ in range(n)], pa.binary())],
-                    ["key", "label", "dim", "rep", "n", "vector"],
-                )
+                data = [(b"f" + np.array(v[i], "<f4").tobytes()) if single else (b"d" + np.array(v[i], "<f8").tobytes()) for i in at]
+                x = unit_rows(pa.array(data, pa.binary()))
+                keys = cells(x, tables, probes, width)
+                pick = pa.array(at)
+                columns = [b["label"].take(pick), pa.array(np.full(len(at), dim, np.int32)), b["rep"].take(pick), b["n"].take(pick)]
+                columns += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(sketches(x)), pa.array(data, pa.binary())]
+                yield pa.record_batch(columns, ["label", "dim", "rep", "n", "keys", "sketch", "vector"])
 
     kind = dict(rows.dtypes)["label"]
-    entered = classes.mapInArrow(enter, f"key long, label {kind}, dim int, rep long, n long, vector binary")
-    entered = entered.withColumn("home", F.xxhash64("key", "label", "dim"))
-    dealt = blocked(entered, "home", "rep", limit, entered.select("home"))
+    entered = written(classes.mapInArrow(enter, f"label {kind}, dim int, rep long, n long, keys array<long>, sketch long, vector binary"), "entered")
+    points = entered.select(F.explode("keys").alias("key"), "label", "dim", "rep", "sketch").withColumn("home", F.xxhash64("key", "label", "dim"))
+    dealt = blocked(points.select("home", F.col("home").alias("at"), "key", "rep", "sketch"), "home", "rep", 2 * limit, points.select("home"))
+    close = grouped(dealt, "home", ["at", "key", "rep", "sketch"], "home long, rep long, key long", alive(sketch_limit(threshold)))
+    close = written(close.distinct(), "close")
+    at_points = close.groupBy("rep").agg(F.collect_list(F.struct("home", "key")).alias("points"))  # tables * probes at most
+    sent = entered.select("rep", "n", "vector").join(at_points, "rep").select(F.explode("points").alias("p"), "rep", "n", "vector").select("p.home", "p.key", "rep", "n", "vector")
+    dealt = blocked(sent, "home", "rep", limit, close.select("home"))
     found = written(grouped(dealt, "home", ["key", "rep", "n", "vector"], "rep long, links long, root long", link_cells(threshold, tables, probes, width)), "cosine")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
