@@ -11,7 +11,8 @@ can; the union of longer repeats' overlapping parts is the longer repeat.
 Steps, each a table in the shared folder where a later step reads it twice:
 anchors by hash -> those that occur again -> contexts of these by hash -> spans by document.
 An anchor that a batch holds more than once is sent on once. An anchor of more than hot_batches batches is not
-gathered at all: its strings of `least` bytes are grouped by their hashes, with map-side minima.
+gathered at all: its strings of `least` bytes are grouped by their hashes, with map-side minima. (A group that large
+does not fit one suffix array; the result is the same either way.)
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import Batch, mixed, repeated
-from .common import bounded_batches, by_bucket, documents, written
+from .common import bound_batches, by_bucket, documents, slices, written
 
 K = 32
 NO_ID = -(1 << 63)
@@ -253,29 +254,37 @@ def _reduce(least: int, left: int, right: int):
     return function
 
 
-def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int = 8 << 20, batch_bytes: int = 1 << 19, hot_batches: int = 4096, copies: DataFrame | None = None) -> DataFrame:
+def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int | None = None, batch_bytes: int | None = None, hot_batches: int = 4096, copies: DataFrame | None = None) -> DataFrame:
     """(k, t, start, end) of strings of at least `least` bytes that also start earlier, for rows(k, t, n, text).
 
-    copies(k): documents to leave out, as all their text is an earlier one's.
+    copies(k, t): documents to leave out, as all their text is an earlier one's. Sizes grow with the input unless
+    given, so that blobs, of which there is one for each batch and bucket, do not become many and tiny.
     """
     left, right = least - K, least
     total = rows.agg(F.sum("n")).first()[0] or 0
+    bucket_bytes = bucket_bytes or max(8 << 20, total // 100_000)
     buckets = max(1, -(-total // bucket_bytes))
-    long = rows.filter(F.col("n") >= least)
-    found = written(by_bucket(_scan(long.select("k", "text"), least, buckets, batch_bytes), buckets, _again(hot_batches), "k long, p long, h long, hot int"), "again")
+    batch_bytes = batch_bytes or min(64 << 20, max(1 << 19, 640 * buckets))
+    # documents go by a hash of id and text here: rows of equal or null id stay apart; two that share it only get places too many
+    long = rows.filter(F.col("n") >= least).withColumn("d", F.xxhash64("k", "t"))
+    anchors = _scan(long.select(F.col("d").alias("k"), "text"), least, buckets, batch_bytes)
+    found = written(by_bucket(anchors, buckets, _again(hot_batches), "d long, p long, h long, hot int"), "again")
     hot = written(found.filter("hot = 1").select("h").distinct(), "hot")
     flagged = found.join(hot.withColumn("is_hot", F.lit(1)), "h", "left")
     signed = F.when(F.col("is_hot").isNull(), F.col("p")).otherwise(-F.col("p") - 1)
     if copies is not None:
-        flagged = flagged.join(copies, "k", "left_anti")
-    places = flagged.groupBy("k").agg(F.collect_set(signed).alias("places"))
-    packed = long.mapInArrow(_compress, "k long, t long, n long, z binary").join(places, "k")
+        flagged = flagged.join(copies.select(F.xxhash64("k", "t").alias("d")), "d", "left_anti")
+    places = flagged.groupBy("d").agg(F.sort_array(F.collect_set(signed)).alias("places"))
+    packed = long.select("d", "k", "t", "n", "text").mapInArrow(_compress, "d long, k long, t long, n long, z binary").join(places, "d")
     made = packed.mapInArrow(_contexts(least, left, right, buckets, batch_bytes), "bucket int, kind int, blob binary")
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        made = written(made, "contexts")  # read twice, and both times the same contexts must be the first of their batch
     spans = by_bucket(made.filter("kind < 2"), buckets, _reduce(least, left, right), "k long, t long, start long, end long")
-    if hot.isEmpty():
+    if not some_hot:
         return spans
     windows = written(made.filter("kind = 2").mapInArrow(_windows, "w long, v long, k long, t long, start long"), "windows")
-    first = windows.groupBy("w", "v").agg(F.min(F.struct("k", "t", "start")).alias("one"))
+    first = written(windows.groupBy("w", "v").agg(F.min(F.struct("k", "t", "start")).alias("one")), "first")
     later = windows.join(first, ["w", "v"]).filter(F.struct("k", "t", "start") > F.col("one"))
     return spans.union(later.select("k", "t", "start", (F.col("start") + least).alias("end")))
 
@@ -284,7 +293,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for b in batches:
         data = [z.compress(t.as_buffer().to_pybytes()) for t in b["text"]]
-        yield pa.record_batch([b["k"], b["t"], b["n"], pa.array(data, pa.binary())], ["k", "t", "n", "z"])
+        yield pa.record_batch([*(b[c] for c in b.schema.names if c != "text"), pa.array(data, pa.binary())], [*(c for c in b.schema.names if c != "text"), "z"])
 
 
 _WINDOW = np.dtype([("w", "<i8"), ("v", "<i8"), ("k", "<i8"), ("t", "<i8"), ("s", "<i8")])
@@ -380,21 +389,21 @@ def remove_repeats(docs: DataFrame, least: int = 100, **sizes: int) -> DataFrame
     are one document, each reported. A null or empty text has no bytes. Other columns are not read; an empty
     table gives no row.
     """
-    bounded_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
     # a document whose whole text is an earlier one's goes altogether; its own anchors add nothing new
-    digest = written(rows.select("k", "t", "n", F.sha2("text", 256).alias("sha")), "digest")
-    first = digest.groupBy("sha").agg(F.min(F.struct("k", "t")).alias("one"))
-    same = digest.join(first, "sha").select("k", "t", ((F.col("n") >= least) & (F.struct("k", "t") > F.col("one"))).alias("copy"))
-    copies = written(same.filter("copy").distinct(), "copies")
-    whole = written(same.groupBy("k").agg(F.bool_and("copy").alias("copy")).filter("copy").select("k"), "copied")
-    spans = written(find_spans(rows, least, copies=whole, **sizes), "spans")
+    digest = rows.filter(F.col("n") >= least).select("k", "t", F.sha2("text", 256).alias("sha"))
+    digest = written(digest, "digest")
+    # the first of each text that is there more than once; both sides of the join are tables, so a hot text can be split
+    first = written(digest.groupBy("sha").agg(F.min(F.struct("k", "t")).alias("one"), F.count("*").alias("m")).filter("m > 1").drop("m"), "first")
+    copies = written(digest.join(first, "sha").filter(F.struct("k", "t") > F.col("one")).select("k", "t", F.lit(True).alias("copy")).distinct(), "copies")
+    spans = written(find_spans(rows, least, copies=copies, **sizes), "spans")
     merged_ = spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     side = merged_.join(copies, ["k", "t"], "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for k, z, copy, spans in zip(b["k"].to_pylist(), b["z"].to_pylist(), b["copy"].to_pylist(), b["spans"].to_pylist()):
                 data = zstandard.decompress(z)
