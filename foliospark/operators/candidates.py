@@ -77,8 +77,9 @@ def merged_alternatives(text: Column, alternatives: Column, proposed: Column) ->
 
 
 def accepted_alternative(text: Column, alternatives: Column, chosen: Column) -> tuple[Column, Column]:
-    """Text and alternatives after choosing one: the old text goes to the front."""
-    return chosen, F.concat(F.array(text), F.filter(alternatives, lambda a: a != chosen))
+    """Text and alternatives after choosing one: the old text goes to the front, unless it is empty or there already."""
+    others = F.filter(alternatives, lambda a: a != chosen)
+    return chosen, F.when((text != "") & ~F.array_contains(others, text), F.concat(F.array(text), others)).otherwise(others)
 
 
 def parsed_reply(reply: Column) -> Column:
@@ -91,5 +92,5 @@ def parsed_reply(reply: Column) -> Column:
     text = F.coalesce(F.nullif(F.trim(p["candidate"]), F.lit("")), F.nullif(F.trim(p["readability"]), F.lit("")))
     return F.when(text.isNotNull(), F.struct(
         text.alias("candidate"), F.nullif(F.trim(p["readability"]), F.lit("")).alias("readability"), F.nullif(F.trim(p["literal"]), F.lit("")).alias("literal"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), p["confidence"])).alias("confidence"), F.filter(F.coalesce(p["warnings"], F.array().cast("array<string>")), lambda w: F.trim(w) != "").alias("warnings"),
+        F.when(p["confidence"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p["confidence"]))).alias("confidence"), F.filter(F.coalesce(p["warnings"], F.array().cast("array<string>")), lambda w: F.trim(w) != "").alias("warnings"),
     ))

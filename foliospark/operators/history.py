@@ -73,54 +73,3 @@ def reindexed(regions: DataFrame) -> DataFrame:
     """(page_id, region_id, reading_order): places 0.. by present place (none last) and id."""
     w = Window.partitionBy("page_id").orderBy(F.coalesce("reading_order", F.lit(1 << 30)), "region_id")
     return regions.select("page_id", "region_id", (F.row_number().over(w) - 1).alias("reading_order"))
-
-
-def split_region(regions: DataFrame, region_id: str, ratio: float, vertical: bool = False) -> DataFrame:
-    """The region in two at a share of its height (or width); the first keeps the id, the second follows it in order."""
-    if not 0 < ratio < 1:
-        raise ValueError("ratio must be between 0 and 1")
-    size, place = ("w", "x") if vertical else ("h", "y")
-    hit = F.col("region_id") == region_id
-    halves = F.when(hit, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = regions.withColumn("_half", F.explode(halves))
-    second = F.col("_half") == 1
-    new_place = F.when(second, F.col(place) + F.col(size) * ratio).otherwise(F.col(place))
-    new_size = F.when(second, F.col(size) * (1 - ratio)).when(hit, F.col(size) * ratio).otherwise(F.col(size))
-    w = Window.partitionBy("page_id").orderBy(F.coalesce("reading_order", F.lit(1 << 30)), "region_id", "_half")
-    out = rows.select(*[c for c in regions.columns if c not in (size, place)], "_half", new_size.alias(size), new_place.alias(place)).withColumn("reading_order", F.row_number().over(w) - 1)
-    return out.withColumn("region_id", F.when(F.col("_half") == 1, F.concat("region_id", F.lit("_b"))).otherwise(F.col("region_id"))).drop("_half").select(regions.columns)
-
-
-def merge_regions(regions: DataFrame, ids: list[str]) -> DataFrame:
-    """Two regions or more of a page as one: the first in order survives with the box around all; places close up."""
-    if len(set(ids)) < 2:
-        raise ValueError("two regions are needed")
-    inside = F.col("region_id").isin(*ids)
-    order = Window.partitionBy("page_id", "_in").orderBy(F.coalesce("reading_order", F.lit(1 << 30)), "region_id")
-    all_ = Window.partitionBy("page_id", "_in")
-    marked = regions.withColumn("_in", inside).withColumn("_n", F.row_number().over(order))
-    x, y = F.min("x").over(all_), F.min("y").over(all_)
-    boxed = marked.withColumns({"_x": x, "_y": y, "_w": F.max(F.col("x") + F.col("w")).over(all_) - x, "_h": F.max(F.col("y") + F.col("h")).over(all_) - y})
-    kept = boxed.filter(~F.col("_in") | (F.col("_n") == 1))
-    for c in "xywh":
-        kept = kept.withColumn(c, F.when(F.col("_in"), F.col("_" + c)).otherwise(F.col(c)))
-    w = Window.partitionBy("page_id").orderBy(F.coalesce("reading_order", F.lit(1 << 30)), "region_id")
-    return kept.withColumn("reading_order", F.row_number().over(w) - 1).select(regions.columns)
-
-
-def delete_region(regions: DataFrame, units: DataFrame, region_id: str) -> tuple[DataFrame, DataFrame]:
-    """Regions without it, places closed up, and units(unit_id, ordered_region_ids) without it; empty units go."""
-    rest = regions.filter(F.col("region_id") != region_id)
-    placed = rest.drop("reading_order").join(reindexed(rest), ["page_id", "region_id"]).select(regions.columns)
-    left = units.withColumn("ordered_region_ids", F.array_remove("ordered_region_ids", region_id)).filter(F.size("ordered_region_ids") > 0)
-    return placed, left
-
-
-def reorder(regions: DataFrame, page_id, ids: list[str]) -> DataFrame:
-    """The page's regions in the given order, which has to name each of them once."""
-    place = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("region_id")).cast("int") - 1
-    here = regions.filter(F.col("page_id") == page_id)
-    same = here.agg((F.array_sort(F.collect_list("region_id")) == F.array_sort(F.array(*[F.lit(i) for i in ids]))).alias("ok")).first()["ok"]
-    if not same:
-        raise ValueError("the order must name every region of the page once")
-    return regions.withColumn("reading_order", F.when(F.col("page_id") == page_id, place).otherwise(F.col("reading_order")))
