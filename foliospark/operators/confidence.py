@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +69,27 @@ def review_queue(regions: DataFrame, spans: DataFrame, flags: DataFrame, order:
     return ranked.join(before, ["later", "page_id"]).withColumn("place", F.col("_before") + F.col("_in") - 1).drop("later", "_o", "_in", "_before")
 
 
+def dashboard(pages: DataFrame, regions: DataFrame, spans: DataFrame, units: DataFrame, artifacts: DataFrame, cached: DataFrame) -> DataFrame:
+    """(stage, n): how far each of the nine stages has come. cached(page_id): pages with a preprocessed image."""
+    per = [
+        ("import", pages, F.count("*")), ("preprocess", pages.join(cached.select("page_id").distinct(), "page_id", "left_semi"), F.count("*")),
+        ("detect", regions, F.count("*")), ("order", regions, F.count("reading_order")), ("group", units, F.count("*")), ("ocr", spans, F.count("*")),
+        ("translate", units, F.count("selected")), ("render", artifacts, F.count_if(F.col("kind") == "mask")), ("compose", artifacts, F.count_if(F.col("kind") == "render")),
+    ]
+    rows = [df.agg(n.alias("n")).select(F.lit(stage).alias("stage"), "n") for stage, df, n in per]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def project_summary(pages: DataFrame, regions: DataFrame, spans: DataFrame, unit_regions: DataFrame, flags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per page: regions, units, those of low confidence and those the AI was unsure of, ignored regions included."""
+    """Per page: regions, units, those of low confidence and those the AI was unsure of, ignored regions included, and rev if pages have it."""
     found = region_confidence(regions, spans).join(flags, "region_id", "left")
     per_page = found.groupBy("page_id").agg(
         F.count("*").alias("n_regions"), F.count_if(is_low(F.col("agg_confidence"), threshold)).alias("n_low"), F.count_if(F.coalesce("ai_flagged", F.lit(False))).alias("n_ai_flagged"),
     )
     n_units = unit_regions.groupBy("page_id").agg(F.countDistinct("unit_id").alias("n_units"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_regions", "n_units", "n_low", "n_ai_flagged")]
-    return pages.select("page_id").join(per_page, "page_id", "left").join(n_units, "page_id", "left").select("page_id", *zero)
+    rev = [F.coalesce("rev", F.lit(0)).alias("rev")] if "rev" in pages.columns else []
+    return pages.select("page_id", *rev).join(per_page, "page_id", "left").join(n_units, "page_id", "left").select("page_id", *zero, *(["rev"] if rev else []))
 
 
 def status_counts(regions: DataFrame, spans: DataFrame, unit_regions: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

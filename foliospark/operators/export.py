@@ -21,16 +21,19 @@ def unit_ranks(unit_regions: DataFrame, order: DataFrame) -> DataFrame:
 def placements(unit_regions: DataFrame, regions: DataFrame, units: DataFrame, order: DataFrame, skip_types: tuple[str, ...] = ()) -> DataFrame:
     """One row a unit to typeset, in reading order (place): its selected text over the box around its regions.
 
-    Units without text or regions, of ignored regions alone, or whose first region has a type to skip are left out.
+    Units without text or regions, of ignored regions alone, or whose first region has a type to skip are left out. Where
+    regions have an outline, a unit of a single region has that; of several it has none.
     """
-    rows = unit_regions.join(regions.select("region_id", "x", "y", "w", "h", "type", "status"), "region_id")
-    boxes = rows.groupBy("page_id", "unit_id").agg(*B.union_of(), F.min_by("type", "pos").alias("type"), F.bool_and(F.col("status") == "ignore").alias("ignored"))
+    shaped = ["outline"] if "outline" in regions.columns else []
+    rows = unit_regions.join(regions.select("region_id", "x", "y", "w", "h", "type", "status", *shaped), "region_id")
+    outline = [F.when(F.count("*") == 1, F.first("outline")).alias(c) for c in shaped]
+    boxes = rows.groupBy("page_id", "unit_id").agg(*B.union_of(), F.min_by("type", "pos").alias("type"), F.bool_and(F.col("status") == "ignore").alias("ignored"), *outline)
     preset = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_PRESETS.items() for x in kv]), F.col("type")), F.lit("default"))
     texts = units.select("unit_id", C.selected_text(F.col("candidates"), F.col("selected")).alias("text")).filter("text <> ''")
     kept = boxes.filter(~F.col("ignored") & ~F.col("type").isin(*skip_types) if skip_types else ~F.col("ignored"))
     ranked = kept.join(texts, "unit_id").join(unit_ranks(unit_regions, order), ["page_id", "unit_id"])
     w = Window.partitionBy("page_id").orderBy(F.col("rank").asc_nulls_last(), "unit_id")
-    return ranked.withColumn("place", F.row_number().over(w) - 1).select("page_id", "unit_id", "place", "text", "x", "y", "w", "h", preset.alias("preset"))
+    return ranked.withColumn("place", F.row_number().over(w) - 1).select("page_id", "unit_id", "place", "text", "x", "y", "w", "h", preset.alias("preset"), *shaped)
 
 
 def page_layers(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -55,8 +58,11 @@ def transcript(unit_regions: DataFrame, spans: DataFrame, units: DataFrame, orde
     return numbered.select("page_id", "n", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("source"), F.lit("  ->  "), F.col("target")).alias("line"))
 
 
-def lineage(unit_regions: DataFrame, regions: DataFrame, spans: DataFrame, units: DataFrame, order: DataFrame) -> DataFrame:
-    """(page_id, mapping): units of a page in order with their regions, spans and candidates, as JSON. Regions that are not there are left out."""
+def lineage(unit_regions: DataFrame, regions: DataFrame, spans: DataFrame, units: DataFrame, order: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """(page_id, mapping): units of a page in order with their regions, spans, candidates and edits, as JSON.
+
+    Regions that are not there are left out. log(unit_id, seq, action, before, after, editor) may be missing.
+    """
     with_spans = regions.join(spans.select("region_id", "seq", "text", F.col("confidence").alias("span_confidence")), "region_id", "left")
     with_spans = with_spans.groupBy("region_id", "x", "y", "w", "h", "type", "status").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "text", F.col("span_confidence").alias("confidence"))))), lambda s: F.struct(s["text"].alias("text"), s["confidence"].alias("confidence"))).alias("spans")
@@ -64,5 +70,8 @@ def lineage(unit_regions: DataFrame, regions: DataFrame, spans: DataFrame, units
     joined = unit_regions.join(with_spans, "region_id")
     per_unit = joined.groupBy("page_id", "unit_id").agg(F.array_sort(F.collect_list(F.struct("pos", "region_id", "type", "status", "x", "y", "w", "h", "spans"))).alias("regions"))
     full = per_unit.join(unit_ranks(unit_regions, order), ["page_id", "unit_id"]).join(units.select("unit_id", "candidates", "selected"), "unit_id", "left")
-    item = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "unit_id", "regions", "candidates", "selected")
+    if log is not None:
+        edits = F.array_sort(F.collect_list(F.struct("seq", "action", "before", "after", "editor")))
+        full = full.join(log.groupBy("unit_id").agg(edits.alias("edits")), "unit_id", "left")
+    item = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "unit_id", "regions", "candidates", "selected", *(["edits"] if log is not None else []))
     return full.groupBy("page_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("mapping"))

@@ -43,3 +43,10 @@ def select_where(table: DataFrame, column: str | None = None, value=None, order_
             raise ValueError(f"no column {c}")
     out = table if column is None else table.filter(F.col(column) == F.lit(value))
     return out if order_by is None else out.orderBy(order_by)
+
+
+def delete_where(table: DataFrame, column: str, value) -> DataFrame:
+    """The table without the rows that have this value."""
+    if column not in table.columns:
+        raise ValueError(f"no column {column}")
+    return table.filter(~F.col(column).eqNullSafe(F.lit(value)))
