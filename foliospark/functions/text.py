@@ -45,10 +45,13 @@ def romaji(text: Column) -> Column:
     return F.upper(F.aggregate(tokens, F.struct(F.lit("").alias("out"), F.lit(False).alias("small")), step, lambda s: s["out"]))
 
 
-def wrapped(text: Column, max_chars: Column) -> Column:
-    """Lines of a greedy wrap where every character is as wide as another; a word wider than a line is cut."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def wrapped(text: Column, max_chars: Column, chunk: int = 512) -> Column:
+    """Lines of a greedy wrap where every character is as wide as another; a word wider than a line is cut.
+
+    A fold copies its state at every step, so words are folded in chunks and a chunk's lines are added at its end.
+    """
     state = "struct<lines:array<string>,cur:string>"
+    none = F.array().cast("array<string>")
 
     def broken(w: Column) -> Column:
         n = F.ceil(F.length(w) / max_chars).cast("int")
@@ -63,9 +66,20 @@ def wrapped(text: Column, max_chars: Column) -> Column:
         many = F.struct(F.concat(flushed, F.slice(cut, 1, F.size(cut) - 1)).alias("lines"), F.element_at(cut, -1).alias("cur")).cast(state)
         return F.when(F.length(joined) <= max_chars, fits).when(F.length(w) <= max_chars, fresh).otherwise(many)
 
-    zero = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("cur")).cast(state)
-    lines = F.aggregate(words, zero, step, lambda s: F.when(s["cur"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["cur"]))))
-    return F.when(F.size(words) > 0, lines).otherwise(F.array(F.lit("")))
+    def begun(cur: Column) -> Column:
+        return F.struct(none.alias("lines"), cur.alias("cur")).cast(state)
+
+    def of_chunk(s: Column, words: Column) -> Column:
+        done = F.transform(F.array(F.aggregate(words, begun(s["cur"]), step)), lambda d: F.struct(F.concat(s["lines"], d["lines"]).alias("lines"), d["cur"].alias("cur")).cast(state))
+        return F.get(done, F.lit(0))
+
+    def of_words(words: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(chunk)), lambda i: F.slice(words, i, chunk))
+        lines = F.aggregate(chunks, begun(F.lit("")), of_chunk, lambda s: F.when(s["cur"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["cur"]))))
+        return F.when(F.size(words) > 0, lines).otherwise(F.array(F.lit("")))
+
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.get(F.transform(F.array(words), of_words), F.lit(0))
 
 
 def fit_size(rows: DataFrame, max_size: int, min_size: int, padding: float = 0.0) -> DataFrame:

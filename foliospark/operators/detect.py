@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -84,9 +87,72 @@ def merge_overlaps(regions: DataFrame, share: float = 0.2) -> DataFrame:
 
 def content_segments(ticks: DataFrame, key: str, place: str, min_gap: int) -> DataFrame:
     """Runs of inked places, cut where at least min_gap places between two are empty: (key, start, end), end exclusive."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(place)
     cut = F.coalesce(F.col(place) - F.lag(place).over(w) - 1 >= min_gap, F.lit(False))
     runs = ticks.select(key, place).distinct().withColumn("cut", cut.cast("int")).withColumn("run", F.sum("cut").over(w))
     return runs.groupBy(key, "run").agg(F.min(place).alias("start"), (F.max(place) + 1).alias("end")).drop("run")
+
+
+def model_regions(rows: DataFrame, width: float, height: float, scale: float = 1.0, pad_x: float = 0.0, pad_y: float = 0.0, least: float = 0.3, threshold: float = 0.45, labels: tuple[str, ...] = CLASS_LABELS) -> DataFrame:
+    """Regions (page_id, place, x, y, w, h, type, confidence) of a model's raw rows(page_id, rn, x1, y1, x2, y2, score, cls).
+
+    Back to the page's pixels, scores cut to 0..1, those under least gone, suppression, cut to the page, from the top left.
+    """
+    raw = F.struct("x1", "y1", "x2", "y2")
+    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))), 3)
+    found = rows.select("page_id", "rn", B.decoded(raw, scale, pad_x, pad_y).alias("b"), class_type(F.bround("cls").cast("int"), labels).alias("type"), score.alias("confidence")).filter(F.col("confidence") >= least)
+    flat = found.select("page_id", "rn", F.col("rn").cast("string").alias("region_id"), "b.*", "type", "confidence")
+    kept = flat.join(nms(flat, threshold).select("page_id", "rn"), ["page_id", "rn"], "left_semi")
+    cut = kept.withColumn("c", B.clamped(B.box(), width, height)).filter("c is not null")
+    out = cut.select("page_id", "rn", "c.*", "type", "confidence")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("y", "x", "rn")) - 1)
+
+
+def quad_regions(rows: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """rows(page_id, polys, texts, scores): a region (page_id, place, x, y, w, h, confidence, text, text_confidence) for each outline.
+
+    polys: outlines as arrays of arrays of numbers; a point without two of them is no point, an outline of fewer than three
+    none. texts and scores run beside them and may be shorter or null; without texts at all outlines count alone, else one
+    without a text goes. Boxes under a pixel go. From the top left.
+    """
+    points = lambda poly: F.filter(poly, lambda q: F.size(q) >= 2)
+    each = rows.select("page_id", "texts", "scores", F.posexplode("polys").alias("i", "poly")).withColumn("p", points(F.col("poly"))).filter(F.size("p") >= 3)
+    xs, ys = F.transform("p", lambda q: F.get(q, F.lit(0))), F.transform("p", lambda q: F.get(q, F.lit(1)))
+    boxed = each.select("page_id", "i", F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"), F.get("texts", F.col("i")).alias("text"), F.get("scores", F.col("i")).alias("text_confidence"), F.col("texts").isNull().alias("_bare"))
+    kept = boxed.filter((F.col("w") >= 1) & (F.col("h") >= 1) & (F.col("_bare") | F.col("text").isNotNull()))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("y", "x", "i")) - 1
+    return kept.select("page_id", place.alias("place"), "x", "y", "w", "h", F.coalesce("text_confidence", F.lit(confidence)).alias("confidence"), "text", "text_confidence")
+
+
+def joined_lines(texts: Column, scores: Column) -> Column:
+    """struct(text, confidence) of a recogniser's lines: texts one a line, the mean of the scores that are there, to three digits.
+
+    Scores beside missing texts do not count; scores may be fewer than texts.
+    """
+    some = F.filter(F.transform(texts, lambda t, i: F.struct(t.alias("t"), F.get(scores, i).alias("s"))), lambda p: p["t"].isNotNull())
+    known = F.filter(F.transform(some, lambda p: p["s"]), lambda s: s.isNotNull())
+    mean = F.when(F.size(known) > 0, F.round(F.aggregate(known, F.lit(0.0), lambda a, s: a + s) / F.size(known), 3))
+    return F.struct(F.array_join(F.transform(some, lambda p: p["t"]), "\n").alias("text"), mean.alias("confidence"))
+
+
+class Unavailable(RuntimeError):
+    """An engine's model or library is not there."""
+
+
+def with_fallback(primary: Callable[[DataFrame], DataFrame], fallback: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The first engine, or the second from the first time on that the first raises Unavailable while its plan is built."""
+    chosen: list[Callable[[DataFrame], DataFrame]] = []
+
+    def run(pages: DataFrame) -> DataFrame:
+        if not chosen:
+            try:
+                out = primary(pages)
+            except Unavailable as error:
+                warnings.warn(f"engine unavailable, falling back: {error}", stacklevel=2)
+                chosen.append(fallback)
+                return fallback(pages)
+            chosen.append(primary)
+            return out
+        return chosen[0](pages)
+
+    return run

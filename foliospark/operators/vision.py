@@ -139,7 +139,7 @@ def panels(image: np.ndarray, ink: int = 200, gutter: float = 0.02, depth: int =
         elif d < depth and len(c := runs(cols, gap)) > 1:
             todo += [(x + a, y, b - a, bh, d + 1) for a, b in c]
         elif rows.any():
-            (a, *_), (*_, b) = np.flatnonzero(rows)[[0, -1]][:1], np.flatnonzero(rows)[[0, -1]][1:]
+            a, b = np.flatnonzero(rows)[[0, -1]]
             l, r = np.flatnonzero(cols)[[0, -1]]
             found.append((float(x + l), float(y + a), float(r + 1 - l), float(b + 1 - a)))
     kept = sorted((b for b in found if b[2] * b[3] >= h * w * least), key=lambda b: (b[1], b[0]))
@@ -197,16 +197,16 @@ def preprocessed(image: np.ndarray, deskew: bool = False, longest: int = 2000) -
     return out, {"ops": ops, "scale": scale, "source": (w, h), "size": (out.shape[1], out.shape[0]), "orientation": orientation(w, h)}
 
 
-def letterbox(image: np.ndarray, size: int, fill: int = 114) -> tuple[np.ndarray, float, float, float]:
-    """The image scaled into a square, with the scale and the padding left and above."""
+def letterbox(image: np.ndarray, size: int, fill: int = 0) -> tuple[np.ndarray, float, float, float]:
+    """The image scaled into a square, with the scale and the padding left and above (unrounded: half the rest)."""
     h, w = image.shape[:2]
     scale = size / max(h, w)
     nh, nw = max(1, round(h * scale)), max(1, round(w * scale))
     y, x = np.minimum((np.arange(nh) / scale).astype(int), h - 1), np.minimum((np.arange(nw) / scale).astype(int), w - 1)
-    px, py = (size - nw) // 2, (size - nh) // 2
+    px, py = int((size - nw) / 2), int((size - nh) / 2)
     out = np.full((size, size, *image.shape[2:]), fill, np.uint8)
     out[py : py + nh, px : px + nw] = image[y][:, x]
-    return out, scale, float(px), float(py)
+    return out, scale, (size - nw) / 2, (size - nh) / 2
 
 
 def crop(image: np.ndarray, x: float, y: float, w: float, h: float) -> np.ndarray:
@@ -275,3 +275,58 @@ def sample_pages(spark, count: int) -> DataFrame:
             yield pd.DataFrame({"page_id": b["id"], "png": [encode_png(sample_page(int(i))) for i in b["id"]]})
 
     return spark.range(count).mapInPandas(run, "page_id long, png binary")
+
+
+def over_pages(images: DataFrame, rows: DataFrame, function: Callable[[np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """function over each page's image, images(page_id, png), and its rows(page_id, ...); pages without rows get none of them."""
+
+    def run(image: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if image.empty:
+            return pd.DataFrame(columns=["page_id", *(c.split()[0] for c in schema.split(", "))])
+        got = function(decode_png(image["png"].iloc[0]), mine)
+        got.insert(0, "page_id", image["page_id"].iloc[0])
+        return got
+
+    return images.select("page_id", "png").groupBy("page_id").cogroup(rows.groupBy("page_id")).applyInPandas(run, f"page_id long, {schema}")
+
+
+def mask_images(images: DataFrame, boxes: DataFrame, border: int = 4) -> DataFrame:
+    """(page_id, png, mask): images with boxes(page_id, ord, x0, y0, x1, y1) filled in order, and what was filled."""
+
+    def one(image: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+        some = rows.sort_values("ord")[["x0", "y0", "x1", "y1"]].astype(int).itertuples(index=False, name=None)
+        clean, layer = masked(image, list(some), border)
+        return pd.DataFrame({"png": [encode_png(clean)], "mask": [encode_png(layer.astype(np.uint8) * 255)]})
+
+    return over_pages(images, boxes, one, "png binary, mask binary")
+
+
+def composite_images(images: DataFrame, placements: DataFrame) -> DataFrame:
+    """(page_id, png, overflow): images with fitted placements painted in order, those with an outline fitted to it.
+
+    placements as typeset.fitted gives them, with place; outline (array of struct x, y in page coordinates) may be null.
+    overflow counts those that do not fit at their least size.
+    """
+    from ..functions import typeset
+
+    def one(image: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.repeat(image[:, :, None], 3, 2) if image.ndim == 2 else image
+        over = 0
+        for r in rows.sort_values("place").itertuples(index=False):
+            style = typeset.PRESETS.get(r.preset, typeset.PRESETS["default"])
+            outline = getattr(r, "outline", None)
+            if outline is not None and len(outline) >= 3:
+                shape = np.array([[p["x"] - r.x, p["y"] - r.y] for p in outline], float)
+                fit = typeset.fit_outline(r.text, r.w, r.h, style, shape)
+                lines, size, full = [], fit.font_size, fit.overflow
+                for i, (t, (left, right)) in enumerate(zip(fit.lines, fit.bands)):
+                    free = right - left - 2 * style.padding - (len(t) * size / 2 + 2 * style.stroke)
+                    x = left + style.padding + {"left": 0.0, "right": free}.get(style.align, free / 2)
+                    lines.append((t, round(x), round(fit.top + i * fit.step)))
+            else:
+                lines, size, full = [(q["line"], q["x"], q["y"]) for q in r.lines], r.font_size, r.overflow
+            over += bool(full)
+            out = typeset.painted(out, r.x, r.y, r.w, r.h, lines, size, style)
+        return pd.DataFrame({"png": [encode_png(out)], "overflow": [over]})
+
+    return over_pages(images, placements, one, "png binary, overflow long")
