@@ -413,22 +413,6 @@ def romaji(spark, d):
     return rows.select("id", text.romaji(F.col("kana")).alias("romaji"))
 
 
-LINES = "select doc_id, rk, line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 rk from documents) l where rk < 4"
-
-
-@query(f"""with recursive l as ({LINES}), w as (select doc_id, rk, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') ws from l),
-s as (select doc_id, rk, ws, 0 i, []::varchar[] lines, '' cur from w
-  union all select doc_id, rk, ws, i + 1,
-    case when length(joined) <= 14 then lines when length(word) <= 14 then flushed
-      else flushed || list_transform(range(0, ((length(word) + 13) // 14) - 1), lambda k: substr(word, (k * 14 + 1)::bigint, 14)) end,
-    case when length(joined) <= 14 then joined when length(word) <= 14 then word else substr(word, (((length(word) + 13) // 14 - 1) * 14 + 1)::bigint, 14) end
-  from (select *, ws[i + 1] word, case when cur = '' then ws[i + 1] else cur || ' ' || ws[i + 1] end joined, case when cur = '' then lines else list_append(lines, cur) end flushed from s where i < len(ws)) q)
-select doc_id, rk::int rk, array_to_string(case when len(ws) = 0 then [''] when cur = '' then lines else list_append(lines, cur) end, '|') lines from s where i = len(ws)""")
-def wrap_fixed(spark, d):
-    lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 4)).alias("rk", "line"))
-    return lines.select("doc_id", "rk", F.array_join(text.wrapped(F.col("line"), F.lit(14)), "|").alias("lines"))
-
-
 ALL_LINES = "select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 rk from documents"
 
 
@@ -441,7 +425,6 @@ s as (select doc_id, rk, ws, 0 i, []::varchar[] lines, '' cur from w
   from (select *, ws[i + 1] word, case when cur = '' then ws[i + 1] else cur || ' ' || ws[i + 1] end joined, case when cur = '' then lines else list_append(lines, cur) end flushed from s where i < len(ws)) q)
 select doc_id, rk::int rk, array_to_string(case when len(ws) = 0 then [''] when cur = '' then lines else list_append(lines, cur) end, '|') lines from s where i = len(ws)""")
 def wrap_lines(spark, d):
-    """Every line of every text; wrap_fixed has the first four of each."""
     lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("rk", "line"))
     return lines.select("doc_id", "rk", F.array_join(text.wrapped(F.col("line"), F.lit(14)), "|").alias("lines"))
 
@@ -460,6 +443,9 @@ def scanline(spark, d):
 # export and increments
 
 ORDERED = f"select page_id, region_id, rn reading_order from ({G}) g"
+#: Edits of some units, up to two each.
+EDITS = f"""select unit_id, cast(k as int) seq, concat('edit ', cast(k as varchar(9)), ' of ', unit_id) after
+from (select page_id, unit_id, min(rn) n from ({X.UNIT_REGIONS}) r group by page_id, unit_id) u cross join (select 1 k union all select 2) v where (page_id + n) % 5 = 0 and k <= 1 + page_id % 2"""
 RANKS = f"select page_id, unit_id, min(rn) rank from ({X.UNIT_REGIONS}) u group by page_id, unit_id"
 
 
@@ -495,16 +481,26 @@ def transcript(spark, d):
     return export.transcript(unit_regions(spark, d), spans(spark, d), units(spark, d), _order(spark, d))
 
 
-@query(f"""select u.page_id, rank::int rank, u.unit_id, u.pos::int pos, u.region_id, coalesce(n, 0)::int n_spans, m::int n_candidates from ({X.UNIT_REGIONS}) u
-join ({RANKS}) r on r.unit_id = u.unit_id left join (select region_id, count(*) n from ({X.SPANS}) s group by region_id) s on s.region_id = u.region_id
-join (select unit_id, count(*) m from ({X.CANDIDATES}) c group by unit_id) c on c.unit_id = u.unit_id""")
+@query(f"""select u.page_id, rank::int rank, u.unit_id, u.pos::int pos, u.region_id, g.type, g.status, g.x::int x, g.y::int y, g.w::int w, g.h::int h, coalesce(s.texts, '') texts,
+  m.texts candidates, m.sel selected, coalesce(e.edits, '') edits from ({X.UNIT_REGIONS}) u join ({G}) g on g.region_id = u.region_id
+join ({RANKS}) r on r.unit_id = u.unit_id left join (select region_id, string_agg("text", '|' order by seq) texts from ({X.SPANS}) s group by region_id) s on s.region_id = u.region_id
+join (select unit_id, array_to_string(list_transform(c, lambda x: x.id || '=' || x.text), '|') texts, sel from ({PICK}) p) m on m.unit_id = u.unit_id
+left join (select unit_id, string_agg(seq::varchar || ':' || "after", '|' order by seq) edits from ({EDITS}) e group by unit_id) e on e.unit_id = u.unit_id""")
 def lineage(spark, d):
     # the nested mapping, flattened again: JSON text of doubles differs between engines
-    made = export.lineage(unit_regions(spark, d), regions(spark, d), spans(spark, d), units(spark, d), _order(spark, d))
-    kind = "array<struct<rank:int,unit_id:string,regions:array<struct<pos:int,region_id:string,spans:array<struct<text:string>>>>,candidates:array<struct<id:string>>>>"
-    u = made.select("page_id", F.explode(F.from_json("mapping", kind)).alias("u"))
-    r = u.select("page_id", "u.rank", "u.unit_id", F.size("u.candidates").alias("n_candidates"), F.explode("u.regions").alias("r"))
-    return r.select("page_id", "rank", "unit_id", F.col("r.pos").alias("pos"), F.col("r.region_id").alias("region_id"), F.size("r.spans").alias("n_spans"), "n_candidates")
+    log = X.frame(spark, d, EDITS).withColumns({"action": F.lit("edit_translation"), "before": F.lit(""), "editor": F.lit("user")})
+    made = export.lineage(unit_regions(spark, d), regions(spark, d), spans(spark, d), units(spark, d), _order(spark, d), log)
+    span, cand, edit = "struct<text:string>", "struct<id:string,text:string>", "struct<seq:int,after:string>"
+    region = f"struct<pos:int,region_id:string,type:string,status:string,x:double,y:double,w:double,h:double,spans:array<{span}>>"
+    kind = f"array<struct<rank:int,unit_id:string,regions:array<{region}>,candidates:array<{cand}>,selected:string,edits:array<{edit}>>>"
+    u = made.select("page_id", F.explode(F.from_json("mapping", kind)).alias("u")).select("page_id", "u.*")
+    r = u.select("page_id", "rank", "unit_id", "candidates", "selected", "edits", F.explode("regions").alias("r"))
+    listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
+    return r.select(
+        "page_id", "rank", "unit_id", *[F.col(f"r.{c}").alias(c) for c in ("pos", "region_id", "type", "status")], *[F.col(f"r.{c}").cast("int").alias(c) for c in "xywh"],
+        listed("r.spans", lambda x: x["text"]).alias("texts"), listed("candidates", lambda x: F.concat_ws("=", x["id"], x["text"])).alias("candidates"), "selected",
+        listed("edits", lambda x: F.concat_ws(":", x["seq"].cast("string"), x["after"])).alias("edits"),
+    )
 
 
 @query("""select doc_id, sha256(concat(chr(0), chr(0), chr(0), chr(0), chr(0), chr(0), chr(0), chr(length(lang)::int), lang, chr(0), chr(0), chr(0), chr(0), chr(0), chr(0), chr(0), chr(length(source)::int), source)) key from documents""")
@@ -576,3 +572,6 @@ EDGES = [("import", "preprocess"), ("import", "detect"), ("detect", "structure")
 @query("with recursive e(src, dst) as (values " + ", ".join(map(str, EDGES)) + "), c as (select * from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
 def dag_closure(spark, d):
     return dag.closure(spark.createDataFrame(EDGES, "src string, dst string"))
+
+
+from . import edit_queries  # noqa: E402, F401  adds its own to the tables above

@@ -91,7 +91,8 @@ def test_mask_and_restore():
     out, info = vision.preprocessed(page, longest=20)
     assert out.shape == (20, 20, 3) and info["orientation"] == "square" and info["scale"] == 0.5
     boxed, scale, px, py = vision.letterbox(np.zeros((10, 20), np.uint8), 40)
-    assert boxed.shape == (40, 40) and (scale, px, py) == (2.0, 0.0, 10.0)
+    assert boxed.shape == (40, 40) and (scale, px, py) == (2.0, 0.0, 10.0) and not boxed[:10].any()
+    assert vision.letterbox(np.full((10, 20), 9, np.uint8), 41)[2:] == (0.0, 10.5)
     assert vision.crop(page, 39.6, 39.6, 5, 5).shape == (1, 1)
 
 
@@ -130,29 +131,6 @@ def test_registry():
         r.get("none")
 
 
-def _regions(spark):
-    rows = [(1, f"r{i}", i, float(10 * i), 0.0, 8.0, 20.0) for i in range(4)]
-    return spark.createDataFrame(rows, "page_id long, region_id string, reading_order int, x double, y double, w double, h double")
-
-
-def test_region_edits(spark):
-    r = _regions(spark)
-    got = {x["region_id"]: (x["reading_order"], x["y"], x["h"]) for x in history.split_region(r, "r1", 0.25).collect()}
-    assert got == {"r0": (0, 0, 20), "r1": (1, 0, 5), "r1_b": (2, 5, 15), "r2": (3, 0, 20), "r3": (4, 0, 20)}
-    got = {x["region_id"]: (x["reading_order"], x["x"], x["w"]) for x in history.merge_regions(r, ["r3", "r1"]).collect()}
-    assert got == {"r0": (0, 0, 8), "r1": (1, 10, 28), "r2": (2, 20, 8)}
-    units = spark.createDataFrame([("a", ["r1"]), ("b", ["r1", "r2"])], "unit_id string, ordered_region_ids array<string>")
-    left, kept = history.delete_region(r, units, "r1")
-    assert {x["region_id"]: x["reading_order"] for x in left.collect()} == {"r0": 0, "r2": 1, "r3": 2}
-    assert [(x["unit_id"], x["ordered_region_ids"]) for x in kept.collect()] == [("b", ["r2"])]
-    got = {x["region_id"]: x["reading_order"] for x in history.reorder(r, 1, ["r3", "r2", "r1", "r0"]).collect()}
-    assert got == {"r3": 0, "r2": 1, "r1": 2, "r0": 3}
-    with pytest.raises(ValueError):
-        history.reorder(r, 1, ["r3", "r2"])
-    with pytest.raises(ValueError):
-        history.split_region(r, "r1", 1.0)
-
-
 def test_stream_matches_batch(spark, tmp_path):
     rows = [(p, i, c) for i, (p, c) in enumerate([(1, "edit"), (2, "edit"), (1, "edit"), (1, "undo"), (2, "undo"), (1, "redo"), (2, "redo"), (1, "undo"), (2, "edit"), (1, "edit"), (2, "undo")])]
     df = spark.createDataFrame(rows, "page_id long, cmd_seq int, cmd string")
