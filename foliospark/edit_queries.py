@@ -564,7 +564,7 @@ def panels(spark, d):
 
 
 #: Pixels of small pages by a rule: page, column, row.
-PIXELS = "select n_nationkey page_id, x, y, (x * 7 + y * 13 + n_nationkey * 29 + (x * y) % 11) % 251 v from nation, range(0, 40) a(x), range(0, 30) b(y)"
+PIXELS = "select n_nationkey::bigint page_id, x, y, (x * 7 + y * 13 + n_nationkey * 29 + (x * y) % 11) % 251 v from nation, range(0, 40) a(x), range(0, 30) b(y)"
 
 
 def _ruled_pages(spark, d) -> DataFrame:

@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda's argument is, an expression used several times is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scanline_span(polygon: Column, y: Column) -> Column:
     """struct(l, r) of the outermost crossings of the line at y; null with fewer than two, or three points.
 
     An edge counts where its lower end is at or above the line and its upper end is beyond it.
     """
-    n = F.size(polygon)
 
-    def crossing(a: Column, i: Column) -> Column:
-        b = F.get(polygon, F.pmod(i + 1, n))
-        hit = (F.least(a["y"], b["y"]) <= y) & (y < F.greatest(a["y"], b["y"]))
-        return F.when(hit, a["x"] + (y - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"]))
+    def crossings(points: Column) -> Column:
+        def crossing(a: Column, i: Column) -> Column:
+            b = F.get(points, F.pmod(i + 1, F.size(points)))
+            hit = (F.least(a["y"], b["y"]) <= y) & (y < F.greatest(a["y"], b["y"]))
+            return F.when(hit, a["x"] + (y - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"]))
+
+        return F.when(F.size(points) >= 3, F.filter(F.transform(points, crossing), lambda x: x.isNotNull()))
 
-    xs = F.filter(F.transform(polygon, crossing), lambda x: x.isNotNull())
-    return F.when((n >= 3) & (F.size(xs) >= 2), F.struct(F.array_min(xs).alias("l"), F.array_max(xs).alias("r")))
+    outermost = lambda xs: F.when(F.size(xs) >= 2, F.struct(F.array_min(xs).alias("l"), F.array_max(xs).alias("r")))
+    return let(let(polygon, crossings), outermost)
 
 
 def band_inner(polygon: Column, top: Column, bottom: Column, samples: int = 5) -> Column:
     """struct(l, r) inside the polygon on all of `samples` lines from top to bottom; null if there is none."""
-    spans = [scanline_span(polygon, top + (bottom - top) * i / (samples - 1)) for i in range(samples)]
-    left, right = F.greatest(*[s["l"] for s in spans]), F.least(*[s["r"] for s in spans])
-    all_hit = spans[0].isNotNull()
-    for s in spans[1:]:
-        all_hit = all_hit & s.isNotNull()
-    return F.when((bottom >= top) & all_hit & (right > left), F.struct(left.alias("l"), right.alias("r")))
+
+    def inner(points: Column) -> Column:
+        return F.transform(F.array(*[top + (bottom - top) * i / (samples - 1) for i in range(samples)]), lambda y: scanline_span(points, y))
+
+    def common(spans: Column) -> Column:
+        left, right = F.array_max(F.transform(spans, lambda s: s["l"])), F.array_min(F.transform(spans, lambda s: s["r"]))
+        return F.when((bottom >= top) & ~F.exists(spans, lambda s: s.isNull()) & (right > left), F.struct(left.alias("l"), right.alias("r")))
+
+    return let(let(polygon, inner), common)

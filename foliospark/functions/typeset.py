@@ -88,11 +88,16 @@ def fitted(placements: DataFrame) -> DataFrame:
             fits = (width <= room_w) & (block <= room_h)
             return F.struct(fits.alias("done"), z.alias("size"), down.alias("step"), width.alias("width"), block.alias("height"), rows.alias("lines")).cast(state)
 
-        return F.when(s["done"], s).otherwise(F.get(F.transform(F.array(lines), measured), F.lit(0)))
+        # sizes at which the characters alone need more lines than there is room for are not wrapped, but for the least
+        least = F.ceil(F.col("_chars") / per_line)
+        height = z + 2 * stroke
+        hopeless = (z > _of_preset(name, "min_size")) & (F.bround(height * spacing) * (least - 1) + height > room_h)
+        return F.when(s["done"] | hopeless, s).otherwise(F.get(F.transform(F.array(lines), measured), F.lit(0)))
 
     zero = F.struct(F.lit(False).alias("done"), *[F.lit(0).alias(n) for n in ("size", "step", "width", "height")], F.array().cast("array<string>").alias("lines")).cast(state)
     best = F.aggregate(F.sequence(_of_preset(name, "max_size"), _of_preset(name, "min_size"), F.lit(-1)), zero, step)
-    out = placements.withColumn("_b", F.explode(F.array(best)))  # once a row
+    chars = F.greatest(F.lit(1), F.length(F.regexp_replace("text", r"\s+", "")))
+    out = placements.withColumn("_chars", F.explode(F.array(chars))).withColumn("_b", F.explode(F.array(best))).drop("_chars")  # each once a row
     align, size = _of_preset(name, "align"), F.col("_b.size")
     top = pad + F.greatest(F.lit(0), F.floor((F.bround("h") - 2 * pad - F.col("_b.height")) / 2))
     free = F.bround("w") - 2 * pad

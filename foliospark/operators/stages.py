@@ -144,15 +144,12 @@ def unit_contexts(pages: DataFrame, regions: DataFrame, spans: DataFrame, units:
     placed = units.select("page_id", "unit_id").join(first, ["page_id", "unit_id"], "left").join(sources, ["page_id", "unit_id"], "left").withColumn("text", F.coalesce("source", F.lit("")))
     w = Window.partitionBy("page_id")
     ranked = placed.withColumn("rk", F.row_number().over(w.orderBy(F.col("reading_order").asc_nulls_last(), "unit_id")) - 1).withColumn("_scoped", F.max(F.col("panel").isNotNull()).over(w))
-    flat = context.context_flat(ranked, window)
-    inside = context.context_panel(ranked, window).select("page_id", "rk", F.col("preceding").alias("_p"), F.col("following").alias("_f"))
-    both = ranked.join(flat, ["page_id", "rk"]).join(inside, ["page_id", "rk"])
+    both = context.with_panel(context.with_flat(ranked, window), window, "_p", "_f")
     both = both.withColumns({"preceding": F.when(F.col("_scoped"), F.col("_p")).otherwise(F.col("preceding")), "following": F.when(F.col("_scoped"), F.col("_f")).otherwise(F.col("following"))})
-    terms = glossary.applicable(both.select("unit_id", "text"), entries, "unit_id").groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source", "target"))), lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"))).alias("terms"))
+    with_terms = glossary.with_applicable(both, entries)
     count = pages.agg(F.count("*").alias("page_count"))  # one row
-    full = both.join(pages.select("page_id", F.col("idx").alias("page_index")), "page_id").join(terms, "unit_id", "left").crossJoin(F.broadcast(count))
-    none = F.array().cast("array<struct<source:string,target:string>>")
-    return full.select("page_id", "unit_id", F.col("text").alias("source"), "preceding", "following", "page_index", "page_count", F.coalesce("terms", none).alias("terms"))
+    full = with_terms.join(pages.select("page_id", F.col("idx").alias("page_index")), "page_id").crossJoin(F.broadcast(count))
+    return full.select("page_id", "unit_id", F.col("text").alias("source"), "preceding", "following", "page_index", "page_count", "terms")
 
 
 def translate_stage(
@@ -167,32 +164,31 @@ def translate_stage(
     """
     contexts = unit_contexts(pages, regions, spans, units, entries, window).join(units.select("unit_id", "ordered_region_ids"), "unit_id")
     made = F.to_json(F.struct("preceding", "following", "page_index", "page_count", F.col("terms").alias("glossary")))
-    full = contexts.withColumn("context", made)
-    line = F.concat_ws(":", "unit_id", F.array_join("ordered_region_ids", ","), "source", "context")
+    item = F.struct("unit_id", "ordered_region_ids", "source", "preceding", "following", "page_index", "page_count", "terms", made.alias("context"))
+    # a page's units in one row: its signature and, if that is new, its units come from one pass
+    per_page = contexts.groupBy("page_id").agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    line = F.transform("rows", lambda r: F.concat_ws(":", r["unit_id"], F.array_join(r["ordered_region_ids"], ","), r["source"], r["context"]))
     tag = f"translate|{name}|{target_lang}|{style}|{window}"
-    if only is None:
-        todo = _to_do(K.fingerprint(full, "page_id", line, "unit_id"), tag, provenance, force)
-        work = full.join(todo.select("page_id"), "page_id", "left_semi")
-    else:
-        todo = full.select("page_id", F.lit(None).cast("string").alias("signature")).limit(0)
-        work = full.join(only.select("unit_id"), "unit_id", "left_semi")
+    signed = per_page.withColumn("signature", K.content_key(F.lit(tag), F.sha2(F.array_join(line, "\n"), 256)))
+    if provenance is not None and not force and only is None:
+        stored = provenance.select("page_id", F.col("signature").alias("_stored"))
+        signed = signed.join(stored, "page_id", "left").filter(~F.coalesce(F.col("_stored") == F.col("signature"), F.lit(False))).drop("_stored")
+    work = signed.select("page_id", F.explode("rows").alias("r")).select("page_id", "r.*")
+    if only is not None:
+        work = work.join(only.select("unit_id"), "unit_id", "left_semi")
     said = translate(work).withColumn("text", F.when(F.trim("source") == "", "").otherwise(F.coalesce("translation", F.lit("")))).withColumn("source_text", F.col("source"))
     done = glossary.enforce(said, entries, ["unit_id", "source", "context", "translation_confidence"])
+    mark = F.concat("unit_id", F.lit("_"), F.substring(F.sha2(F.concat_ws("|", F.lit(tag), "context", "fixed"), 256), 1, 12))
+    done = done.select("unit_id", F.explode(F.array(F.struct(mark.alias("id"), "fixed", F.col("source").alias("_source"), F.col("context").alias("_context"), F.col("translation_confidence").alias("sure")))).alias("_n"))  # once a row
+    joined = units.withColumns({"_c": F.col("candidates"), "_s": F.col("selected")}).join(done, "unit_id", "left")
+    hit = F.col("_n").isNotNull()
+    after = C.attach_raw(joined, C.candidate(F.col("_n.id"), "raw", F.col("_n.fixed"), F.col("_n.sure")))
+    old = {c: F.col(c) if c in units.columns else F.lit(None).cast("string") for c in ("source", "context", "style")}
+    new = {"candidates": F.col("candidates"), "selected": F.col("selected"), "source": F.col("_n._source"), "context": F.col("_n._context"), "style": F.lit(style)}
+    out = after.withColumns({c: F.when(hit, v).otherwise({"candidates": F.col("_c"), "selected": F.col("_s"), **old}[c]) for c, v in new.items()})
     columns = [*units.columns, *(c for c in ("source", "context", "style") if c not in units.columns)]
-    joined = units.drop("source", "context").join(done.withColumn("_hit", F.lit(True)), "unit_id", "left")
-    raw = C.candidate(F.concat("unit_id", F.lit("_"), F.substring(F.sha2(F.concat_ws("|", F.lit(tag), "context", "fixed"), 256), 1, 12)), "raw", F.col("fixed"), F.col("translation_confidence"))
-    after = C.attach_raw(joined, raw)
-    hit = F.coalesce("_hit", F.lit(False))
-    pairs = joined.select("unit_id", F.col("candidates").alias("_c"), F.col("selected").alias("_s"))
-    out = after.join(pairs, "unit_id").withColumns({"candidates": F.when(hit, F.col("candidates")).otherwise(F.col("_c")), "selected": F.when(hit, F.col("selected")).otherwise(F.col("_s"))})
-    if "style" not in units.columns:
-        out = out.withColumn("style", F.lit(None).cast("string"))
-    out = out.withColumn("style", F.when(hit, F.lit(style)).otherwise(F.col("style")))
-    for c in ("source", "context"):
-        if c in units.columns:
-            out = out.join(units.select("unit_id", F.col(c).alias("_old")), "unit_id").withColumn(c, F.when(hit, F.col(c)).otherwise(F.col("_old"))).drop("_old")
-    counts = work.groupBy("page_id").agg(F.count("*").alias("count"))
-    return Done(out.select(columns), todo.join(counts, "page_id"))
+    provenance_ = signed.select("page_id", "signature", F.size("rows").cast("long").alias("count"))
+    return Done(out.select(columns), provenance_ if only is None else provenance_.limit(0))
 
 
 def mask_boxes(regions: DataFrame, skip_types: tuple[str, ...] = ()) -> DataFrame:
