@@ -14,14 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
-def blocked(rows: DataFrame, key: str, id_column: str, limit: int, keys: DataFrame | None = None) -> DataFrame:
-    """rows with _bi, _bj (the group's blocks) and _b (the row's own block). keys: a cheaper table with the same keys."""
-    counts = (keys if keys is not None else rows).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+def blocked(rows: DataFrame, key: str, id_column: str, limit: int, keys: DataFrame | None = None, weight: str | None = None, heaviest: int = 0) -> DataFrame:
+    """rows with _bi, _bj (the group's blocks) and _b (the row's own block). keys: a cheaper table with the same keys.
+
+    weight: a column whose sum in a group is to be at most about heaviest; one row may weigh more.
+    """
+    load = F.greatest(F.count("*") / limit, F.sum(weight) / heaviest) if weight else F.count("*") / limit
+    counts = (keys if keys is not None else rows).groupBy(key).agg(load.alias("_n")).filter(F.col("_n") > 1)
     counts = written(counts, "hot")  # few rows: the planner sees its size and broadcasts it, or not
-    n = F.coalesce(F.ceil(F.col("_n") / F.lit(limit // 2)), F.lit(1)).cast("int")
+    n = F.coalesce(F.ceil(2 * F.col("_n")), F.lit(1)).cast("int")
     dealt = rows.join(counts, key, "left").withColumn("_k", n).withColumn("_b", F.pmod(F.xxhash64(F.lit(5), id_column), F.col("_k")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.struct(F.least("_b", j).alias("i"), F.greatest("_b", j).alias("j")))
     return dealt.withColumn("_p", F.explode(pairs)).withColumn("_bi", F.col("_p.i")).withColumn("_bj", F.col("_p.j")).drop("_n", "_k", "_p")
@@ -70,6 +74,7 @@ def grouped(rows: DataFrame, key: str, columns: list[str], schema: str, function
             rest = table.slice(cut)
         if rest is not None and len(rest):
             yield from settle(rest)
+        release()
 
     return parts.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocked, grouped, pairs_meet, roots
-from .common import bounded_batches, components, documents, written
+from .common import components, discard, documents, slices, written
 
 SEED = 42  # of XXH64
 
@@ -61,29 +61,15 @@ def fingerprint(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Hashes for a further fingerprint of the same shingles; lane 0 leaves them."""
-    if not lane:
-        return hashes
-    h = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
-    return (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-
-
-def signed(docs: DataFrame, shingle: int, lanes: int = 1) -> DataFrame:
-    """doc_id and fingerprints fp0, fp1, ... (long) of every row of docs(doc_id, text); a null text is empty."""
-    bounded_batches(docs.sparkSession)
-    names = ["doc_id", *(f"fp{i}" for i in range(lanes))]
+def signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and fingerprint fp (long) of every row of docs(doc_id, text); a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                h = shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle)
-                rows.append([fingerprint(remixed(h, i)) for i in range(lanes)])
-            columns = np.array(rows, np.int64).reshape(-1, lanes).T
-            yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(c) for c in columns)], names)
+        for b in slices(batches):
+            marks = [fingerprint(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)) for t in b["text"]]
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array(marks, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def within(radius: int):
@@ -118,56 +104,62 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     repeat a doc_id are kept. A null doc_id never names a component: such a row gets that of its class, null if
     it has none. Other columns are not read; an empty table gives no row.
     """
-    signs = written(signed(docs, shingle).withColumnRenamed("fp0", "fp"), "simhash")
+    signs = written(signed(docs, shingle), "simhash")
     classes = written(signs.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
     labels = components(link_fingerprints(classes, radius))
     joined = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return signs.join(joined, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs(u, v) of ids whose sets of shingles share `similarity` or more of their union."""
-    ids = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "doubtful")
+#: Bytes of a hash that a set carries: two texts of 400 shingles each get one in common by chance in 1.5e-7 of cases.
+CARRIED = 5
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)).tobytes() for t in b["text"]]
-            yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array(data, pa.binary())], ["doc_id", "hashes"])
 
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.record_batch([b["u"], b["v"], pa.array(good, pa.bool_())], ["u", "v", "good"])
+def carried(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CARRIED].tobytes()
 
-    sets = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(shingles, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
-    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
-    return both.mapInArrow(share, "u long, v long, good boolean").filter("good").select("u", "v")
+
+def as_set(data: bytes) -> np.ndarray:
+    """The distinct numbers that carried() kept."""
+    out = np.zeros((len(data) // CARRIED, 8), np.uint8)
+    out[:, :CARRIED] = np.frombuffer(data, np.uint8).reshape(-1, CARRIED)
+    return np.unique(out.view("<u8")[:, 0])
+
+
+def shingle_set(text: pa.BinaryScalar | pa.StringScalar, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
+
+
+def minima(hashes: np.ndarray, lanes: int, chunk: int = 1 << 12) -> np.ndarray:
+    """The least of the hashes under each of `lanes` fixed mixings of 64-bit numbers."""
+    rng = np.random.default_rng(5)
+    salt, factor = rng.integers(0, 1 << 64, (2, lanes, 1), np.uint64)
+    factor |= np.uint64(1)
+    least = np.full(lanes, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), chunk):
+        np.minimum(least, ((hashes[None, i : i + chunk] ^ salt) * factor).min(1), out=least)
+    return least
 
 
 def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, a 128-bit digest (a, b) of the text's set of shingles, its size and the keys of its bands, of every row.
 
-    A band is `rows` minima of remixed shingles. tags has the low byte of each minimum. A set without shingles has no keys.
+    A band is `rows` minima. tags has the low byte of each minimum. A set without shingles has no keys.
     """
-    bounded_batches(docs.sparkSession)
     lanes = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b["text"]:
-                h = np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
+                h = shingle_set(text, shingle)
                 low, high = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist()
                 if not len(h):
                     out.append((low, high, 0, [], b""))
                     continue
-                least = np.array([remixed(h, i + 1).min() for i in range(lanes)], "<u8")
+                least = minima(h, lanes).astype("<u8")
                 keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(bands, rows))]
-                out.append((low, high, len(h), np.array(keys, np.uint64).view(np.int64), least.astype(np.uint8).tobytes()))
+                out.append((low, high, len(h), np.array(keys, np.uint64).view(np.int64), (least >> np.uint64(32)).astype(np.uint8).tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
             columns = zip(*out) if out else [()] * len(kinds)
             yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "a", "b", "size", "keys", "tags"])
@@ -175,6 +167,34 @@ def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, size int, keys array<long>, tags binary")
 
 
+def _with_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(rep, hashes): the sets of shingles of the documents ids(rep), as carried(); the greatest where an id has several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            data = [carried(shingle_set(t, shingle)) for t in b["text"]]
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array(data, pa.binary())], ["rep", "hashes"])
+
+    found = docs.select("doc_id", "text").join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    return found.mapInArrow(run, "rep long, hashes binary").groupBy("rep").agg(F.max("hashes").alias("hashes"))
+
+
+def _tested(sets: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """Those of stars(u, v) of ids whose sets(rep, hashes) of shingles share `similarity` or more of their union."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            good = []
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
+                x, y = as_set(x), as_set(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.record_batch([b["u"], b["v"], pa.array(good, pa.bool_())], ["u", "v", "good"])
+
+    both = stars.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+    return both.mapInArrow(share, "u long, v long, good boolean").filter("good").select("u", "v")
+
+
 def least_matches(similarity: float, lanes: int, risk: float = 1e-9) -> int:
     """The most equal minima of `lanes` that a pair of `similarity` falls short of with a chance of at most risk."""
     short, n = 0.0, 0
@@ -183,50 +203,102 @@ def least_matches(similarity: float, lanes: int, risk: float = 1e-9) -> int:
     return n
 
 
-def _alike(similarity: float, lanes: int):
-    """A function for grouped(): the pairs (u, v), u > v, of classes of different components that size and minima do not rule out."""
+def _open(similarity: float, lanes: int):
+    """A function for grouped(): the classes that have another in their cell, of a different component, that sizes and minima do not rule out."""
     least = least_matches(similarity, lanes)
 
-    def pairs(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
+    def some(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
         rep, comp, size = (group[c].to_numpy() for c in ("rep", "comp", "size"))
-        if (comp == comp[0]).all():
-            return None
-        near = (comp[:, None] != comp[None, :]) & (rep[:, None] > rep[None, :])
+        near = np.triu(comp[:, None] != comp[None, :])
         near &= np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :])
         if (meet := pairs_meet(own, bi, bj)) is not None:
             near &= meet
         u, v = np.nonzero(near)
+        if not len(u):
+            return None
         tags = np.frombuffer(b"".join(group["tags"].to_pylist()), np.uint8).reshape(-1, lanes)
-        good = np.concatenate([np.zeros(0, bool), *((tags[u[i : i + 65536]] == tags[v[i : i + 65536]]).sum(1) >= least for i in range(0, len(u), 65536))])
-        return {"u": rep[u[good]], "v": rep[v[good]]} if good.any() else None
+        rows = np.zeros(len(rep), bool)
+        for i in range(0, len(u), 65536):
+            x, y = u[i : i + 65536], v[i : i + 65536]
+            good = (tags[x] == tags[y]).sum(1) >= least
+            rows[x[good]] = rows[y[good]] = True
+        return {"cell": group["cell"].to_numpy()[rows], "rep": rep[rows], "size": size[rows]} if rows.any() else None
+
+    return some
+
+
+def shared(sets: list[np.ndarray], width: int = 1 << 12) -> np.ndarray:
+    """How many hashes each two sets have in common, from products of incidence matrices of `width` hashes at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = count > 1  # others are in one set alone
+    number = np.cumsum(many) - 1
+    keep = many[place]
+    row, column = row[keep], number[place[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, int(many.sum()) + width, width))
+    for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[s:e], column[s:e] - k * width] = 1
+        out += part @ part.T
+    return out
+
+
+def _similar(similarity: float):
+    """A function for grouped(): links of classes (rep, hashes) that share `similarity` or more, as (u, v) to the least rep reached."""
+
+    def links(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
+        rep = group["rep"].to_numpy()
+        sets = [as_set(x) for x in group["hashes"].to_pylist()]
+        size = np.array([len(s) for s in sets], np.float64)
+        both = shared(sets).astype(np.float64)
+        near = both >= similarity * (size[:, None] + size[None, :] - both)
+        if (meet := pairs_meet(own, bi, bj)) is not None:
+            near &= meet
+        root = roots(near, rep)
+        moved = root != rep
+        return {"u": rep[moved], "v": root[moved]} if moved.any() else None
 
-    return pairs
+    return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 3, limit: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 3, limit: int = 1024, block_hashes: int = 1 << 19) -> DataFrame:
     """(doc_id, keep) of docs(doc_id, text) with an id: keep is the least id of the document's group.
 
-    Texts with one set of word shingles are a class. Classes meet in a cell where all `rows` minima of one of `bands`
-    bands of their sets agree, which a pair of similarity s does in none of them with a chance of
-    (1 - s**rows)**bands: 4e-10 at 0.8. A link holds if the sets themselves share `similarity` or more of
-    their union. Each class of a cell is first tested with the least, so that large groups become components without
-    all their pairs; then all classes of a cell that are in different components meet in blocks, and what sizes and
-    minima do not rule out (a true pair with a chance of at most 1e-9) is tested on the sets.
+    Texts with one set of word shingles are a class; so are all null texts and those without a word. Classes meet in a
+    cell where all `rows` minima of one of `bands` bands of their sets agree, which a pair of similarity s does in
+    none of them with a chance of (1 - s**rows)**bands: 4e-10 at 0.8. A link holds if the sets themselves share
+    `similarity` or more of their union. Each class of a cell is first tested with the least, so that large groups
+    become components without all their pairs. Then the classes of a cell that have another there, of a different
+    component, that sizes and minima do not rule out (a true pair with a chance of at most 1e-9) are compared, in
+    blocks of at most about block_hashes shingles, and only links to the least class reached in a block leave it: no
+    pairs are listed. Repeated rows change nothing; of rows that share an id and differ in text, one text is tested for
+    all of them. Other columns are not read, an empty table gives no row.
     """
-    signs = written(_sets(docs.filter("doc_id is not null"), shingle, bands, rows), "signs")
+    docs = docs.select("doc_id", "text").filter("doc_id is not null")
+    signs = written(_sets(docs, shingle, bands, rows), "signs")
     classes = written(signs.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags")), "classes")
     dealt = classes.select(F.explode("keys").alias("key"), "rep")
     least = dealt.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = written(dealt.join(least, "key").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "stars")
-    links = written(_checked(docs, stars, shingle, similarity), "links")
+    ids = stars.select(F.col("u").alias("rep")).union(stars.select("v")).distinct()
+    sets = written(_with_sets(docs, written(ids, "ids"), shingle), "sets")  # of all classes that meet another in a cell
+    links = written(_tested(sets, stars, similarity), "links", 4 << 20)
     comp = written(classes.join(components(links), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "tags", "keys"), "comp")
     dealt = comp.select(F.explode("keys").alias("key"), "rep", "comp", "size", "tags")
     apart = dealt.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    open_ = written(dealt.join(apart, "key", "left_semi"), "open")
-    pairs = grouped(blocked(open_, "key", "rep", limit, open_.select("key")), "key", ["rep", "comp", "size", "tags"], "u long, v long", _alike(similarity, bands * rows))
-    rest = written(pairs.distinct().join(stars, ["u", "v"], "left_anti"), "rest")
-    labels = components(links.union(_checked(docs, rest, shingle, similarity)))
+    open_ = written(dealt.join(apart, "key", "left_semi").withColumn("cell", F.col("key")), "open")
+    doubtful = grouped(blocked(open_, "key", "rep", limit, open_.select("key")), "key", ["cell", "rep", "comp", "size", "tags"], "cell long, rep long, size int", _open(similarity, bands * rows))
+    doubtful = written(doubtful.distinct().withColumnRenamed("cell", "key"), "doubtful")
+    discard(open_)
+    dealt = blocked(doubtful.join(sets, "rep"), "key", "rep", limit, doubtful.select("key", "size"), "size", block_hashes)
+    more = written(grouped(dealt, "key", ["rep", "hashes"], "u long, v long", _similar(similarity)), "more", 4 << 20)
+    discard(sets, doubtful)
+    labels = components(links.union(more))
     known = classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("keep"))
+    discard(stars, links, comp, more)
     return signs.join(known, ["a", "b"]).select("doc_id", "keep")
 
 
