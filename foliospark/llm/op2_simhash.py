@@ -101,14 +101,15 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     """doc_id, fp and component_id (least doc_id that links reach, itself included) of every row of docs.
 
     A null or empty text, or one without words, has fingerprint zero and is linked like any other. Rows that
-    repeat a doc_id are kept. A null doc_id never names a component: such a row gets that of its class, null if
-    it has none. Other columns are not read; an empty table gives no row.
+    repeat a doc_id are kept. A row with a null doc_id links others like any row but names no component; where no
+    row of a component has an id, its component_id is null. Other columns are not read; an empty table gives no row.
     """
     signs = written(signed(docs, shingle), "simhash")
-    classes = written(signs.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
-    labels = components(link_fingerprints(classes, radius))
-    joined = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return signs.join(joined, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = written(signs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    labels = components(link_fingerprints(classes.select("fp", F.col("fp").alias("rep")), radius))  # a class is named by its fingerprint
+    joined = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return signs.join(joined.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Bytes of a hash that a set carries: two texts of 400 shingles each get one in common by chance in 1.5e-7 of cases.
