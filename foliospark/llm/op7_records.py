@@ -54,16 +54,18 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += n + 17
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int = 24 << 20, width: int = 2) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int | None = None, width: int = 2) -> None:
     """Writes the ids of docs(doc_id, text) in ascending doc_id order, null ids first, about shard_bytes of text a file.
 
+    Unless given, a file takes 24 MB, and more from 2.4 TB of text on, up to 256 MB: a reader holds a file at a time.
+
     A null or empty text has the end id alone. Rows of one doc_id are ordered by a hash of their text, then the
     text; a doc_id with very many rows is spread over files by that hash. An empty table gives no file.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
+    n = max(1, -(-total // (shard_bytes or min(256 << 20, max(24 << 20, total // 100_000)))))
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     kind = {2: "<u2", 4: "<u4"}[width]
 
@@ -118,6 +120,25 @@ def write_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{path}/index")
 
 
+def read_shuffled(index: DataFrame, path: str, seed: int = 42, width: int = 2) -> DataFrame:
+    """(doc_id, ids) of all records in an order drawn by seed: each is cut out of its file by the index."""
+    kind = {2: "<u2", 4: "<u4"}[width]
+    files = index.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select(F.col("path").alias("file"), "content")
+    listed = index.groupBy("file").agg(F.collect_list(F.struct("position", "length")).alias("records"))  # of one file
+    each = files.join(listed, "file").select("file", "content", F.explode("records").alias("r"))
+    cut = each.select(F.xxhash64(F.lit(seed), "file", "r.position").alias("key"), F.substring("content", F.col("r.position").cast("int") + 1, F.col("r.length").cast("int")).alias("record"))
+    drawn = cut.repartitionByRange("key").sortWithinPartitions("key").select("record")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [next(frames(r))[1] for r in b["record"].to_pylist()]
+            names = [struct.unpack_from("<q", p)[0] for p in found]
+            ids = [np.frombuffer(p, kind, offset=8).astype(np.int64) for p in found]
+            yield pa.record_batch([pa.array([None if n == NULL_ID else n for n in names], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return drawn.mapInArrow(parse, "doc_id long, ids array<long>")
+
+
 def starts(index: DataFrame) -> DataFrame:
     """Adds start: the ids of all documents before it, from the totals of the files before its own."""
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
