@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .functions import shape, typeset
+from .functions import prompts, shape, typeset
 from .operators import candidates as C
 from .operators import confidence as Q
 from .operators import detect, export, glossary, incremental, presets, review, stages, vision
@@ -483,6 +483,26 @@ def parse_replies(spark, d):
     return rows.select("id", F.col("p.candidate").alias("candidate"), F.col("p.confidence").alias("confidence"), F.array_join("p.warnings", "|").alias("warnings"))
 
 
+@query(f"""with s as ({SOURCES}), n as (select *, list_filter(list(source) over (partition by page_id order by rk rows between 2 preceding and 1 preceding), lambda t: t <> '') p,
+    list_filter(list(source) over (partition by page_id order by rk rows between 1 following and 2 following), lambda t: t <> '') f from s)
+select unit_id, concat_ws(chr(10) || chr(10), case when contains(source, 't1.0') or contains(source, 't3') then 'Always translate these terms so: ' || concat_ws('; ', case when contains(source, 't1.0') then 't1.0 = first' end, case when contains(source, 't3') then 't3 = third' end) || '.' end,
+  case when len(p) > 0 then 'Said before: ' || array_to_string(p, ' / ') end, case when len(f) > 0 then 'Said after: ' || array_to_string(f, ' / ') end, 'Line:' || chr(10) || source) said from n""")
+def translation_prompts(spark, d):
+    pages = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("page_id"), F.col("o_orderkey").alias("idx"))
+    got = stages.unit_contexts(pages, ordered(spark, d), spans(spark, d), full_units(spark, d), _terms(spark))
+    messages = prompts.translation_messages(F.col("source"), F.col("preceding"), F.col("following"), F.col("terms"), "ja", "en")
+    return got.select("unit_id", F.get(messages, F.lit(1))["content"].alias("said"))
+
+
+@query("""select c_custkey id, case c_custkey % 3 when 0 then 'a' || c_custkey::varchar || '|b' when 1 then '' end alternatives, case when c_custkey % 3 = 0 then 1.0::double end confidence from customer""")
+def parse_corrections(spark, d):
+    k = F.col("c_custkey")
+    good = F.concat(F.lit('```json\n{"alternatives": [" a'), k.cast("string"), F.lit('", " ", "b", "b ", "c", "d"], "confidence": 1.5, "rationale": " "}\n```'))
+    reply = F.when(k % 3 == 0, good).when(k % 3 == 1, '{"alternatives": []}').otherwise("[1, 2]")
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), prompts.corrected(reply, 2).alias("p"))
+    return rows.select("id", F.array_join("p.alternatives", "|").alias("alternatives"), F.col("p.confidence").alias("confidence"))
+
+
 # detection
 
 

@@ -267,3 +267,10 @@ def export_bundle(pages: DataFrame, artifacts: DataFrame, unit_regions: DataFram
     lines = export.transcript(unit_regions, spans, units, order).join(pages.select("page_id", "idx"), "page_id").select("idx", "page_id", "n", "line")
     heads = pages.select("idx", "page_id", F.lit(0).alias("n"), F.concat(F.lit("## Page "), (F.col("idx") + 1).cast("string")).alias("line"))
     return Bundle(named, export.lineage(unit_regions, regions, spans, units, order), heads.unionByName(lines))
+
+
+def rerender(pages: DataFrame, regions: DataFrame, unit_regions: DataFrame, units: DataFrame, order: DataFrame, artifacts: DataFrame, mask: Engine, composite: Engine, name: str) -> Done:
+    """artifacts after masking and composing again what an edit changed: no type is skipped, outlines are not followed."""
+    masked = mask_stage(pages.select("page_id", "source_hash"), regions, artifacts, mask, name).table
+    placed = export.placements(unit_regions, regions.drop("outline"), units, order)
+    return composite_stage(pages, placed, masked, composite, name)

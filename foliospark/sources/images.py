@@ -103,22 +103,29 @@ def archive_entries(data: bytes) -> list[tuple[str, bytes | None, str | None]]:
     return out
 
 
-def scan_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Images inside the archives of a folder, as scan_images has them; path names archive and entry. An archive that
-    cannot be opened fails the query."""
+def scan_archives(spark: SparkSession, folder: str, contents: bool = False) -> DataFrame:
+    """Images inside the archives of a folder, as scan_images has them; path names archive and entry.
+
+    An archive that cannot be opened is a row with its reason. contents adds the images' bytes.
+    """
     files = spark.read.format("binaryFile").load(folder)
     suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
     files = files.filter(suffix.isin(*ARCHIVE_SUFFIXES)).select("path", "content")
+    names = ["path", "name", "width", "height", "reason", *(["content"] if contents else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                for name, data, reason in archive_entries(content):
-                    rows.append(_row(f"{path}!{name}", name, data) if data is not None else (f"{path}!{name}", name, None, None, reason))
-            yield pd.DataFrame(rows, columns=["path", "name", "width", "height", "reason"]).astype({"width": "Int32", "height": "Int32"})
+            for path, archive in zip(b["path"], b["content"]):
+                rows = []
+                try:
+                    for name, data, reason in archive_entries(archive):
+                        row = _row(f"{path}!{name}", name, data) if data is not None else (f"{path}!{name}", name, None, None, reason)
+                        rows.append((*row, data if row[4] is None else None) if contents else row)
+                except (zipfile.BadZipFile, EOFError, OSError) as e:
+                    rows.append((path, path.rpartition("/")[2], None, None, f"damaged archive: {e}", *([None] if contents else [])))
+                yield pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32"})
 
-    return files.mapInPandas(run, SCAN)
+    return files.mapInPandas(run, SCAN + (", content binary" if contents else ""))
 
 
 def encode_png(image: np.ndarray) -> bytes:
@@ -133,6 +140,21 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def _undone(kind: int, line: list[int], above: list[int], n: int) -> bytearray:
+    """A row whose values are differences to the mean of left and above (3), or to the nearest of three neighbours (4)."""
+    row = bytearray(len(line))
+    for x, v in enumerate(line):
+        a, c = (row[x - n], above[x - n]) if x >= n else (0, 0)
+        b = above[x]
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            to_a, to_b, to_c = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if to_a <= to_b and to_a <= to_c else b if to_b <= to_c else c
+        row[x] = (v + guess) & 255
+    return row
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """uint8 array of a PNG with 8 bits a sample, grey, RGB or RGBA (the last without its alpha), not interlaced."""
     w, h, depth, kind, _, _, lace = struct.unpack(">IIBBBBB", data[16:29])
@@ -147,27 +169,17 @@ def decode_png(data: bytes) -> np.ndarray:
         at += size + 12
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
     out = np.zeros((h, w * n), np.uint8)
-    above = np.zeros(w * n, np.int32)
+    above = np.zeros(w * n, np.uint8)
     for y in range(h):
-        line, f = raw[y, 1:].astype(np.int32), raw[y, 0]
+        line, f = raw[y, 1:], raw[y, 0]
         if f == 0:
             row = line
+        elif f == 1:  # differences to the pixel on the left: running sums of each channel
+            row = np.cumsum(line.reshape(w, n), axis=0, dtype=np.uint8).ravel()
         elif f == 2:
-            row = (line + above) & 255
+            row = line + above
         else:
-            row = np.zeros(w * n, np.int32)
-            for x in range(w * n):
-                a = row[x - n] if x >= n else 0
-                b, c = above[x], above[x - n] if x >= n else 0
-                if f == 1:
-                    guess = a
-                elif f == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = a if abs(p - a) <= min(abs(p - b), abs(p - c)) else b if abs(p - b) <= abs(p - c) else c
-                row[x] = (line[x] + guess) & 255
-        out[y] = row
-        above = row
+            row = np.frombuffer(_undone(int(f), line.tolist(), above.tolist(), n), np.uint8)
+        out[y] = above = row
     image = out.reshape(h, w, n)
     return image[:, :, 0] if n == 1 else image[:, :, :3]

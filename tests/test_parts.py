@@ -1,12 +1,14 @@
 """Parts that no SQL expresses: pixels, files, plans, streams, edits of regions."""
 
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import keys, shape
+from foliospark.functions import keys, prompts, shape
 from foliospark.functions.registry import Registry
 from foliospark.functions.text import fit_size
 from foliospark.operators import candidates, history, incremental, vision
@@ -37,6 +39,44 @@ def test_scan_folder_and_archives(spark, tmp_path):
             z.writestr(name, png)
     got = {(r["name"], r["reason"]) for r in images.scan_archives(spark, str(box)).collect()}
     assert got == {("1.png", None), ("1.png", "duplicate name"), ("3.png", None)}
+    (box / "bad.zip").write_bytes(b"no archive")
+    rows = images.scan_archives(spark, str(box), contents=True).collect()
+    assert {(r["name"], r["content"] is not None) for r in rows} == {("1.png", True), ("1.png", False), ("3.png", True), ("bad.zip", False)}
+    assert next(r["reason"] for r in rows if r["name"] == "bad.zip").startswith("damaged archive")
+
+
+def test_png_filters():
+    """Every filter undone, on rows that a plain encoder of them made."""
+    rng = np.random.default_rng(5)
+    for n, kind in ((1, 0), (3, 2)):
+        a = rng.integers(0, 256, (6, 7, n)).astype(int)
+        lines = b""
+        for y in range(6):
+            f = y % 5
+            row = bytes([f])
+            for x in range(7):
+                for c in range(n):
+                    left, up = (a[y, x - 1, c] if x else 0), (a[y - 1, x, c] if y else 0)
+                    corner = a[y - 1, x - 1, c] if x and y else 0
+                    p = left + up - corner
+                    near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                    row += bytes([(a[y, x, c] - [0, left, up, (left + up) // 2, near][f]) & 255])
+            lines += row
+        whole = images.encode_png(np.zeros((6, 7) if n == 1 else (6, 7, 3), np.uint8))
+        at = whole.index(b"IDAT")
+        body = zlib.compress(lines)
+        data = whole[: at - 4] + struct.pack(">I", len(body)) + b"IDAT" + body + struct.pack(">I", zlib.crc32(b"IDAT" + body)) + whole[whole.index(b"IEND") - 4 :]
+        got = images.decode_png(data)
+        assert (got.reshape(6, 7, n) == a).all()
+
+
+def test_prompts(spark):
+    messages = prompts.correction_messages(F.lit("lime"), "en"), prompts.assist_messages(F.lit("a"), F.lit("b"), F.array(F.lit("x")), F.array().cast("array<string>"), "en")
+    a, b = spark.range(1).select(*messages).first()
+    assert [m["role"] for m in a] == ["system", "user"] and a[1]["content"] == "Line:\nlime" and b[1]["content"] == "Said before: x\n\nLine:\na\n\nDraft:\nb"
+    replies = spark.createDataFrame([('{"choices": [{"message": {"content": " hi "}}]}', '{"translations": [{"text": "yo"}]}'), ("{}", "none")], "a string, b string")
+    assert [tuple(r) for r in replies.select(prompts.chat_text(F.col("a")), prompts.translations_text(F.col("b"))).collect()] == [("hi", "yo"), (None, None)]
+    assert prompts.service_language("pt", {"pt": "PT-PT"}) == "PT-PT" and prompts.service_language("ja") == "JA"
 
 
 def test_labels_against_flood_fill():
