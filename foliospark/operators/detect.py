@@ -156,3 +156,19 @@ def with_fallback(primary: Callable[[DataFrame], DataFrame], fallback: Callable[
         return chosen[0](pages)
 
     return run
+
+
+def merging(engine: Callable[[DataFrame], DataFrame], share: float = 0.2) -> Callable[[DataFrame], DataFrame]:
+    """The engine with overlapping regions of a page merged; texts of merged ones are dropped."""
+
+    def run(pages: DataFrame) -> DataFrame:
+        w = Window.partitionBy("page_id").orderBy("y", "x", "w", "h")
+        found = engine(pages).withColumn("rn", F.row_number().over(w))
+        texts = [c for c in ("text", "text_confidence") if c in found.columns]
+        merged = merge_overlaps(found, share)
+        alone = found.select("page_id", F.col("rn").alias("first"), *texts)
+        out = merged.join(alone, ["page_id", "first"], "left")
+        single = F.col("members") == 1
+        return out.withColumns({c: F.when(single, F.col(c)) for c in texts}).drop("members", "first")
+
+    return run

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import manifest_order, natural_order
+
 #: Suffixes of images and of archives.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp", "tif", "tiff")
 ARCHIVE_SUFFIXES = ("cbz", "zip")
@@ -83,6 +85,31 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(run, SCAN)
 
 
+def discovered(found: DataFrame, order: str = "natural", manifest: DataFrame | None = None) -> DataFrame:
+    """(name, path, width, height, place, reason) of scanned images in the order of import; those that are left out have a reason.
+
+    order: natural, name, or manifest with manifest(name, pos): listed ones first, then the others in natural order. A
+    listed name without a file is a row of its own. Of files of one name the first path counts.
+    """
+    if order not in ("natural", "name", "manifest") or (order == "manifest") != (manifest is not None):
+        raise ValueError("order is natural, name, or manifest with a manifest")
+    first = Window.partitionBy("name").orderBy("path")
+    marked = found.withColumn("_n", F.row_number().over(first)).withColumn("reason", F.coalesce("reason", F.when(F.col("_n") > 1, "duplicate name"))).drop("_n")
+    good = marked.filter("reason is null")
+    if order == "name":
+        places = good.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("place"))  # a list of files
+    elif order == "natural":
+        places = natural_order(good, "name")
+    else:
+        places = manifest_order(good, manifest).filter("found").select("name", "place")
+    listed = marked.join(places.withColumn("_good", F.lit(True)), "name", "left").withColumn("place", F.when(F.col("reason").isNull(), F.col("place")))
+    out = listed.select("name", "path", "width", "height", "place", "reason")
+    if manifest is None:
+        return out
+    lost = manifest.join(found, "name", "left_anti").select("name", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("int").alias("place"), F.lit("listed but not found").alias("reason"))
+    return out.unionByName(lost.distinct())
+
+
 def archive_entries(data: bytes) -> list[tuple[str, bytes | None, str | None]]:
     """(name, content, reason) of an archive's images by base name; hidden files and other kinds are left out."""
     out, seen = [], set()

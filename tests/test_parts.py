@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import keys, prompts, shape
 from foliospark.functions.registry import Registry
 from foliospark.functions.text import fit_size
-from foliospark.operators import candidates, history, incremental, vision
+from foliospark.operators import candidates, detect, history, incremental, vision
 from foliospark.plans.dag import JsonState, Pipeline, Stage
 from foliospark.sources import images
 from foliospark.streaming import history_stream
@@ -45,6 +45,27 @@ def test_scan_folder_and_archives(spark, tmp_path):
     assert next(r["reason"] for r in rows if r["name"] == "bad.zip").startswith("damaged archive")
 
 
+def test_discovered(spark):
+    rows = [("f/p10.png", "p10.png", 1, 1, None), ("f/p2.png", "p2.png", 1, 1, None), ("g/p2.png", "p2.png", 1, 1, None), ("f/bad.png", "bad.png", None, None, "no image"), ("f/q.png", "q.png", 1, 1, None)]
+    found = spark.createDataFrame(rows, images.SCAN)
+    places = lambda df: {r["path"]: r["place"] for r in df.collect()}
+    assert places(images.discovered(found)) == {"f/p2.png": 0, "f/p10.png": 1, "f/q.png": 2, "g/p2.png": None, "f/bad.png": None}
+    assert places(images.discovered(found, "name")) == {"f/p10.png": 0, "f/p2.png": 1, "f/q.png": 2, "g/p2.png": None, "f/bad.png": None}
+    manifest = spark.createDataFrame([("q.png", 0), ("gone.png", 1)], "name string, pos long")
+    got = images.discovered(found, "manifest", manifest)
+    assert places(got) == {"f/q.png": 0, "f/p2.png": 1, "f/p10.png": 2, "g/p2.png": None, "f/bad.png": None, None: None}
+    assert {r["name"]: r["reason"] for r in got.filter("place is null and path is null").collect()} == {"gone.png": "listed but not found"}
+    with pytest.raises(ValueError):
+        images.discovered(found, "manifest")
+
+
+def test_merging_engine(spark):
+    boxes = [(1, 0.0, 0.0, 10.0, 10.0, "bubble", 0.9, "auto", "a"), (1, 5.0, 0.0, 10.0, 10.0, "sfx", 0.4, "auto", "b"), (1, 50.0, 0.0, 9.0, 9.0, "sfx", 0.7, "auto", "c"), (1, 0.0, 0.0, 90.0, 90.0, "unknown", 0.1, "ignore", None)]
+    df = spark.createDataFrame(boxes, "page_id long, x double, y double, w double, h double, type string, confidence double, status string, text string")
+    got = {(r["x"], r["w"], r["type"], r["confidence"], r["status"], r["text"]) for r in detect.merging(lambda pages: df)(spark.range(1)).collect()}
+    assert got == {(0.0, 15.0, "bubble", 0.4, "auto", None), (50.0, 9.0, "sfx", 0.7, "auto", "c"), (0.0, 90.0, "unknown", 0.1, "ignore", None)}
+
+
 def test_png_filters():
     """Every filter undone, on rows that a plain encoder of them made."""
     rng = np.random.default_rng(5)
