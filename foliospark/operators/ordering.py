@@ -61,16 +61,36 @@ def order_by_panels(regions: DataFrame, panels: DataFrame, direction: str = "rtl
 
 
 def natural_key(name: Column) -> Column:
-    """Key under which page2 comes before page10: text chunks in lower case and numbers by turns."""
-    chunks = F.split(F.lower(name), r"\d+")
-    numbers = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda d: d.cast("decimal(38,0)"))
-    return F.arrays_zip(chunks.alias("text"), numbers.alias("number"))
+    """A text that sorts page2 before page10: text chunks in lower case, each closed by the least character, and padded numbers by turns."""
+    chunks = F.transform(F.split(F.lower(name), r"\d+"), lambda t: F.concat(t, F.lit("\0")))
+    numbers = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda d: F.lpad(d.cast("decimal(38,0)").cast("string"), 38, "0"))
+    return F.array_join(F.transform(F.arrays_zip(chunks.alias("t"), numbers.alias("n")), lambda z: F.concat(z["t"], F.coalesce(z["n"], F.lit("")))), "")
+
+
+def placed(rows: DataFrame, key: Column, place: str, then: list[str], first: int = 0, groups: int = 256, sample: int = 20_000) -> DataFrame:
+    """rows with their place, from `first` on, by key and further columns, without one task for all of them.
+
+    A sample of the keys, picked by their hash and of a bounded size, gives bounds of groups; ranks inside a group follow
+    the rows of the groups before. Bounds are values in the plan, so every evaluation deals alike. Rows of one key are in
+    one group.
+    """
+    keyed = rows.withColumn("_key", key)
+    total = rows.count()
+    some = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(max(1, total // sample))) == 0).select("_key").filter("_key is not null").limit(4 * sample)
+    found = sorted(r["_key"] for r in some.collect())
+    bounds = sorted({found[i * len(found) // groups] for i in range(1, groups)}) if found else []
+    group = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    dealt = keyed.withColumn("_group", group)
+    sizes = dealt.groupBy("_group").agg(F.count("*").alias("_n"))  # groups rows at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_group").orderBy("_key", *then))
+    ranked = dealt.withColumn("_at", inside).join(F.broadcast(sizes.select("_group", before.alias("_base"))), "_group")
+    return ranked.withColumn(place, (F.col("_base") + F.col("_at") + (first - 1)).cast("int")).drop("_key", "_group", "_n", "_at", "_base")
 
 
 def natural_order(names: DataFrame, column: str) -> DataFrame:
-    """Distinct names with their place in natural order; the raw name breaks ties. One file name a row of the result."""
-    w = Window.orderBy(natural_key(F.col(column)), F.col(column))
-    return names.select(column).distinct().withColumn("place", F.row_number().over(w) - 1)
+    """Distinct names with their place in natural order; the raw name breaks ties."""
+    return placed(names.select(column).distinct(), natural_key(F.col(column)), "place", [column])
 
 
 def manifest_order(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -88,5 +108,5 @@ def manifest_order(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def import_pages(pages: DataFrame, images: DataFrame) -> DataFrame:
     """New pages (name, idx) of images(name, seq): none twice, none there already, numbered on from the last index."""
     new = images.groupBy("name").agg(F.min("seq").alias("seq")).join(pages.select("name"), "name", "left_anti")
-    last = pages.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("last"))
-    return new.crossJoin(last).select("name", (F.col("last") + F.row_number().over(Window.orderBy("seq"))).alias("idx"))
+    last = pages.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("last")).first()["last"]
+    return placed(new, F.col("seq"), "idx", ["name"], int(last) + 1).select("name", "idx")
