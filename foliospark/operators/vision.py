@@ -5,6 +5,8 @@ An image is a uint8 array (h, w) or (h, w, 3); over a table it is the PNG in a b
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -330,3 +332,40 @@ def composite_images(images: DataFrame, placements: DataFrame) -> DataFrame:
         return pd.DataFrame({"png": [encode_png(out)], "overflow": [over]})
 
     return over_pages(images, placements, one, "png binary, overflow long")
+
+
+def onnx_rows(images: DataFrame, model: str, size: int = 1024, providers: tuple[str, ...] = ("CPUExecutionProvider",)) -> DataFrame:
+    """Raw rows (page_id, rn, x1, y1, x2, y2, score, cls), in the page's pixels, of a detection model in ONNX over images(page_id, png).
+
+    The model takes (1, 3, size, size) in 0..1 and gives rows of six. Its file is sent to the executors, each worker opens
+    it once. Unavailable if the runtime or the file is missing, so that with_fallback() can take another engine.
+    """
+    from pyspark import SparkFiles
+
+    from .detect import Unavailable
+
+    if importlib.util.find_spec("onnxruntime") is None:
+        raise Unavailable("onnxruntime is not installed")
+    if not os.path.exists(model):
+        raise Unavailable(f"no model at {model}")
+    images.sparkSession.sparkContext.addFile(model)
+    name = os.path.basename(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(SparkFiles.get(name), providers=list(providers))
+        port = session.get_inputs()[0].name
+        for b in batches:
+            for page_id, png in zip(b["page_id"], b["png"]):
+                page = decode_png(png)
+                boxed, scale, px, py = letterbox(np.repeat(page[:, :, None], 3, 2) if page.ndim == 2 else page, size)
+                (rows, *_) = session.run(None, {port: boxed.astype(np.float32).transpose(2, 0, 1)[None] / 255})
+                rows = np.asarray(rows, np.float64).reshape(-1, 6)
+                rows[:, :4] = (rows[:, :4] - np.array([px, py, px, py])) / scale
+                out = pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2", "score", "cls"])
+                out.insert(0, "rn", np.arange(1, len(out) + 1, dtype=np.int32))
+                out.insert(0, "page_id", page_id)
+                yield out
+
+    return images.select("page_id", "png").mapInPandas(run, "page_id long, rn int, x1 double, y1 double, x2 double, y2 double, score double, cls double")

@@ -146,6 +146,11 @@ def test_fallback_is_pinned(spark):
     assert detect.with_fallback(lambda p: p, broken)(spark.range(1)).count() == 1
 
 
+def test_model_file_is_missing(spark):
+    with pytest.warns(UserWarning):
+        assert detect.with_fallback(lambda p: vision.onnx_rows(p, "/no/such/model.onnx"), lambda p: p)(vision.sample_pages(spark, 1)).count() == 1
+
+
 def test_layouts(spark):
     rows = spark.createDataFrame([("hello world", 100.0, 60.0, "default"), ("hello world", 100.0, 60.0, "caption"), ("toolongword", 20.0, 20.0, "shout"), ("", 50.0, 50.0, "nothing")], "text string, w double, h double, preset string")
     got = [r.asDict() for r in typeset.fitted(rows).collect()]
