@@ -137,20 +137,36 @@ def prefix_sums(totals: DataFrame, keys: list[str], order: str, value: str, out:
     return joined.select(*[F.col(f"a.{c}").alias(c) for c in totals.columns], (F.col("a._in") + F.col("b._base")).alias(out))
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, hot: list[int]) -> DataFrame:
     """One round: every node is linked to the least node next to it, first from above, then from below.
 
-    Minima are taken with map-side aggregation, never by gathering the neighbours of a node.
+    Minima are taken with map-side aggregation, never by gathering the neighbours of a node. Nodes in hot have many
+    neighbours: their rows are dealt to SALTS tasks.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    above = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    above, on = both.filter("v > u"), ["u"]
+    if hot:
+        is_hot, on = F.col("u").isin(hot), ["u", "s"]
+        above = above.withColumn("s", F.when(is_hot, F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+        least = least.withColumn("s", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    above = above.join(least, on).select(F.col("v").alias("u"), F.col("m").alias("v"))
     above = above.filter("u > v").distinct()
     below = above.groupBy("u").agg(F.min("v").alias("m"))
     links = above.join(below, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.union(below.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Tasks that share a node of many neighbours, and how many such nodes there are at most.
+SALTS, HOT_NODES = 32, 1000
+
+
+def _hot(edges: DataFrame, total: int) -> list[int]:
+    """The nodes, HOT_NODES at most, that are the lesser end of more than a thousandth of all links, and of 1000 at least."""
+    counts = edges.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > max(1000, total // HOT_NODES))
+    return [r["v"] for r in counts.orderBy(F.desc("n")).limit(HOT_NODES).collect()]
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(u long, v long): the least node that links reach.
 
@@ -164,7 +180,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
-        last, edges = edges, written(_stars(edges), "links")
+        hot = _hot(edges, state[0]) if state[0] > 1000 else []
+        last, edges = edges, written(_stars(edges, hot), "links")
         discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

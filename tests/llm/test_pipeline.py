@@ -115,6 +115,9 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {i: got.get(i, i) for i in parent} == {i: find(i) for i in parent}
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = spark.range(1, 3000).selectExpr("id as u", "0L as v").union(spark.range(2000, 2400).selectExpr("id * 2 as u", "id as v"))  # a node with 2999 neighbours
+    assert common._hot(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), 3400) == [0]
+    assert {r["component"] for r in common.components(star).collect()} == {0}
 
 
 def test_prefix_sums(spark):
