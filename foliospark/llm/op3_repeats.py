@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import Batch, mixed, repeated
-from .common import bound_batches, by_bucket, documents, slices, written
+from .common import bound_batches, by_bucket, discard, documents, slices, written
 
 K = 32
 NO_ID = -(1 << 63)
@@ -254,8 +254,9 @@ def _reduce(least: int, left: int, right: int):
     return function
 
 
-def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int | None = None, batch_bytes: int | None = None, hot_batches: int = 4096, copies: DataFrame | None = None) -> DataFrame:
-    """(k, t, start, end) of strings of at least `least` bytes that also start earlier, for rows(k, t, n, text).
+def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int | None = None, batch_bytes: int | None = None, hot_batches: int = 4096, copies: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(k, t, start, end) of strings of at least `least` bytes that also start earlier, for rows(k, t, n, text); and the
+    tables that are read for it.
 
     copies(k, t): documents to leave out, as all their text is an earlier one's. Sizes grow with the input unless
     given, so that blobs, of which there is one for each batch and bucket, do not become many and tiny.
@@ -282,11 +283,11 @@ def find_spans(rows: DataFrame, least: int = 100, bucket_bytes: int | None = Non
         made = written(made, "contexts")  # read twice, and both times the same contexts must be the first of their batch
     spans = by_bucket(made.filter("kind < 2"), buckets, _reduce(least, left, right), "k long, t long, start long, end long")
     if not some_hot:
-        return spans
+        return spans, [found, hot]
     windows = written(made.filter("kind = 2").mapInArrow(_windows, "w long, v long, k long, t long, start long"), "windows")
     first = written(windows.groupBy("w", "v").agg(F.min(F.struct("k", "t", "start")).alias("one")), "first")
     later = windows.join(first, ["w", "v"]).filter(F.struct("k", "t", "start") > F.col("one"))
-    return spans.union(later.select("k", "t", "start", (F.col("start") + least).alias("end")))
+    return spans.union(later.select("k", "t", "start", (F.col("start") + least).alias("end"))), [found, hot, made, windows, first]
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +399,9 @@ def remove_repeats(docs: DataFrame, least: int = 100, **sizes: int) -> DataFrame
     # the first of each text that is there more than once; both sides of the join are tables, so a hot text can be split
     first = written(digest.groupBy("sha").agg(F.min(F.struct("k", "t")).alias("one"), F.count("*").alias("m")).filter("m > 1").drop("m"), "first")
     copies = written(digest.join(first, "sha").filter(F.struct("k", "t") > F.col("one")).select("k", "t", F.lit(True).alias("copy")).distinct(), "copies")
-    spans = written(find_spans(rows, least, copies=copies, **sizes), "spans")
+    spans, worked_off = find_spans(rows, least, copies=copies, **sizes)
+    spans = written(spans, "spans")
+    discard(digest, first, *worked_off)
     merged_ = spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     side = merged_.join(copies, ["k", "t"], "full")
 

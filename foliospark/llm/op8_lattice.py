@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, grouped, pairs_meet, roots
 from .bytesets import mixed
-from .common import components, slices, written
+from .common import components, discard, slices, written
 
 TABLES, PROBES, WIDTH, SEED = 8, 4, 1.2, 17
 
@@ -180,6 +180,7 @@ def embedding_links(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
     sent = entered.select("rep", "n", "vector").join(at_points, "rep").select(F.explode("points").alias("p"), "rep", "n", "vector").select("p.home", "p.key", "rep", "n", "vector")
     dealt = blocked(sent, "home", "rep", limit, close.select("home"))
     found = written(grouped(dealt, "home", ["key", "rep", "n", "vector"], "rep long, links long, root long", link_cells(threshold, tables, probes, width)), "cosine")
+    discard(entered, close)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     known = classes.join(counts, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
