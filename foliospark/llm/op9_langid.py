@@ -70,8 +70,8 @@ def linear_svms(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int
     y is +1 or -1, and 0 where a row is none of a column's; the two classes of a column weigh the same.
     """
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    each = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(0), 1), 0.5 / np.maximum((y < 0).sum(0), 1)).astype(np.float32) * y
-    y = y.astype(np.float32)
+    each = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(0), 1), 0.5 / np.maximum((y < 0).sum(0), 1)) * y
+    y, each = y.astype(np.float32), each.astype(np.float32)  # any double here would copy x in every step
     w = v = np.zeros((x.shape[1], y.shape[1]), np.float32)
     rate = np.float32(1 / (2 * (x**2).sum(1).max() + penalty))
     for k in range(steps):  # accelerated gradient steps
