@@ -9,8 +9,10 @@ library's.
 from __future__ import annotations
 
 import re
+import struct
 
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 #: Letters, digits and blanks up to U+024F, with punctuation up to U+20AC that is none of these.
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -21,21 +23,36 @@ _PLAIN = re.compile("[\t-\r -~\xa0-ɏ‐-‧‰-›€]*")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class PieceIds(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; holds at most `bound` pieces."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers; holds at most `bound` pieces.
+
+    A piece goes to the library's model, in its vocabulary's characters; the library would cut it no further.
+    """
 
     def __init__(self, path: str, bound: int = 500_000):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.library.model
+        self.bytes = byte_characters()
         self.bound = bound
+        cut = repr(self.library.pre_tokenizer).replace(" ", "")
+        self.plain = isinstance(self.model, BPE) and self.library.normalizer is None and cut.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in cut
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.whole(piece)
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))]
+        got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= self.bound:
                 self.clear()
@@ -44,7 +61,7 @@ class PieceIds(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, four bytes each."""
-        if not _PLAIN.fullmatch(text):
+        if not self.plain or not _PLAIN.fullmatch(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
