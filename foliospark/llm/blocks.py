@@ -36,10 +36,11 @@ def pairs_meet(own: np.ndarray, bi: int, bj: int) -> np.ndarray | None:
     return None if bi == bj else own[:, None] != own[None, :]
 
 
-def grouped(rows: DataFrame, key: str, columns: list[str], schema: str, function: Callable[[dict[str, np.ndarray], int, int, np.ndarray], dict[str, np.ndarray] | None]) -> DataFrame:
+def grouped(rows: DataFrame, key: str, columns: list[str], schema: str, function: Callable[[dict[str, np.ndarray], int, int, np.ndarray], dict[str, np.ndarray] | None], prepare: Callable[[pa.Table], dict[str, np.ndarray]] | None = None) -> DataFrame:
     """function(columns of the group, bi, bj, own blocks) for each group of two rows or more; its columns are the result.
 
-    Groups of a partition stream through in sorted order; one group is held at a time, besides a batch.
+    Groups of a partition stream through in sorted order; one group is held at a time, besides a batch. prepare makes
+    further columns from the rows of many groups at once.
     """
     names = [c.split()[0] for c in schema.split(", ")]
     parts = rows.select(key, "_bi", "_bj", "_b", *columns).repartition(key, "_bi", "_bj").sortWithinPartitions(key, "_bi", "_bj")
@@ -54,9 +55,10 @@ def grouped(rows: DataFrame, key: str, columns: list[str], schema: str, function
             last = np.concatenate([edge, [len(k)]])
             many = np.flatnonzero(last - first > 1)
             out: list[dict[str, np.ndarray]] = []
+            more = prepare(table) if prepare and len(many) else {}
             for s, e in zip(first[many].tolist(), last[many].tolist()):
                 part = table.slice(s, e - s)
-                values = {c: part[c] for c in columns}
+                values = {c: part[c] for c in columns} | {c: v[s:e] for c, v in more.items()}
                 if (got := function(values, int(bi[s]), int(bj[s]), own[s:e])) is not None:
                     out.append(got)
             if out:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,28 +116,44 @@ def alive(bits: int):
     return some
 
 
-def link_cells(threshold: float, tables: int, probes: int, width: float):
+def entered_as(tables: int, probes: int, width: float):
+    """A function for grouped(): unit vectors and lattice points of the rows of many groups at once."""
+
+    def prepare(table: pa.Table) -> dict[str, np.ndarray]:
+        data = table["vector"]
+        length = pa.compute.binary_length(data).to_numpy()
+        units, keys = np.empty(len(data), object), np.zeros((len(data), tables * probes), np.int64)
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            x = unit_rows(data.take(pa.array(at)))
+            keys[at] = cells(x, tables, probes, width)
+            for i, row in zip(at.tolist(), x):
+                units[i] = row
+        return {"unit": units, "points": keys}
+
+    return prepare
+
+
+def link_cells(threshold: float):
     """A function for grouped(): for each class of a lattice point its new links and the least class they reach."""
 
     def links(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
-        rep, n, unit = group["rep"].to_numpy(), group["n"].to_numpy(), unit_rows(group["vector"])
+        unit = np.stack(group["unit"])
         near = unit @ unit.T >= threshold
         np.fill_diagonal(near, False)
         if (meet := pairs_meet(own, bi, bj)) is not None:
             near &= meet
-        if not near.any():
-            return None
         some = np.flatnonzero(near.any(1))
-        near, rep, n, unit = near[np.ix_(some, some)], rep[some], n[some], unit[some]
-        root = roots(near, rep)
+        if not len(some):
+            return None
+        near, rep, n, keys = near[np.ix_(some, some)], group["rep"].to_numpy()[some], group["n"].to_numpy()[some], group["points"][some]
         here = group["key"][0].as_py()
-        keys = cells(unit, tables, probes, width)
         lesser, inverse = np.unique(keys, return_inverse=True)
         met = np.zeros((len(rep), len(lesser)), np.float32)
         met[np.arange(len(rep))[:, None], inverse.reshape(keys.shape)] = 1
         met = met[:, (lesser < here) & (met.sum(0) > 1)]  # a pair counts here unless it meets at a lesser key
         count = (near & ~(met @ met.T > 0)) @ n
-        return {"rep": rep, "links": count, "root": root}
+        return {"rep": rep, "links": count, "root": roots(near, rep)}
 
     return links
 
@@ -179,7 +196,7 @@ def embedding_links(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
     at_points = close.groupBy("rep").agg(F.collect_list(F.struct("home", "key")).alias("points"))  # tables * probes at most
     sent = entered.select("rep", "n", "vector").join(at_points, "rep").select(F.explode("points").alias("p"), "rep", "n", "vector").select("p.home", "p.key", "rep", "n", "vector")
     dealt = blocked(sent, "home", "rep", limit, close.select("home"))
-    found = written(grouped(dealt, "home", ["key", "rep", "n", "vector"], "rep long, links long, root long", link_cells(threshold, tables, probes, width)), "cosine")
+    found = written(grouped(dealt, "home", ["key", "rep", "n", "vector"], "rep long, links long, root long", link_cells(threshold), entered_as(tables, probes, width)), "cosine")
     discard(entered, close)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
