@@ -11,7 +11,7 @@ from .operators import candidates as C
 from .operators import confidence as Q
 from .operators import detect, export, glossary, incremental, presets, review, stages, vision
 from .operators import history as H
-from .queries import AGG, EDITS, ENTRIES, ENTRIES_SQL, FLAGS, INTER, PAGE_H, PAGE_W, PICK, _entries, _flags, _order, _order_sql, candidate_rows, query, regions, spans, unit_regions, units
+from .queries import AGG, EDITS, FLAGS, INTER, PAGE_H, PAGE_W, PICK, PROJECT_SQL, SERIES_SQL, _flags, _layers, _order, _order_sql, candidate_rows, query, regions, spans, unit_regions, units
 
 G = X.REGIONS
 #: Reading order of regions: the input order.
@@ -440,27 +440,45 @@ def dashboard(spark, d):
 # glossaries and presets
 
 
-@query("select * from (values (0, 'the', 'project the'), (1, 'ion', 'ION'), (2, 'zzz', 'never'), (3, 'en', 'En'), (4, 'ou', 'project ou')) t(ord, source, target)")
+#: Every third word that is said by users, and words that nobody says.
+ASKED_SQL = f"select source from ({PROJECT_SQL}) p where ord % 3 = 0 union all select 'nobody ' || n_name from nation"
+
+
+def _asked(spark, d):
+    some = _layers(spark, d)[0].filter("ord % 3 = 0").select("source")
+    return some.union(spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("nobody "), "n_name")))
+
+
+@query(f"""with s as ({SERIES_SQL}), n as (select * from ({PROJECT_SQL}) p where source in ({ASKED_SQL}))
+select (row_number() over (order by s.ord nulls last, n.ord) - 1)::int ord, source, coalesce(n.target, s.target) target from s full join n using (source)""")
 def glossary_promote(spark, d):
-    project = spark.createDataFrame([(0, "the", "project the"), (1, "ou", "project ou"), (2, "not this", "x")], "ord int, source string, target string")
-    return glossary.promote(_entries(spark).select("ord", "source", "target"), project, ["the", "ou", "nowhere"])[0]
+    project, series = _layers(spark, d)
+    return glossary.promote(series, project, _asked(spark, d))[0]
+
+
+@query("select 'nobody ' || n_name source from nation")
+def glossary_promote_unknown(spark, d):
+    project, series = _layers(spark, d)
+    return glossary.promote(series, project, _asked(spark, d))[1]
 
 
-@query("select * from (values (0, 'ion', 'ION'), (1, 'zzz', 'never'), (2, 'the', 'last'), (3, 'new', 'fresh')) t(ord, source, target)")
+@query(f"""with s as (select * from ({SERIES_SQL}) s where source not in ({ASKED_SQL})), n as ({PROJECT_SQL}), b as (select 0 l, * from s where source not in (select source from n) union all select 1, * from n)
+select (row_number() over (order by l, ord) - 1)::int ord, source, target from b""")
 def glossary_put_last(spark, d):
-    new = spark.createDataFrame([(0, "the", "last"), (1, "new", "fresh")], "ord int, source string, target string")
-    rest = glossary.remove(_entries(spark).select("ord", "source", "target"), ["en"])
-    return glossary.put_last(rest, new)
+    project, series = _layers(spark, d)
+    return glossary.put_last(glossary.remove(series, _asked(spark, d)), project)
 
 
-PRESETS_OLD = [(0, "one", "balanced", "g.json", 2, 4), (1, "two", "literal", None, 1, 1)]
-PRESETS_NEW = [(0, "three", "natural", None, 3, 3), (1, "one", "localized", None, 5, 5), (2, "three", "literal", "h.json", 4, 4), (3, "two", "unknown style", None, 9, 9)]
+#: A preset of each nation, and one that each customer asks for: names repeat, and a style is not known.
+OLD_PRESETS = "select n_nationkey ord, concat('preset ', cast(n_nationkey as varchar(20))) name, case n_nationkey % 4 when 0 then 'literal' when 1 then 'balanced' when 2 then 'natural' else 'localized' end style, case when n_nationkey % 3 = 0 then 'g.json' end glossary_path, n_nationkey % 5 pad, n_nationkey % 7 border from {nation}"
+NEW_PRESETS = "select cast(c_custkey as int) ord, concat('preset ', cast((c_custkey * 7) % 43 as varchar(20))) name, case cast(c_custkey % 5 as int) when 0 then 'literal' when 1 then 'unheard of' when 2 then 'natural' when 3 then 'balanced' else 'localized' end style, case when c_custkey % 2 = 0 then concat('g', cast(c_nationkey as varchar(20)), '.json') end glossary_path, cast(c_custkey % 11 as int) pad, c_nationkey border from {customer}"
 
 
-@query("select * from (values (0, 'one', 'localized', null, 5, 5), (1, 'two', 'literal', null, 1, 1), (2, 'three', 'literal', 'h.json', 4, 4)) t(ord, name, style, glossary_path, pad, border)")
+@query(f"""with o as ({OLD_PRESETS}), n as (select name, arg_max(struct_pack(style := style, glossary_path := glossary_path, pad := pad, border := border), ord) v, min(ord) first from ({NEW_PRESETS}) c where style <> 'unheard of' group by name)
+select (row_number() over (order by o.ord nulls last, n.first) - 1)::int ord, name, case when n.v is null then o.style else n.v.style end style, case when n.v is null then o.glossary_path else n.v.glossary_path end glossary_path,
+  case when n.v is null then o.pad else n.v.pad end pad, case when n.v is null then o.border else n.v.border end border from o full join n using (name)""")
 def preset_upsert(spark, d):
-    kind = "ord int, name string, style string, glossary_path string, pad int, border int"
-    return presets.upsert(spark.createDataFrame(PRESETS_OLD, kind), spark.createDataFrame(PRESETS_NEW, kind))
+    return presets.upsert(X.frame(spark, d, OLD_PRESETS), X.frame(spark, d, NEW_PRESETS))
 
 
 # candidates

@@ -63,7 +63,7 @@ from (select distinct l_orderkey page_id from {lineitem}) p
 cross join (select 0 panel union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) q
 """
 
-TABLES = ("lineitem", "conversations", "events", "documents", "part")
+TABLES = ("lineitem", "conversations", "events", "documents", "part", "orders", "customer", "nation")
 
 
 def duck(sql: str) -> str:

@@ -322,48 +322,69 @@ def source_bundle(spark, d):
     return context.source_bundles(unit_regions(spark, d), spans(spark, d))
 
 
-#: Entries of a glossary for the queries: order, source, target, aliases.
-ENTRIES = [(0, "the", "THE", ["an the", "the"]), (1, "ion", "ION", ["tion", "ation", "ION"]), (2, "zzz", "never", ["the"]), (3, "en", "En", ["ening", "en", ""])]
-PROJECT = [(0, "the", "project the"), (1, "ou", "project ou")]
-ENTRIES_SQL = "(values " + ", ".join(f"({o}, '{s}', '{t}', {a!r})" for o, s, t, a in ENTRIES) + ") e(ord, source, target, aliases)"
+#: Words of conversations, each where it stands: the glossaries of the queries are made of them. DuckDB's text of spoken().
+SPOKEN = """select conv_id, turn, role, source, conv_id * 100000000 + turn * 1000000 + k as ord from (
+  select conv_id, turn, role, unnest(w) source, generate_subscripts(w, 1) - 1 k from (select *, regexp_extract_all("text", '[A-Za-zÀ-ÿ]+') w from conversations) q) q where length(source) >= 5"""
+#: A glossary entry of each word that a role says: its place is the first, its target a mark, its aliases the word and its rest.
+ENTRIES_SQL = f"""select min(ord)::bigint ord, source, '<' || substr(md5(source), 1, 4) || '>' target, [substr(source, 2), '', source] aliases from ({SPOKEN}) s where role = '{{role}}' group by source"""
 
 
-def _entries(spark):
-    return spark.createDataFrame(ENTRIES, "ord int, source string, target string, aliases array<string>")
+def spoken(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("at", "source"))
+    return rows.filter(F.length("source") >= 5).select("conv_id", "turn", "role", "source", (F.col("conv_id") * 100000000 + F.col("turn") * 1000000 + F.col("at")).alias("ord"))
 
 
-@query(f"select doc_id id, e.ord, e.source, e.target from documents d join {ENTRIES_SQL} on contains(d.text, e.source)")
-def glossary_applicable(spark, d):
-    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    return glossary.applicable(texts, _entries(spark))
+def said_by(spark: SparkSession, d: str, role: str) -> DataFrame:
+    """The glossary of the words that a role says."""
+    first = spoken(spark, d).filter(F.col("role") == role).groupBy("source").agg(F.min("ord").alias("ord"))
+    mark = F.concat(F.lit("<"), F.substring(F.md5("source"), 1, 4), F.lit(">"))
+    return first.select("ord", "source", mark.alias("target"), F.array(F.expr("substr(source, 2)"), F.lit(""), F.col("source")).alias("aliases"))
 
 
-def _apply_sql() -> str:
-    expr = "text"
-    for _, source, target, aliases in ENTRIES:
-        inner = expr
-        for a in sorted((a for a in aliases if a and a != target), key=len, reverse=True):
-            inner = f"replace({inner}, '{a}', '{target}')"
-        expr = f"case when contains(text, '{source}') then {inner} else {expr} end"
-    return f"select doc_id, md5({expr}) fixed from documents"
+@query(f"select doc_id id, e.ord, e.source, e.target from documents d join ({ENTRIES_SQL.format(role='assistant')}) e on contains(d.text, e.source)")
+def glossary_applicable(spark, d):
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return glossary.applicable(texts, said_by(spark, d, "assistant"))
 
 
-@query(_apply_sql())
+@query(f"""with e as ({ENTRIES_SQL.format(role='assistant')}), a as (select ord, target, unnest(aliases) a from e),
+s as (select d.doc_id, list(struct_pack(a := a.a, t := a.target) order by e.ord, length(a.a) desc) steps from documents d join e on contains(d.text, e.source) join a on a.ord = e.ord and a.a <> '' group by d.doc_id)
+select d.doc_id, md5(coalesce(list_reduce(list_prepend(struct_pack(a := d.text, t := ''), s.steps), lambda x, y: struct_pack(a := replace(x.a, y.a, y.t), t := '')).a, d.text)) fixed from documents d left join s on s.doc_id = d.doc_id""")
 def glossary_apply(spark, d):
     texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.col("text").alias("source_text"))
-    return glossary.enforce(texts, _entries(spark), ["doc_id"]).select("doc_id", F.md5("fixed").alias("fixed"))
+    return glossary.enforce(texts, said_by(spark, d, "assistant"), ["doc_id"]).select("doc_id", F.md5("fixed").alias("fixed"))
+
+
+#: Two layers that share some words: what users say first, and what assistants say.
+PROJECT_SQL, SERIES_SQL = (f"select ord, source, '{mark}' || ord::varchar target from ({ENTRIES_SQL.format(role=role)}) {role[0]}" for role, mark in (("user", "p"), ("assistant", "s")))
+
 
+def _layer(spark, d, role: str, mark: str) -> DataFrame:
+    return said_by(spark, d, role).select("ord", "source", F.concat(F.lit(mark), F.col("ord").cast("string")).alias("target"))
 
-@query("select * from (values (0, 'the', 'project the'), (1, 'ou', 'project ou'), (2, 'ion', 'ION'), (3, 'zzz', 'never'), (4, 'en', 'En')) t(ord, source, target)")
+
+def _layers(spark, d) -> tuple[DataFrame, DataFrame]:
+    return _layer(spark, d, "user", "p"), _layer(spark, d, "assistant", "s")
+
+
+@query(f"""with p as ({PROJECT_SQL}), s as ({SERIES_SQL}), b as (select 0 l, * from p union all select 1, * from s where source not in (select source from p))
+select (row_number() over (order by l, ord) - 1)::int ord, source, target from b""")
 def glossary_merge(spark, d):
-    project = spark.createDataFrame(PROJECT, "ord int, source string, target string")
-    return glossary.merge(project, _entries(spark).select("ord", "source", "target")).select("ord", "source", "target")
+    return glossary.merge(*_layers(spark, d))
+
+
+#: Words as they come, many of them more than once: the last use of a word is the one that counts.
+USES_SQL = f"select ord, source, 'u' || ord::varchar target from ({SPOKEN}) s where role <> 'assistant'"
+
+
+def _uses(spark, d) -> DataFrame:
+    return spoken(spark, d).filter("role <> 'assistant'").select("ord", "source", F.concat(F.lit("u"), F.col("ord").cast("string")).alias("target"))
 
 
-@query("select * from (values (0, 'the', 'second'), (1, 'ion', 'ION'), (2, 'zzz', 'never'), (3, 'en', 'En'), (4, 'new', 'fresh')) t(ord, source, target)")
+@query(f"""with s as ({SERIES_SQL}), n as (select source, arg_max(target, ord) target, min(ord) first from ({USES_SQL}) u group by source)
+select (row_number() over (order by s.ord nulls last, n.first) - 1)::int ord, source, coalesce(n.target, s.target) target from s full join n using (source)""")
 def glossary_upsert(spark, d):
-    new = spark.createDataFrame([(0, "the", "first"), (1, "new", "fresh"), (2, "the", "second")], "ord int, source string, target string")
-    return glossary.upsert(_entries(spark).select("ord", "source", "target"), new)
+    return glossary.upsert(_layers(spark, d)[1], _uses(spark, d))
 
 
 PICK = f"select unit_id, page_id, list(struct_pack(id := candidate_id, kind := kind, \"text\" := text) order by ord) c, case when any_value(picked) <> 'none' then unit_id || '_' || any_value(picked) end sel from ({X.CANDIDATES}) c group by unit_id, page_id"

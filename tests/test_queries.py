@@ -10,7 +10,7 @@ from foliospark.queries import ORACLES, QUERIES
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for t in (*TABLES, "orders", "customer", "region", "nation"):
+    for t in (*TABLES, "region", "supplier", "pages", "labels"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return con
 
