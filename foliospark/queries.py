@@ -14,7 +14,7 @@ from .functions import shape, text
 from .operators import candidates as C
 from .operators import confidence as Q
 from .operators import context, detect, export, glossary, grouping, history, incremental, ordering
-from .plans import dag
+from .plans import dag, graph
 
 PAGE_W, PAGE_H = 800.0, 1200.0
 
@@ -587,12 +587,65 @@ def stale_writes(spark, d):
     return history.stale_writes(c.select("page_id", "cmd_seq", expected.cast("int").alias("expected_rev")))
 
 
-EDGES = [("import", "preprocess"), ("import", "detect"), ("detect", "structure"), ("structure", "group"), ("detect", "ocr"), ("group", "translate"), ("ocr", "translate"), ("translate", "composite")]
+#: What depends on what: customers on their nation, nations on their region.
+PLACES = "select concat('n', cast(n_nationkey as varchar(20))) src, concat('c', cast(c_custkey as varchar(20))) dst from {customer} join {nation} on n_nationkey = c_nationkey union all select concat('r', cast(n_regionkey as varchar(20))), concat('n', cast(n_nationkey as varchar(20))) from {nation}"
 
 
-@query("with recursive e(src, dst) as (values " + ", ".join(map(str, EDGES)) + "), c as (select * from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
+@query(f"with recursive e as ({PLACES}), c as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
 def dag_closure(spark, d):
-    return dag.closure(spark.createDataFrame(EDGES, "src string, dst string"))
+    return dag.closure(X.frame(spark, d, PLACES))
+
+
+#: A graph of stages: an order depends on its parts, and every second one on its customer's order before; customers on their orders, nations on customers.
+STAGE_EDGES = """select distinct concat('part ', cast(l_partkey as varchar(20))) src, concat('order ', cast(l_orderkey as varchar(20))) dst from {lineitem}
+union all select concat('order ', cast(before as varchar(20))), concat('order ', cast(o_orderkey as varchar(20))) from (
+  select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) before from {orders}) o where before is not null and o_orderkey % 2 = 0
+union all select concat('order ', cast(o_orderkey as varchar(20))), concat('customer ', cast(o_custkey as varchar(20))) from {orders}
+union all select concat('customer ', cast(c_custkey as varchar(20))), concat('nation ', cast(c_nationkey as varchar(20))) from {customer}"""
+STAGES = """select concat('part ', cast(p_partkey as varchar(20))) node, p_name own from {part} union all select concat('order ', cast(o_orderkey as varchar(20))), o_orderpriority from {orders}
+union all select concat('customer ', cast(c_custkey as varchar(20))), c_mktsegment from {customer} union all select concat('nation ', cast(n_nationkey as varchar(20))), n_name from {nation}"""
+#: Stages whose own part was another one when the keys were stored; every hundredth part had no key yet.
+BEFORE = f"select node, case when node like 'part %7' and length(node) % 2 = 0 then 'another' when node = 'customer 5' then '' else own end own from ({STAGES}) n"
+
+
+@query(f"with recursive e as ({STAGE_EDGES}), n as ({STAGES}), l as (select node, 0 level from n union select e.dst, l.level + 1 from l join e on e.src = l.node) select node, max(level)::int level from l group by node")
+def graph_levels(spark, d):
+    return graph.peeled(X.frame(spark, d, STAGES), X.frame(spark, d, STAGE_EDGES))[0].select("node", "level")
+
+
+@query(f"""with recursive e as ({STAGE_EDGES}), n as ({STAGES}), b as ({BEFORE}),
+s as (select n.node from n join b on n.node = b.node where n.own <> b.own union select node from n where node like 'part %00' union select e.dst from s join e on e.src = s.node) select distinct node from s""")
+def graph_stale(spark, d):
+    nodes, edges = X.frame(spark, d, STAGES), X.frame(spark, d, STAGE_EDGES)
+    before, _ = graph.peeled(X.frame(spark, d, BEFORE), edges)
+    now, _ = graph.peeled(nodes, edges)
+    # what depends on a part without a key was never run either
+    ran = before.join(graph.reached(edges, nodes.filter("node like 'part %00'")), "node", "left_anti")
+    return graph.stale(now, ran).select("node")
+
+
+@query(f"with recursive e as ({STAGE_EDGES}), r as (select 'part 3' node union select 'order 10' union select e.dst from r join e on e.src = r.node), b as (select 'nation 1' node union select 'nation 2' union select e.src from b join e on e.dst = b.node) select node from r where node in (select node from b)")
+def graph_selected(spark, d):
+    nodes, edges = X.frame(spark, d, STAGES), X.frame(spark, d, STAGE_EDGES)
+    return graph.selected(nodes, edges, nodes.filter("node in ('part 3', 'order 10')"), nodes.filter("node in ('nation 1', 'nation 2')"))
+
+
+#: A graph with cycles: each part leads to one of its ten; parts from 8 on of a ten lead on to the next ten.
+LOOPS = """select cast(p_partkey as varchar(20)) src, cast(p_partkey - p_partkey % 10 + (p_partkey * p_partkey + p_partkey + 1) % 10 as varchar(20)) dst from {part}
+union all select cast(p_partkey as varchar(20)), cast(p_partkey + 2 as varchar(20)) from {part} where p_partkey % 10 >= 8"""
+
+
+@query(f"""with recursive e as ({LOOPS}), n as (select p_partkey::varchar node from part),
+c as (select src a, dst b from e union select c.a, e.dst from c join e on e.src = c.b where e.src::bigint // 10 = c.a::bigint // 10), on_cycle as (select distinct a from c where a = b),
+f as (select a node from on_cycle union select e.dst from f join e on e.src = f.node), g as (select a node from on_cycle union select e.src from g join e on e.dst = g.node)
+select n.node, n.node in (select node from f) stuck, n.node in (select node from f) and n.node in (select node from g) cyclic from n""")
+def graph_cycles(spark, d):
+    nodes, edges = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("node"), F.lit("").alias("own")), X.frame(spark, d, LOOPS)
+    edges = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    _, stuck = graph.peeled(nodes, edges)
+    on = graph.cyclic(stuck, edges).select("node", F.lit(True).alias("cyclic"))
+    marked = nodes.select("node").join(stuck.select("node", F.lit(True).alias("stuck")), "node", "left").join(on, "node", "left")
+    return marked.select("node", F.coalesce("stuck", F.lit(False)).alias("stuck"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 from . import edit_queries  # noqa: E402, F401  adds its own to the tables above
