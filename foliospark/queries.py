@@ -15,6 +15,7 @@ from .operators import candidates as C
 from .operators import confidence as Q
 from .operators import context, detect, export, glossary, grouping, history, incremental, ordering
 from .plans import dag, graph
+from .streaming import review_stream
 
 PAGE_W, PAGE_H = 800.0, 1200.0
 
@@ -557,16 +558,52 @@ def low_spans(spark, d):
 # history
 
 
-@query(f"""with recursive c as (select page_id, cmd_seq, cmd, row_number() over (partition by page_id order by cmd_seq) n from ({X.COMMANDS}) c),
-s as (select distinct page_id, 0::bigint n, []::int[] done, []::int[] undone, 0 rev from c
+def _fold_sql(commands: str, kind: str) -> str:
+    return f"""with recursive c as (select page_id, cmd_seq, cmd, row_number() over (partition by page_id order by cmd_seq) n from ({commands}) c),
+s as (select distinct page_id, 0::bigint n, []::{kind}[] done, []::{kind}[] undone, 0 rev from c
  union all select s.page_id, c.n, case when cmd = 'edit' then list_append(done, cmd_seq) when cmd = 'undo' then done[1:len(done) - 1] when cmd = 'redo' and len(undone) > 0 then list_append(done, undone[1]) else done end,
   case when cmd = 'edit' then [] when cmd = 'undo' and len(done) > 0 then list_prepend(done[len(done)], undone) when cmd = 'redo' then undone[2:] else undone end,
   rev + case when cmd = 'edit' or (cmd = 'undo' and len(done) > 0) or (cmd = 'redo' and len(undone) > 0) then 1 else 0 end
  from s join c on c.page_id = s.page_id and c.n = s.n + 1)
-select page_id, array_to_string(arg_max(done, n), ',') done, array_to_string(arg_max(undone, n), ',') undone, max(rev) rev from s group by page_id""")
+select page_id, array_to_string(arg_max(done, n), ',') done, array_to_string(arg_max(undone, n), ',') undone, max(rev) rev from s group by page_id"""
+
+
+def _listed(state: DataFrame) -> DataFrame:
+    return state.select("page_id", F.array_join(F.col("done").cast("array<string>"), ",").alias("done"), F.array_join(F.col("undone").cast("array<string>"), ",").alias("undone"), "rev")
+
+
+@query(_fold_sql(X.COMMANDS, "int"))
 def history_fold(spark, d):
-    f = history.folded(X.frame(spark, d, X.COMMANDS))
-    return f.select("page_id", F.array_join(F.col("done").cast("array<string>"), ",").alias("done"), F.array_join(F.col("undone").cast("array<string>"), ",").alias("undone"), "rev")
+    return _listed(history.folded(X.frame(spark, d, X.COMMANDS)))
+
+
+def _replayed(spark, d) -> DataFrame:
+    """The events as a stream of commands by the time they were given, run as far as there are any."""
+    # a pattern, as the source takes a folder or a pattern, and the table may be one file
+    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/event[s].parquet")
+    cmd = F.when(F.col("event_type") == "view", "undo").when(F.col("event_type") == "error", "redo").when(F.col("event_type") == "signup", "claim").otherwise("edit")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")  # whatever the session's time zone
+    return review_stream.replayed(events.select(F.col("user_id").alias("page_id"), micros.alias("seq"), F.timestamp_micros(micros).alias("ts"), cmd.alias("cmd"), F.concat(F.lit("e"), (F.col("event_id") % 3).cast("string")).alias("editor")))
+
+
+#: The same commands in a table.
+TIMED = """select user_id page_id, epoch_us(ts) cmd_seq, ts, 'e' || (event_id % 3)::varchar editor,
+  case event_type when 'view' then 'undo' when 'error' then 'redo' when 'signup' then 'claim' else 'edit' end cmd from events"""
+
+
+@query(_fold_sql(TIMED, "bigint"))
+def history_stream_fold(spark, d):
+    return _listed(review_stream.latest(_replayed(spark, d)))
+
+
+@query(f"""with recursive c as (select page_id, cmd_seq, editor, epoch_ms(ts) at, row_number() over (partition by page_id order by cmd_seq) n from ({TIMED}) c where cmd = 'claim'),
+s as (select distinct page_id, 0::bigint n, '' held, 0::bigint until, '' kind, '' editor, 0::bigint seq from c
+ union all select s.page_id, c.n, case when s.until > c.at and s.held <> c.editor then s.held else c.editor end, case when s.until > c.at and s.held <> c.editor then s.until else c.at + 900000 end,
+  case when s.until > c.at and s.held <> c.editor then 'refused' else 'claimed' end, c.editor, c.cmd_seq from s join c on c.page_id = s.page_id and c.n = s.n + 1)
+select page_id, seq, editor, kind, until until_ms from s where n > 0""")
+def claim_stream(spark, d):
+    rows = _replayed(spark, d).filter("kind in ('claimed', 'refused')")
+    return rows.select("page_id", "seq", "editor", "kind", F.unix_millis("until").alias("until_ms"))
 
 
 @query(f"select page_id, max(cmd_seq) cmd_seq from ({X.COMMANDS}) c where cmd in ('claim', 'redo') group by page_id having arg_max(cmd, cmd_seq) = 'claim'")

@@ -24,13 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, tag: str, part: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor loses nothing.
 
     part: a condition; rows go to a folder part=true or part=false by it, and the table has it as a column.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     if part is not None:
         df = df.withColumn("part", F.expr(part))
     (df.write.partitionBy("part") if part is not None else df.write).parquet(path)
