@@ -61,21 +61,24 @@ def order_by_panels(regions: DataFrame, panels: DataFrame, direction: str = "rtl
 
 
 def natural_key(name: Column) -> Column:
-    """A text that sorts page2 before page10: text chunks in lower case, each closed by the least character, and padded numbers by turns."""
+    """A text that sorts page2 before page10: by turns text chunks in lower case, each closed by the least character, and numbers
+    of any length, without leading zeros and behind the number of their digits."""
     chunks = F.transform(F.split(F.lower(name), r"\d+"), lambda t: F.concat(t, F.lit("\0")))
-    numbers = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda d: F.lpad(d.cast("decimal(38,0)").cast("string"), 38, "0"))
+    digits = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda d: F.regexp_replace(d, r"^0+(?=\d)", ""))
+    numbers = F.transform(digits, lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d))
     return F.array_join(F.transform(F.arrays_zip(chunks.alias("t"), numbers.alias("n")), lambda z: F.concat(z["t"], F.coalesce(z["n"], F.lit("")))), "")
 
 
-def placed(rows: DataFrame, key: Column, place: str, then: list[str], first: int = 0, groups: int = 256, sample: int = 20_000) -> DataFrame:
+def placed(rows: DataFrame, key: Column, place: str, then: list[str], first: int = 0, rows_of: int = 200_000, sample: int = 20_000) -> DataFrame:
     """rows with their place, from `first` on, by key and further columns, without one task for all of them.
 
     A sample of the keys, picked by their hash and of a bounded size, gives bounds of groups; ranks inside a group follow
-    the rows of the groups before. Bounds are values in the plan, so every evaluation deals alike. Rows of one key are in
-    one group.
+    the rows of the groups before. There are 256 groups, or more so that one has about rows_of rows, as far as the sample tells them
+    apart. Bounds are values in the plan, so every evaluation deals alike. Rows of one key are in one group.
     """
     keyed = rows.withColumn("_key", key)
     total = rows.count()
+    groups = min(max(256, total // rows_of), max(256, sample // 8))
     some = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(max(1, total // sample))) == 0).select("_key").filter("_key is not null").limit(4 * sample)
     found = sorted(r["_key"] for r in some.collect())
     bounds = sorted({found[i * len(found) // groups] for i in range(1, groups)}) if found else []
@@ -99,10 +102,12 @@ def manifest_order(files: DataFrame, manifest: DataFrame) -> DataFrame:
     A listed name that is not there is kept with found false and no place.
     """
     listed = manifest.groupBy("name").agg(F.min("pos").alias("pos"))
-    both = files.select("name").distinct().withColumn("found", F.lit(True)).join(listed, "name", "full")
-    w = Window.partitionBy("found").orderBy(F.col("pos").asc_nulls_last(), natural_key(F.col("name")), "name")
-    found = F.coalesce("found", F.lit(False))
-    return both.withColumn("found", found).withColumn("place", F.when(F.col("found"), F.row_number().over(w) - 1))
+    there = files.select("name").distinct()
+    at = F.lpad((F.col("pos").cast("decimal(38,0)") + F.lit(str(1 << 63)).cast("decimal(38,0)")).cast("string"), 20, "0")  # not negative, of one length
+    key = F.concat(F.coalesce(F.concat(F.lit("0"), at), F.lit("1")), natural_key(F.col("name")))
+    found = placed(there.join(listed, "name", "left"), key, "place", ["name"])
+    lost = listed.join(there, "name", "left_anti").select("name", "pos", F.lit(None).cast("int").alias("place"))
+    return found.select("name", "pos", "place", F.lit(True).alias("found")).unionByName(lost.withColumn("found", F.lit(False)))
 
 
 def import_pages(pages: DataFrame, images: DataFrame) -> DataFrame:

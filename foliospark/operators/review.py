@@ -143,13 +143,16 @@ def _mapped_units(units: DataFrame, pairs: DataFrame, change: Callable[[Column,
 def split_regions(regions: DataFrame, units: DataFrame, cuts: DataFrame) -> Edited:
     """cuts(region_id, seq, ratio, vertical): the region in two at a share of its height, or of its width.
 
-    The first part keeps the id and the recognised text. The second is a region of the same type and state, named
-    after it with _b, without a confidence, that follows it in reading order and in every unit that has it.
+    The first part keeps the id and the recognised text. The second is a region of the same type and state, without a
+    confidence, that follows it in reading order and in every unit that has it. It is named after it with _b; if there
+    is such a region, as after an earlier cut, also with a hash of the cut and the box, so a region can be cut any number of times.
     """
     good = (F.col("ratio") > 0) & (F.col("ratio") < 1)
-    taken = regions.select(F.col("region_id").alias("_second"), F.lit(True).alias("_taken"))
-    wanted = _last(cuts.filter(good), "region_id").withColumn("_second", F.concat("region_id", F.lit("_b"))).join(taken, "_second", "left")
-    joined = regions.join(wanted.filter("_taken is null").drop("_taken"), "region_id", "left")
+    taken = regions.select(F.col("region_id").alias("_plain"), F.lit(True).alias("_taken"))
+    wanted = _last(cuts.filter(good), "region_id").withColumn("_plain", F.concat("region_id", F.lit("_b"))).join(taken, "_plain", "left")
+    joined = regions.join(wanted, "region_id", "left")
+    mark = F.substring(F.md5(F.concat_ws(":", "region_id", "_seq", "x", "y", "w", "h")), 1, 12)
+    joined = joined.withColumn("_second", F.when(F.col("_taken"), F.concat("_plain", mark)).otherwise(F.col("_plain"))).drop("_plain", "_taken")
     hit, vertical = F.col("_seq").isNotNull(), F.coalesce("_vertical", F.lit(False))
     halves = joined.withColumn("_half", F.explode(F.when(hit, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     second = F.col("_half") == 1
@@ -164,8 +167,7 @@ def split_regions(regions: DataFrame, units: DataFrame, cuts: DataFrame) -> Edit
     pairs = joined.filter(hit).select("page_id", F.col("region_id").alias("key"), F.col("_second").alias("value"))
     grown = _mapped_units(units, pairs, lambda ids, m: F.flatten(F.transform(ids, lambda i: F.filter(F.array(i, F.try_element_at(m, i)), lambda x: x.isNotNull()))))
     why = F.when(~F.coalesce(good, F.lit(False)), "ratio must be between 0 and 1")
-    used = wanted.filter("_taken").select(F.col("region_id").alias("id"), F.lit("already split").alias("reason"))
-    return Edited(_rejected(cuts, "region_id", regions, why).unionByName(used), regions=out.select(regions.columns), units=grown)
+    return Edited(_rejected(cuts, "region_id", regions, why), regions=out.select(regions.columns), units=grown)
 
 
 def merge_regions(regions: DataFrame, spans: DataFrame, units: DataFrame, groups: DataFrame) -> Edited:

@@ -15,6 +15,7 @@ from .operators import candidates as C
 from .operators import confidence as Q
 from .operators import context, detect, export, glossary, grouping, history, incremental, ordering
 from .plans import dag, graph
+from .sources import archives
 from .streaming import review_stream
 
 PAGE_W, PAGE_H = 800.0, 1200.0
@@ -596,10 +597,10 @@ def history_stream_fold(spark, d):
     return _listed(review_stream.latest(_replayed(spark, d)))
 
 
-@query(f"""with recursive c as (select page_id, cmd_seq, editor, epoch_ms(ts) at, row_number() over (partition by page_id order by cmd_seq) n from ({TIMED}) c where cmd = 'claim'),
+@query(f"""with recursive c as (select page_id, cmd_seq, editor, epoch_us(ts) // 1000 ms, row_number() over (partition by page_id order by cmd_seq) n from ({TIMED}) c where cmd = 'claim'),
 s as (select distinct page_id, 0::bigint n, '' held, 0::bigint until, '' kind, '' editor, 0::bigint seq from c
- union all select s.page_id, c.n, case when s.until > c.at and s.held <> c.editor then s.held else c.editor end, case when s.until > c.at and s.held <> c.editor then s.until else c.at + 900000 end,
-  case when s.until > c.at and s.held <> c.editor then 'refused' else 'claimed' end, c.editor, c.cmd_seq from s join c on c.page_id = s.page_id and c.n = s.n + 1)
+ union all select s.page_id, c.n, case when s.until > c.ms and s.held <> c.editor then s.held else c.editor end, case when s.until > c.ms and s.held <> c.editor then s.until else c.ms + 900000 end,
+  case when s.until > c.ms and s.held <> c.editor then 'refused' else 'claimed' end, c.editor, c.cmd_seq from s join c on c.page_id = s.page_id and c.n = s.n + 1)
 select page_id, seq, editor, kind, until until_ms from s where n > 0""")
 def claim_stream(spark, d):
     rows = _replayed(spark, d).filter("kind in ('claimed', 'refused')")
@@ -685,4 +686,23 @@ def graph_cycles(spark, d):
     return marked.select("node", F.coalesce("stuck", F.lit(False)).alias("stuck"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
+#: Documents as members of archives, one file a text; those whose name begins so are read.
+@query("""select 'doc-' || doc_id::varchar || '.' || lang || '.txt' "name", octet_length(encode(text)) size, md5(text) md5 from documents where starts_with('doc-' || doc_id::varchar, 'doc-1') and lang <> 'fr'""")
+def archive_members(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"), F.lit(".txt"))
+    path = archives.archived(docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")))
+    return archives.members(spark, path, names="doc-1*.en.txt|doc-1*.de.txt|doc-1*.es.txt").select("name", "size", F.md5("content").alias("md5"))
+
+
+@query("""select lang, count(*) n, sum(octet_length(encode(text)))::bigint size from documents where octet_length(encode(text)) > 2000 group by lang""")
+def archive_sizes(spark, d):
+    """No member is opened: the directories of the archives tell."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
+    path = archives.archived(docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")))
+    found = archives.members(spark, path, ["name", "size"], suffixes="en,fr,de,es", least="2001")
+    return found.groupBy(F.element_at(F.split("name", r"\."), -1).alias("lang")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+
+
 from . import edit_queries  # noqa: E402, F401  adds its own to the tables above

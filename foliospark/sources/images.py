@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import manifest_order, natural_order
+from ..operators.ordering import manifest_order, natural_order, placed
 
 #: Suffixes of images and of archives.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp", "tif", "tiff")
@@ -97,7 +97,7 @@ def discovered(found: DataFrame, order: str = "natural", manifest: DataFrame | N
     marked = found.withColumn("_n", F.row_number().over(first)).withColumn("reason", F.coalesce("reason", F.when(F.col("_n") > 1, "duplicate name"))).drop("_n")
     good = marked.filter("reason is null")
     if order == "name":
-        places = good.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("place"))  # a list of files
+        places = placed(good.select("name"), F.col("name"), "place", [])
     elif order == "natural":
         places = natural_order(good, "name")
     else:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import tomllib
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -35,16 +36,16 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """The file is there as a whole or not at all: it is written beside and renamed."""
+    """The file is there as a whole or not at all: it is written beside and renamed over the one before, which nothing deletes first."""
     fs, p = _file_system(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    part = hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"cannot write {path}")
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(p), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -69,7 +70,10 @@ class Project:
 
 
 class Store:
-    """Tables of a project in a folder: one Parquet folder each, and manifest.json."""
+    """Tables of a project in a folder, and manifest.json.
+
+    A table is a Parquet folder for each time it was written; <table>.current names the one that counts and is replaced as a whole.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -101,26 +105,34 @@ class Store:
             raise ValueError(f"no table {table}")
         return ", ".join(parts)
 
+    def _current(self, table: str) -> str | None:
+        """The folder of the table as it is now; a table of an older project is a folder of its own name."""
+        pointer = f"{self.folder}/{table}.current"
+        if exists(self.spark, pointer):
+            return f"{self.folder}/{read_text(self.spark, pointer)}"
+        path = f"{self.folder}/{table}"
+        return path if exists(self.spark, path) else None
+
     def read(self, table: str) -> DataFrame:
         """The table, empty if it was never written; columns that it was written without are null."""
-        empty = self.spark.createDataFrame([], self._columns(table))
-        path = f"{self.folder}/{table}"
-        return empty.unionByName(self.spark.read.parquet(path), allowMissingColumns=True) if exists(self.spark, path) else empty
+        empty, path = self.spark.createDataFrame([], self._columns(table)), self._current(table)
+        return empty.unionByName(self.spark.read.parquet(path), allowMissingColumns=True) if path else empty
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """Replaces the table. rows may come from the table itself: they are written beside it first."""
+        """Replaces the table. rows may come from the table itself. Whenever it breaks off, the table is as before or as after."""
         wanted = self.spark.createDataFrame([], self._columns(table))
-        path, beside = f"{self.folder}/{table}", f"{self.folder}/_{table}.new"
-        wanted.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(beside)
-        fs, p = _file_system(self.spark, path)
-        fs.delete(p, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(beside), p)
+        before, name = self._current(table), f"{table}.{uuid.uuid4().hex}"
+        wanted.unionByName(rows, allowMissingColumns=True).write.parquet(f"{self.folder}/{name}")
+        write_text(self.spark, f"{self.folder}/{table}.current", name)
+        if before:
+            fs, p = _file_system(self.spark, before)
+            fs.delete(p, True)
 
     def migrate(self) -> int:
         """Brings tables and manifest to the newest version; running it again changes nothing."""
         project = self.project()
         for version, table, _ in MIGRATIONS:
-            if project.version < version and exists(self.spark, f"{self.folder}/{table}"):
+            if project.version < version and self._current(table):
                 self.write(table, self.read(table))
         if project.version < VERSION:
             self.save(Project(**(asdict(project) | {"version": VERSION})))

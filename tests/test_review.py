@@ -41,8 +41,15 @@ def test_split(spark, tables):
     assert got["r1"] == (1, 0, 5, 0.5) and got["r1_b"] == (2, 5, 15, None) and got["r3"] == (4, 0, 20, 0.5) and got["s0"][0] == 0
     assert ids(done.units) == {"a": ["r1", "r1_b"], "b": ["r1", "r1_b", "r2", "r3"], "c": ["s0"]}
     assert refused(done) == {("r2", "ratio must be between 0 and 1"), ("zz", "unknown id")}
-    again = review.split_regions(done.regions, done.units, cuts.limit(1))
-    assert refused(again) == {("r1", "already split")} and places(again.regions) == places(done.regions)
+    first = cuts.limit(1)
+    again = review.split_regions(done.regions, done.units, first)  # a second cut, a cut of the half, and a third cut
+    new = set(places(again.regions)) - set(places(done.regions))
+    assert not refused(again) and len(new) == 1 and (name := new.pop()).startswith("r1_b")
+    got = {x["region_id"]: (x["reading_order"], x["y"], x["h"]) for x in again.regions.collect()}
+    assert got["r1"] == (1, 0, 1.25) and got[name] == (2, 1.25, 3.75) and got["r1_b"] == (3, 5, 15) and ids(again.units)["a"] == ["r1", name, "r1_b"]
+    both = review.split_regions(again.regions, again.units, first.withColumn("region_id", F.explode(F.array(F.lit("r1"), F.lit("r1_b")))))
+    assert len(places(both.regions)) == len(places(again.regions)) + 2 and "r1_b_b" in places(both.regions)
+    assert sorted(places(both.regions.filter("region_id not like 's%'")).values()) == list(range(len(places(both.regions.filter("region_id not like 's%'")))))
 
 
 def test_merge(spark, tables):
@@ -226,7 +233,7 @@ def test_store(spark, tmp_path):
     spark.createDataFrame([(1, 0, "a.png", 3, 4)], "page_id long, idx int, image_path string, width int, height int").write.parquet(folder + "/pages")
     assert s.read("pages").columns[-1] == "review_rev" and s.read("units").count() == 0
     assert s.migrate() == store.VERSION == s.project().version and s.migrate() == store.VERSION
-    assert spark.read.parquet(folder + "/pages").columns[-1] == "review_rev"
+    assert s.read("pages").count() == 1
     s.write("pages", s.read("pages").withColumn("review_rev", F.lit(5)))
     assert s.read("pages").first()["review_rev"] == 5
     with pytest.raises(ValueError):
