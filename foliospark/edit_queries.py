@@ -595,10 +595,29 @@ def text_layout(spark, d):
 # pixels
 
 
-@query("""select r_regionkey + 5 * n page_id, b.x::double x, b.y::double y, 128.0::double w, 208.0::double h from region, range(0, 4) t(n), (values (16, 16), (176, 16), (16, 256), (176, 256)) b(x, y)""")
+#: Frames of pages of 400 by 600: a grid for each customer, its columns and rows by nation and balance.
+FRAMES = """select page_id, cast(10 + i * cw as double) x, cast(10 + j * ch as double) y, cast(cw - 14 as double) w, cast(ch - 14 as double) h from (
+  select c_custkey page_id, i, j, c, r, cast(floor(380.0 / c) as int) cw, cast(floor(580.0 / r) as int) ch from (
+    select c_custkey, 1 + c_nationkey % 3 c, 1 + cast(floor(abs(c_acctbal)) as int) % 5 r from {customer}) k
+  cross join (select 0 i union all select 1 union all select 2) a cross join (select 0 j union all select 1 union all select 2 union all select 3 union all select 4) b) g where i < c and j < r"""
+
+
+@query(FRAMES)
 def panels(spark, d):
-    n = spark.read.parquet(f"{d}/region.parquet").count() * 4
-    return vision.over_images(vision.sample_pages(spark, n), vision.panels, "x double, y double, w double, h double")
+    import numpy as np
+    import pandas as pd
+
+    from .sources.images import encode_png
+
+    def paint(frames: pd.DataFrame) -> pd.DataFrame:
+        page = np.full((600, 400), 255, np.uint8)
+        for x, y, w, h in frames[["x", "y", "w", "h"]].astype(int).itertuples(index=False, name=None):
+            page[y : y + h, x : x + w] = 0
+            page[y + 3 : y + h - 3, x + 3 : x + w - 3] = 255
+        return pd.DataFrame({"page_id": frames["page_id"].iloc[:1], "png": [encode_png(page)]})
+
+    pages = X.frame(spark, d, FRAMES).groupBy("page_id").applyInPandas(paint, "page_id long, png binary")
+    return vision.over_images(pages, vision.panels, "x double, y double, w double, h double")
 
 
 #: Pixels of small pages by a rule: page, column, row.

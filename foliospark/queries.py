@@ -430,10 +430,16 @@ KANA_ROWS = [
 ]
 
 
-@query("select * from (values " + ", ".join(f"({i}, '{r}')" for i, _, r in KANA_ROWS) + ") t(id, romaji)")
+def _picked(column: int) -> str:
+    """A text of KANA_ROWS for each customer, another, and the customer's name; as SQL of both engines."""
+    texts = [f"when {i} then '{r[column]}'" for i, r in enumerate(KANA_ROWS)]
+    first, second = (f"case cast({key} as int) {' '.join(texts)} end" for key in (f"c_custkey % {len(KANA_ROWS)}", f"floor(c_custkey / {len(KANA_ROWS)}.0) % {len(KANA_ROWS)}"))
+    return f"select c_custkey id, concat({first}, ' ', {second}, ' ', c_name) text from {{customer}}"
+
+
+@query(f"select id, upper(text) romaji from ({_picked(2)}) t")
 def romaji(spark, d):
-    rows = spark.createDataFrame([(i, k) for i, k, _ in KANA_ROWS], "id int, kana string")
-    return rows.select("id", text.romaji(F.col("kana")).alias("romaji"))
+    return X.frame(spark, d, _picked(1)).select("id", text.romaji(F.col("text")).alias("romaji"))
 
 
 ALL_LINES = "select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 rk from documents"
