@@ -6,9 +6,11 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -464,6 +466,61 @@ def test_sharding(spark, sf_dir, odd, empty, tmp_path):
     assert back.count() == len(ODD) and back.select("_shard").distinct().count() == 4
 
 
+def shuffled_plainly(spark, rows, n, seed=42):
+    """The whole order of distinct rows (doc_id, source) as the operator defines it, with Spark's hash for keys and draws."""
+    keys = {tuple(r[:2]): r[2] for r in spark.createDataFrame(rows, "doc_id long, source string").select("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id", "source", F.lit(1).cast("long"))).collect()}
+    buckets = collections.defaultdict(list)
+    for r, k in keys.items():
+        buckets[k % n].append((k, r))
+    draws = spark.createDataFrame([(b, len(v)) for b, v in buckets.items()], "b long, n int").select("b", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(F.lit(seed), F.col("b"), i)))
+    order = []
+    for b, h in sorted(tuple(r) for r in draws.collect()):
+        mine = [r for _, r in sorted(buckets[b])]
+        for i in range(len(mine)):  # the shuffle, in place
+            j = h[i] % (i + 1)
+            mine[i], mine[j] = mine[j], mine[i]
+        order += mine
+    return order
+
+
+def test_sharding_whole_order(spark):
+    rows = [(i, f"s{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
+    got = {(r["_shard"], r["_slot"]): (r["doc_id"], r["source"]) for r in op6_sharding.external_shuffle(df, 5, ["doc_id", "source"], bucket_rows=700).collect()}
+    assert got == {(i % 5, i // 5): r for i, r in enumerate(shuffled_plainly(spark, rows, 5))}
+
+
+def test_large_buckets_take_linear_time(spark):
+    def seconds(n):
+        began = time.time()
+        p = spark.range(1).select(op6_sharding.fisher_yates(F.lit(n), F.col("id"), 7).alias("p")).first()["p"]
+        assert sorted(p) == list(range(n))
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(32768) < 30 * max(0.3, seconds(4096))  # eight times the rows; a fold over one array takes 64 times as long
+
+
+def test_written_shards(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 50), "a" if i % 3 else None) for i in range(2000)] + [(7, "same", None)] * 900 + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("d", F.lit(1)).withColumn("_slot", F.lit("gone"))
+    orders = []
+    for name, n, task in (("a", 3, 1 << 30), ("b", 7, 20_000)):
+        op6_sharding.write_shards(docs.repartition(n), str(tmp_path / name), 4, bucket_rows=300, task_bytes=task)
+        found = []
+        for shard in range(4):
+            files = sorted((tmp_path / name / f"_shard={shard}").glob("part-*"))
+            slots = [s for f in files for s in pq.read_table(f)["_slot"].to_pylist()]
+            assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 4) < 1  # files in order carry the order
+        back = spark.read.parquet(str(tmp_path / name))
+        found = sorted((r["_shard"], r["_slot"], r["doc_id"], r["text"], r["source"], r["d"]) for r in back.na.fill(-1, ["doc_id"]).na.fill("none").collect())
+        orders.append(found)
+        assert collections.Counter(f[2:5] for f in found) == collections.Counter((-1 if i is None else i, "none" if t is None else t, "none" if s is None else s) for i, t, s in rows)
+    assert orders[0] == orders[1]
+    op6_sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
+    assert not list((tmp_path / "none").glob("_shard=*"))
+
+
 def test_fisher_yates(spark):
     """Against the shuffle written out, with Spark's hash for the draws."""
     df = spark.createDataFrame([(b, n) for b in range(6) for n in (1, 2, 3, 10, 60)], "b long, n int")
