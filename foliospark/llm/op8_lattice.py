@@ -5,16 +5,16 @@ nearest point of the lattice E8 (the better of D8 and D8 shifted by one half). A
 lattice point and under the next nearest ones, in every table. Vectors of one label that share a point are
 compared by cosine in double precision. A pair that shares several points counts at the least of them.
 
-Vectors do not travel to every point they are entered under. First only (point, id, sketch of 64 signs) do: at a point
-stay those that have another within sketch_bits of theirs there. Only these are joined to their vectors and compared.
-A pair at the threshold is further apart than sketch_bits with a chance below 1e-6.
+Vectors do not travel to every point they are entered under. First only (point, id, code) do, a code being the unit vector in four
+bits a component with the length of what that leaves out. Two codes bound the cosine of their vectors from above, so at a
+point stay those that have another that may be near, and no near pair is lost at any point that it shares. Only these are joined
+to their vectors and compared.
 
 Equal vectors of one label are one class, whatever their number; only classes meet at lattice points.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,20 +76,27 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: f
     return np.hstack(out).view(np.int64)
 
 
-def sketches(unit: np.ndarray) -> np.ndarray:
-    """64 signs of random projections of each vector."""
-    planes = np.random.default_rng(SEED + 1).standard_normal((unit.shape[1], 64))
-    return np.packbits(unit @ planes > 0, axis=1, bitorder="little").view("<i8")[:, 0]
+def coded(unit: np.ndarray) -> list[bytes]:
+    """Unit vectors in four bits a component: the scale, the length of the rest, and two components a byte."""
+    scale = np.abs(unit).max(1) / 7
+    q = np.rint(unit / scale[:, None])
+    rest = np.sqrt(((unit - scale[:, None] * q) ** 2).sum(1))
+    nibbles = (q + 8).astype(np.uint8)
+    if nibbles.shape[1] % 2:
+        nibbles = np.hstack([nibbles, np.full((len(nibbles), 1), 8, np.uint8)])
+    packed = nibbles[:, ::2] << 4 | nibbles[:, 1::2]
+    head = np.stack([scale, rest], axis=1).astype("<f8").view(np.uint8)
+    return [r.tobytes() for r in np.hstack([head, packed])]
 
 
-def sketch_limit(threshold: float, risk: float = 1e-6) -> int:
-    """The most of 64 signs that a pair at the threshold differs in, but for a chance of risk."""
-    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    left, n = 1.0, -1
-    while left > risk and n < 64:
-        n += 1
-        left -= math.comb(64, n) * p**n * (1 - p) ** (64 - n)
-    return n
+def may_be_near(codes: list[bytes], threshold: float) -> np.ndarray:
+    """For each two codes whether the cosine of their vectors can be threshold; false only if it cannot."""
+    data = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    scale, rest = data[:, :16].copy().view("<f8").T
+    q = np.stack([data[:, 16:] >> 4, data[:, 16:] & 15], axis=2).reshape(len(codes), -1).astype(float) - 8
+    v = q * scale[:, None]
+    # x y = x' y' + (x - x') y + x' (y - y'), and the last two are no longer than rest and (1 + rest) times rest
+    return v @ v.T + rest[:, None] + (1 + rest[:, None]) * rest[None, :] >= threshold - 1e-9
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -100,12 +107,11 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def alive(bits: int):
-    """A function for grouped(): the classes of a lattice point that have another within bits of their sketch."""
+def alive(threshold: float):
+    """A function for grouped(): the classes of a lattice point that have another there that may be near."""
 
     def some(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
-        sketch = group["sketch"].to_numpy().view(np.uint64)
-        near = np.bitwise_count(sketch[:, None] ^ sketch[None, :]) <= bits
+        near = may_be_near(group["code"].to_pylist(), threshold)
         np.fill_diagonal(near, False)
         if (meet := pairs_meet(own, bi, bj)) is not None:
             near &= meet
@@ -184,14 +190,14 @@ def embedding_links(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
                 keys = cells(x, tables, probes, width)
                 pick = pa.array(at)
                 columns = [b["label"].take(pick), pa.array(np.full(len(at), dim, np.int32)), b["rep"].take(pick), b["n"].take(pick)]
-                columns += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(sketches(x)), pa.array(data, pa.binary())]
-                yield pa.record_batch(columns, ["label", "dim", "rep", "n", "keys", "sketch", "vector"])
+                columns += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(coded(x), pa.binary()), pa.array(data, pa.binary())]
+                yield pa.record_batch(columns, ["label", "dim", "rep", "n", "keys", "code", "vector"])
 
     kind = dict(rows.dtypes)["label"]
-    entered = written(classes.mapInArrow(enter, f"label {kind}, dim int, rep long, n long, keys array<long>, sketch long, vector binary"), "entered")
-    points = entered.select(F.explode("keys").alias("key"), "label", "dim", "rep", "sketch").withColumn("home", F.xxhash64("key", "label", "dim"))
-    dealt = blocked(points.select("home", F.col("home").alias("at"), "key", "rep", "sketch"), "home", "rep", 2 * limit, points.select("home"))
-    close = grouped(dealt, "home", ["at", "key", "rep", "sketch"], "home long, rep long, key long", alive(sketch_limit(threshold)))
+    entered = written(classes.mapInArrow(enter, f"label {kind}, dim int, rep long, n long, keys array<long>, code binary, vector binary"), "entered")
+    points = entered.select(F.explode("keys").alias("key"), "label", "dim", "rep", "code").withColumn("home", F.xxhash64("key", "label", "dim"))
+    dealt = blocked(points.select("home", F.col("home").alias("at"), "key", "rep", "code"), "home", "rep", 2 * limit, points.select("home"))
+    close = grouped(dealt, "home", ["at", "key", "rep", "code"], "home long, rep long, key long", alive(threshold))
     close = written(close.distinct(), "close")
     at_points = close.groupBy("rep").agg(F.collect_list(F.struct("home", "key")).alias("points"))  # tables * probes at most
     sent = entered.select("rep", "n", "vector").join(at_points, "rep").select(F.explode("points").alias("p"), "rep", "n", "vector").select("p.home", "p.key", "rep", "n", "vector")

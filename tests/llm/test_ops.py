@@ -583,6 +583,44 @@ def test_lattice(spark, limit):
     assert got[806] == (1, 806) and got[807] == (1, 806)
 
 
+def test_lattice_codes_lose_no_pair():
+    """Codes never rule out a pair at the threshold, and rule out nearly all others."""
+    rng = np.random.default_rng(12)
+    for dim in (1, 2, 7, 64, 65):
+        x = rng.standard_normal((120, dim)) * rng.choice([1, 0.001, 50], (120, dim))
+        x[60:] = x[:60] + rng.standard_normal((60, dim)) * rng.choice([0.01, 0.1, 0.3], (60, 1)) * np.abs(x[:60]).mean(1, keepdims=True)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        may = op8_lattice.may_be_near(op8_lattice.coded(u), 0.93)
+        assert may[u @ u.T >= 0.93].all()
+    u = rng.standard_normal((400, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert op8_lattice.may_be_near(op8_lattice.coded(u), 0.93).sum() == 400
+
+
+def test_lattice_counts_pairs_whose_signs_differ(spark):
+    """Pairs at the threshold whose signs under random planes differ far more than usual count like any other pair."""
+    rng = np.random.default_rng(13)
+    planes = np.random.default_rng(op8_lattice.SEED + 1).standard_normal((64, 64))
+    q, _ = np.linalg.qr(planes)
+    rows = []
+    for i in range(20):
+        a = q @ rng.choice([-1.0, 1.0], 64) / 8
+        step = rng.standard_normal(64)
+        step -= step @ a * a
+        c = 0.9302
+        rows += [(2 * i, 0, a.tolist()), (2 * i + 1, 0, (c * a + np.sqrt(1 - c * c) * step / np.linalg.norm(step)).tolist())]
+    rows += [(100 + i, 0, v.tolist()) for i, v in enumerate(rng.standard_normal((200, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    u = np.array([r[2] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    keys = op8_lattice.cells(u)
+    meet = np.array([[bool(set(a) & set(b)) for b in keys] for a in keys])
+    counted = ((u @ u.T >= 0.93) & meet).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in op8_lattice.embedding_links(df).collect()}
+    assert [got[r[0]] for r in rows] == counted.tolist() and counted.sum() >= 0.97 * want.sum() > 30
+
+
 def test_lattice_points_are_in_e8():
     y = np.random.default_rng(11).standard_normal((500, 8)) * 2
     p = op8_lattice.lattice_points(y, 4)
