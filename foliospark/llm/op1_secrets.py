@@ -13,6 +13,7 @@ Two cheap tests decide which texts any of this is run on: both hold for every te
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,21 +80,45 @@ def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+#: Items that a scan folds together: what a step appends is copied within a block alone.
+BLOCK = 256
+
+
+def scan(items: Column, carry: Column, carry_kind: str, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], finish: Callable[[Column], Column] | None = None) -> Column:
+    """A fold over items whose step(carry, item) gives the next carry and an array of results; all results, one after the other.
+
+    finish gives a last array from the last carry. Blocks of items are folded one by one, so the time is proportional to their number.
+    """
+    inner, outer = f"struct<c:{carry_kind},got:array<{kind}>>", f"struct<c:{carry_kind},got:array<array<{kind}>>>"
+
+    def one(s: Column, x: Column) -> Column:
+        c, more = step(s["c"], x)
+        return F.struct(c.alias("c"), F.concat(s["got"], more.cast(f"array<{kind}>")).alias("got")).cast(inner)
+
+    def block(s: Column, some: Column) -> Column:
+        zero = F.struct(s["c"].alias("c"), _none(f"array<{kind}>").alias("got")).cast(inner)
+        return _let(F.aggregate(some, zero, one), lambda r: F.struct(r["c"].alias("c"), F.concat(s["got"], F.array(r["got"])).alias("got")).cast(outer))
+
+    def folded(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / F.lit(BLOCK)).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+        zero = F.struct(carry.alias("c"), _none(f"array<array<{kind}>>").alias("got")).cast(outer)
+        last = (lambda s: F.flatten(F.concat(s["got"], F.array(finish(s["c"]).cast(f"array<{kind}>"))))) if finish else (lambda s: F.flatten(s["got"]))
+        return F.when(F.size(all_) > 0, F.aggregate(blocks, zero, block, last)).otherwise(_none(f"array<{kind}>"))
+
+    return _let(items, folded)
+
+
 def _walk(text: Column, pattern: str, gaps: bool) -> Column:
     """Matches of pattern, or the gaps between them, as array of struct(start, text): each one's length gives the next one's place."""
-    state = f"struct<at:bigint,got:{PIECES}>"
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        here = F.struct(s["at"].alias("start"), x["gap"].alias("text")) if gaps else F.struct(start.alias("start"), x["hit"].alias("text"))
-        got = F.concat(s["got"], F.array(here))
-        if not gaps:
-            got = F.when(x["hit"].isNull(), s["got"]).otherwise(got)
-        return F.struct((start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), got.alias("got")).cast(state)
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        here = F.struct(at.alias("start"), x["gap"].alias("text")) if gaps else F.struct(start.alias("start"), x["hit"].alias("text"))
+        got = F.array(here) if gaps else F.when(x["hit"].isNotNull(), F.array(here)).otherwise(_none(PIECES))
+        return start + F.coalesce(F.length(x["hit"]), F.lit(0)), got
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), _none(PIECES).alias("got")).cast(state)
-    return F.aggregate(zipped, zero, step, lambda s: s["got"])
+    return scan(zipped, F.lit(0).cast("bigint"), "bigint", "struct<start:bigint,text:string>", step)
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -210,8 +235,14 @@ def find_secrets(docs: DataFrame, width: int = 20, classes: tuple[CharClass, ...
     others = F.when(text.rlike(LONG_RUN), F.concat(base["access"], base["hex"], *dense)).otherwise(_none(SPANS))
     out = once(docs.drop("_base", "_spans", "_all"), "_all", F.array_sort(F.concat(assigned, others)))
     out = out.withColumn("_base", F.filter("_all", lambda x: x["rank"] < len(LEAST)))
-    covered = lambda x: F.exists(F.col("_base"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
-    return out.withColumn("_spans", F.filter("_all", lambda x: (x["rank"] < len(LEAST)) | ~covered(x))).drop("_all")
+
+    def uncovered(furthest: Column, x: Column) -> tuple[Column, Column]:
+        """furthest: the end that base spans have reached so far; at one start they come before the others."""
+        is_base = x["rank"] < len(LEAST)
+        stays = is_base | (x["end"] > furthest)
+        return F.when(is_base, F.greatest(furthest, x["end"])).otherwise(furthest), F.when(stays, F.array(x)).otherwise(_none(SPANS))
+
+    return once(out, "_spans", scan(F.col("_all"), F.lit(-1).cast("bigint"), "bigint", "struct<start:bigint,rank:int,end:bigint>", uncovered)).drop("_all")
 
 
 def once(docs: DataFrame, name: str, value: Column) -> DataFrame:
@@ -230,16 +261,15 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     A column named _runs is dropped.
     """
-    kind = "array<struct<start:bigint,end:bigint>>"
+    kind = "struct<start:bigint,end:bigint>"
 
-    def step(got: Column, s: Column) -> Column:
-        last = F.try_element_at(got, F.lit(-1))
+    def step(run: Column, s: Column) -> tuple[Column, Column]:
         here = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        joins = F.coalesce(s["start"] <= last["end"], F.lit(False))
-        return F.when(joins, F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(got, F.array(here))).cast(kind)
+        joins = F.coalesce(s["start"] <= run["end"], F.lit(False))
+        grown = F.struct(run["start"].alias("start"), F.greatest(run["end"], s["end"]).alias("end"))
+        return F.when(joins, grown).otherwise(here), F.when(joins | run.isNull(), _none(f"array<{kind}>")).otherwise(F.array(run))
 
-    runs = once(found.drop("_runs"), "_runs", F.aggregate("_spans", F.array().cast(kind), step))
+    runs = once(found.drop("_runs"), "_runs", scan(F.col("_spans"), F.lit(None).cast(kind), kind, kind, step, lambda run: F.array(run)))
     n = F.length("text").cast("bigint")
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_runs", lambda r: r["end"]))
     starts = F.concat(F.transform("_runs", lambda r: r["start"]), F.array(n))

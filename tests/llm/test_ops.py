@@ -106,6 +106,46 @@ def test_secrets_entropy(spark):
     assert got == {i: joined(all_spans(t)) for i, t in enumerate(texts)} and sum("entropy" in x for x in got.values()) > 100
 
 
+def test_secrets_of_many_matches_take_linear_time(spark):
+    def seconds(n):
+        text = "token=abcdef " * n + "Q7xK2p9Zr4Lm8Vb1Nc6Ty3Wq5Hd"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        r = op1_secrets.find_secrets(df).select(op1_secrets.joined(F.col("_spans")).alias("s")).first()
+        took = time.time() - began
+        assert r["s"] == joined(base_spans(text)) + f",entropy_base64:{13 * n}:{len(text)}"
+        return took
+
+    seconds(300)
+    assert seconds(20_000) < 20
+
+
+def test_secrets_covered_spans_go(spark):
+    """A dense span inside a base one goes, one that reaches beyond it stays; and what is redacted is the union."""
+    rng = random.Random(6)
+    alphabet = op1_secrets.CLASSES[1].alphabet
+    texts = []
+    for _ in range(150):
+        bits = ["".join(rng.choices(alphabet, k=rng.randint(18, 50))) for _ in range(3)] + ["0123456789abcdef" * 2, "AKIA" + "ABCD0123" * 3]
+        texts.append("".join(rng.choice(["token=", " secret: ", " ", ",", "AKIA"]) + rng.choice(bits) for _ in range(rng.choice([1, 4, 700]))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in op1_secrets.redact(op1_secrets.find_secrets(df)).select("doc_id", "text", op1_secrets.joined(F.col("_spans")).alias("s")).collect():
+        t = texts[r["doc_id"]]
+        spans = all_spans(t)
+        assert r["s"] == joined(spans)
+        out, at = [], 0
+        for s, _, e in sorted(spans):
+            if s > at or not out:
+                out.append([s, e])
+            elif e > out[-1][1]:
+                out[-1][1] = e
+            at = out[-1][1]
+        want, last = "", 0
+        for s, e in out:
+            want, last = want + t[last:s] + "[SECRET]", e
+        assert r["text"] == want + t[last:]
+
+
 def test_secrets_windows_are_judged_singly(spark):
     texts = ["sample_Q7xK2p9Zr4Lm8Vb1Nc6Ty3Wq5Hd", "QxKpZrLmVbNcTyWqHdXbRdMf", "/usr/lib/python3/dist-packages/foo/bar_baz/module2", "word_" * 5 + "Q7xK2p9Zr4Lm8Vb1Nc6T"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -662,7 +702,7 @@ def test_language_features_and_decision():
     want = np.sqrt(want)
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     for size in (1 << 19, 64, 5, 1):
-        assert np.allclose(op9_langid.features(texts, size), want, atol=1e-6)
+        assert np.allclose(op9_langid.features(texts, size), np.hstack([want, np.ones((len(texts), 1))]), atol=1e-6)
     langs = [["en", "de", "fr", "es", "it", "xx"][i % 6] for i in range(12)]
     m = op9_langid.fit(texts, langs)
     assert m.families == ["germanic", "romance", "xx"] and set(m.pair_w) == {("de", "en"), ("es", "fr"), ("es", "it"), ("fr", "it")}
