@@ -142,6 +142,11 @@ def minima(hashes: np.ndarray, lanes: int, chunk: int = 1 << 12) -> np.ndarray:
     return least
 
 
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    low, high = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist()
+    return low, high
+
+
 def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, a 128-bit digest (a, b) of the text's set of shingles, its size and the keys of its bands, of every row.
 
@@ -154,7 +159,7 @@ def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             out = []
             for text in b["text"]:
                 h = shingle_set(text, shingle)
-                low, high = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist()
+                low, high = _digest(h)
                 if not len(h):
                     out.append((low, high, 0, [], b""))
                     continue
@@ -168,16 +173,24 @@ def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, size int, keys array<long>, tags binary")
 
 
-def _with_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(rep, hashes): the sets of shingles of the documents ids(rep), as carried(); the greatest where an id has several."""
+def _with_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(rep, hashes): the sets of shingles, as carried(), of classes(rep, first, a, b): first is the id of a text, a and b its digest.
+
+    Texts are found by their id, and where an id has several, the one of that digest counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            data = [carried(shingle_set(t, shingle)) for t in b["text"]]
-            yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array(data, pa.binary())], ["rep", "hashes"])
+            keep, data = [], []
+            for text, low, high in zip(b["text"], b["a"].to_pylist(), b["b"].to_pylist()):
+                h = shingle_set(text, shingle)
+                keep.append(_digest(h) == (low, high))
+                data.append(carried(h) if keep[-1] else None)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([b["rep"].filter(mask), pa.array(data, pa.binary()).filter(mask)], ["rep", "hashes"])
 
-    found = docs.select("doc_id", "text").join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    return found.mapInArrow(run, "rep long, hashes binary").groupBy("rep").agg(F.max("hashes").alias("hashes"))
+    found = docs.select("doc_id", "text").join(classes.select("rep", F.col("first").alias("doc_id"), "a", "b"), "doc_id").select("rep", "a", "b", "text")
+    return found.mapInArrow(run, "rep long, hashes binary").groupBy("rep").agg(F.first("hashes").alias("hashes"))
 
 
 def _tested(sets: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
@@ -275,17 +288,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     become components without all their pairs. Then the classes of a cell that have another there, of a different
     component, that sizes and minima do not rule out (a true pair with a chance of at most 1e-9) are compared, in
     blocks of at most about block_hashes shingles, and only links to the least class reached in a block leave it: no
-    pairs are listed. Repeated rows change nothing; of rows that share an id and differ in text, one text is tested for
-    all of them. Other columns are not read, an empty table gives no row.
+    pairs are listed. Repeated rows change nothing; rows that share an id and differ in text are texts of their own, each with the
+    group of its text. Other columns are not read, an empty table gives no row.
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     signs = written(_sets(docs, shingle, bands, rows), "signs")
-    classes = written(signs.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags")), "classes")
+    classes = signs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a name that two texts of one id do not share
     dealt = classes.select(F.explode("keys").alias("key"), "rep")
     least = dealt.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = written(dealt.join(least, "key").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "stars")
     ids = stars.select(F.col("u").alias("rep")).union(stars.select("v")).distinct()
-    sets = written(_with_sets(docs, written(ids, "ids"), shingle), "sets")  # of all classes that meet another in a cell
+    wanted = written(classes.join(ids, "rep", "left_semi").select("rep", "first", "a", "b"), "ids")
+    sets = written(_with_sets(docs, wanted, shingle), "sets")  # of all classes that meet another in a cell
     links = written(_tested(sets, stars, similarity), "links", 4 << 20)
     comp = written(classes.join(components(links), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "tags", "keys"), "comp")
     dealt = comp.select(F.explode("keys").alias("key"), "rep", "comp", "size", "tags")
@@ -298,8 +313,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     more = written(grouped(dealt, "key", ["rep", "hashes"], "u long, v long", _similar(similarity)), "more", 4 << 20)
     discard(sets, doubtful)
     labels = components(links.union(more))
-    known = classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("keep"))
-    discard(stars, links, comp, more)
+    known = written(classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "first", F.coalesce("component", "rep").alias("comp")), "known")
+    known = known.join(known.groupBy("comp").agg(F.min("first").alias("keep")), "comp").select("a", "b", "keep")
+    discard(stars, links, comp, more, wanted)
     return signs.join(known, ["a", "b"]).select("doc_id", "keep")
 
 

@@ -69,3 +69,32 @@ def test_repeats_inside_a_text_count_once(spark, times):
     got = kept(spark, texts)
     wrong = sum(got[i] != want[i] for i in want)
     assert not wrong, f"{wrong} of 120 documents wrong"
+
+
+def test_texts_that_share_an_id_are_texts_of_their_own(spark):
+    """Ids repeat with different texts: each text has the group that its words give it, named by the least id there."""
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        a = words(rng, 80)
+        rows += [(k, " ".join(a)), (rng.randrange(60), " ".join(a[:77] + words(rng, 3))), (1000 + k % 7, " ".join(words(rng, 3) + a[3:]))]
+    rows += [(5, rows[0][1]), (5, rows[0][1]), (3, None), (900, ""), (None, rows[0][1])]
+    rng.shuffle(rows)
+    texts = sorted({t or "" for i, t in rows if i is not None})
+    root = {t: t for t in texts}
+
+    def top(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for x in range(len(texts)):
+        for y in range(x):
+            if (not texts[x].split()) == (not texts[y].split()) and similar(texts[x], texts[y]) >= 0.8:
+                root[top(texts[x])] = top(texts[y])
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[top(t or "")] = min(i, least.get(top(t or ""), i))
+    want = sorted((i, least[top(t or "")]) for i, t in rows if i is not None)
+    got = op2_simhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert sorted((r["doc_id"], r["keep"]) for r in got) == want
