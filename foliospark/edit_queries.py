@@ -9,7 +9,7 @@ from . import fixtures as X
 from .functions import prompts, shape, typeset
 from .operators import candidates as C
 from .operators import confidence as Q
-from .operators import detect, export, glossary, incremental, presets, review, stages, vision
+from .operators import calls, detect, export, glossary, incremental, presets, review, stages, vision
 from .operators import history as H
 from .queries import AGG, EDITS, FLAGS, INTER, PAGE_H, PAGE_W, PICK, PROJECT_SQL, SERIES_SQL, _flags, _layers, _order, _order_sql, candidate_rows, query, regions, spans, unit_regions, units
 
@@ -325,6 +325,35 @@ def unit_contexts(spark, d):
     return got.select("page_id", "unit_id", "source", F.array_join("preceding", "|").alias("preceding"), F.array_join("following", "|").alias("following"), "page_index", "page_count", terms.alias("terms"))
 
 
+def _loud(body: str, attempt: int) -> tuple[int, str]:
+    """A service that shouts the line back; by the first digit of the line's MD5 it refuses, fails twice, prattles or never answers."""
+    import hashlib
+    import json
+
+    line = json.loads(body)["messages"][-1]["content"].rpartition("Line:\n")[2]
+    digit = hashlib.md5(line.encode()).hexdigest()[0]
+    if digit == "0":
+        return 404, "no such model"
+    if digit == "1" and attempt < 2:
+        return 503, "busy"
+    if digit == "2":
+        return 200, "no JSON"
+    if digit == "3":
+        raise TimeoutError("no answer")
+    return 200, json.dumps({"choices": [{"message": {"content": f" {line}! "}}]})
+
+
+@query("""with c as (select conv_id, turn, trim(text) line, substr(md5(trim(text)), 1, 1) k from conversations)
+select conv_id, turn, case when line = '' or k in ('0', '2', '3') then null else md5(line || '!') end said, case when line = '' then null when k = '0' then 'rejected' when k = '2' then 'malformed' when k = '3' then 'timeout' end error,
+  case when line = '' then null when k in ('1', '3') then 3 else 1 end attempts, case when line = '' then null when k = '0' then '404: no such model' when k = '2' then 'no JSON' when k = '3' then 'no answer' end message from c""")
+def translate_calls(spark, d):
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.trim("text").alias("source"))
+    none = F.array().cast("array<string>")
+    rows = turns.withColumns({"preceding": none, "following": none, "terms": F.array().cast("array<struct<source:string,target:string>>")})
+    done = calls.chat_translator(_loud, "m", "fr", "en", strict=False, retries=2, pause=0.0)(rows)
+    return done.select("conv_id", "turn", F.md5("translation").alias("said"), "error", "attempts", "message")
+
+
 @query(f"""with t as (select page_id, unit_id, case when trim(source) = '' then '' else {ENFORCED} end said from ({SOURCES}) s),
 f as (select page_id, unit_id, case when contains(source, 't3') then replace(replace(said, 't3.0', 'third'), 't2', 'third') else said end fixed from t join (select unit_id, source from ({SOURCES}) s) using (unit_id)),
 u as (select p.page_id, p.unit_id, p.c, p.sel, f.fixed, list_filter(c, lambda x: x.kind <> 'raw') rest from ({PICK}) p join f on f.unit_id = p.unit_id)
