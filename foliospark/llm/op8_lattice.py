@@ -89,14 +89,24 @@ def coded(unit: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.hstack([head, packed])]
 
 
-def may_be_near(codes: list[bytes], threshold: float) -> np.ndarray:
-    """For each two codes whether the cosine of their vectors can be threshold; false only if it cannot."""
-    data = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    scale, rest = data[:, :16].copy().view("<f8").T
-    q = np.stack([data[:, 16:] >> 4, data[:, 16:] & 15], axis=2).reshape(len(codes), -1).astype(float) - 8
-    v = q * scale[:, None]
+def decoded(codes: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """What codes keep of their vectors, padded with zeros to one length, and the lengths of the rest."""
+    size = pa.compute.binary_length(codes).to_numpy()
+    v, rest = np.zeros((len(codes), 2 * (int(size.max(initial=16)) - 16)), np.float32), np.zeros(len(codes))
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        data = np.frombuffer(b"".join(codes.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), n)
+        scale, rest[at] = data[:, :16].copy().view("<f8").T
+        q = np.stack([data[:, 16:] >> 4, data[:, 16:] & 15], axis=2).reshape(len(at), -1).astype(np.float32) - 8
+        v[at, : q.shape[1]] = q * scale[:, None].astype(np.float32)
+    return v, rest
+
+
+def may_be_near(v: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """For each two of decoded() whether the cosine of their vectors can be threshold; false only if it cannot."""
     # x y = x' y' + (x - x') y + x' (y - y'), and the last two are no longer than rest and (1 + rest) times rest
-    return v @ v.T + rest[:, None] + (1 + rest[:, None]) * rest[None, :] >= threshold - 1e-9
+    slack = (v.shape[1] + 4) * 2**-23 * (1 + rest.max(initial=0)) ** 2  # what single precision may be off by
+    return v @ v.T + rest[:, None] + (1 + rest[:, None]) * rest[None, :] >= threshold - slack
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -111,7 +121,7 @@ def alive(threshold: float):
     """A function for grouped(): the classes of a lattice point that have another there that may be near."""
 
     def some(group: dict, bi: int, bj: int, own: np.ndarray) -> dict[str, np.ndarray] | None:
-        near = may_be_near(group["code"].to_pylist(), threshold)
+        near = may_be_near(group["v"], group["rest"], threshold)
         np.fill_diagonal(near, False)
         if (meet := pairs_meet(own, bi, bj)) is not None:
             near &= meet
@@ -122,6 +132,12 @@ def alive(threshold: float):
     return some
 
 
+def opened(table: pa.Table) -> dict[str, np.ndarray]:
+    """For grouped(): the codes of many groups at once."""
+    v, rest = decoded(table["code"])
+    return {"v": v, "rest": rest}
+
+
 def entered_as(tables: int, probes: int, width: float):
     """A function for grouped(): unit vectors and lattice points of the rows of many groups at once."""
 
@@ -197,7 +213,7 @@ def embedding_links(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
     entered = written(classes.mapInArrow(enter, f"label {kind}, dim int, rep long, n long, keys array<long>, code binary, vector binary"), "entered")
     points = entered.select(F.explode("keys").alias("key"), "label", "dim", "rep", "code").withColumn("home", F.xxhash64("key", "label", "dim"))
     dealt = blocked(points.select("home", F.col("home").alias("at"), "key", "rep", "code"), "home", "rep", 2 * limit, points.select("home"))
-    close = grouped(dealt, "home", ["at", "key", "rep", "code"], "home long, rep long, key long", alive(threshold))
+    close = grouped(dealt, "home", ["at", "key", "rep", "code"], "home long, rep long, key long", alive(threshold), opened)
     close = written(close.distinct(), "close")
     at_points = close.groupBy("rep").agg(F.collect_list(F.struct("home", "key")).alias("points"))  # tables * probes at most
     sent = entered.select("rep", "n", "vector").join(at_points, "rep").select(F.explode("points").alias("p"), "rep", "n", "vector").select("p.home", "p.key", "rep", "n", "vector")

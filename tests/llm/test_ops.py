@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -630,11 +631,11 @@ def test_lattice_codes_lose_no_pair():
         x = rng.standard_normal((120, dim)) * rng.choice([1, 0.001, 50], (120, dim))
         x[60:] = x[:60] + rng.standard_normal((60, dim)) * rng.choice([0.01, 0.1, 0.3], (60, 1)) * np.abs(x[:60]).mean(1, keepdims=True)
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        may = op8_lattice.may_be_near(op8_lattice.coded(u), 0.93)
+        may = op8_lattice.may_be_near(*op8_lattice.decoded(pa.array(op8_lattice.coded(u), pa.binary())), 0.93)
         assert may[u @ u.T >= 0.93].all()
     u = rng.standard_normal((400, 64))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    assert op8_lattice.may_be_near(op8_lattice.coded(u), 0.93).sum() == 400
+    assert op8_lattice.may_be_near(*op8_lattice.decoded(pa.array(op8_lattice.coded(u), pa.binary())), 0.93).sum() == 400
 
 
 def test_lattice_counts_pairs_whose_signs_differ(spark):
