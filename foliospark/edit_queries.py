@@ -9,7 +9,7 @@ from . import fixtures as X
 from .functions import prompts, shape, typeset
 from .operators import candidates as C
 from .operators import confidence as Q
-from .operators import calls, detect, export, glossary, incremental, presets, review, stages, vision
+from .operators import calls, detect, export, glossary, incremental, labelling, presets, review, stages, vision
 from .operators import history as H
 from .queries import AGG, EDITS, FLAGS, INTER, PAGE_H, PAGE_W, PICK, PROJECT_SQL, SERIES_SQL, _flags, _layers, _order, _order_sql, candidate_rows, query, regions, spans, unit_regions, units
 
@@ -694,3 +694,28 @@ def entity_delete(spark, d):
     for v in (0, 5, 10, 15, 20):
         rows = incremental.delete_where(rows, "v", v)
     return rows
+
+
+#: Documents as pages of 80 columns, a letter a pixel; ink is where some letters stand.
+INK_SQL = "select doc_id page_id, (k - 1) % 80 x, (k - 1) // 80 y from (select doc_id, text, unnest(range(1, length(text) + 1)) k from documents) t where contains('ou', substr(text, k, 1)) and substr(text, k, 1) <> ''"
+
+
+def _ink(spark, d) -> DataFrame:
+    letters = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "")).alias("k", "c"))
+    return letters.filter(F.col("c").isin("o", "u")).select("page_id", (F.col("k") % 80).alias("x"), F.floor(F.col("k") / 80).cast("int").alias("y"))
+
+
+@query(f"""with recursive p as materialized ({INK_SQL}),
+e as materialized (select p.page_id, p.x, p.y, q.x nx, q.y ny from p cross join (select a - 1 dx, b - 1 dy from range(3) a(a), range(3) b(b)) o join p q on q.page_id = p.page_id and q.x = p.x + o.dx and q.y = p.y + o.dy),
+r as (select page_id, x, y, y * 16777216 + x label from p union select e.page_id, e.nx, e.ny, r.label from r join e on e.page_id = r.page_id and e.x = r.x and e.y = r.y),
+l as (select page_id, x, y, min(label) first from r group by page_id, x, y),
+u as (select *, case when x = lag(x) over (partition by page_id, y order by x) + 1 then 0 else 1 end opens from l),
+c as (select page_id, first, count(*) area, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h, count(*) filter (opens = 1) runs, sum(x) sx, sum(y) sy from u group by page_id, first)
+select page_id, count(*) n, sum(area)::bigint ink, max(area) largest, sum(w * h)::bigint boxes, sum(runs)::bigint runs, max(round(1.0 * sx / area, 6)) mean_x, max(round(1.0 * sy / area, 6)) mean_y from c group by page_id""")
+def ink_components(spark, d):
+    found = labelling.labelled(_ink(spark, d))
+    each = labelling.blobs(found).join(found.groupBy("page_id", "label").agg(F.count("*").alias("runs")), ["page_id", "label"])
+    return each.groupBy("page_id").agg(
+        F.count("*").alias("n"), F.sum("area").alias("ink"), F.max("area").alias("largest"), F.sum(F.col("w") * F.col("h")).cast("long").alias("boxes"), F.sum("runs").alias("runs"),
+        F.max(F.round("mean_x", 6)).alias("mean_x"), F.max(F.round("mean_y", 6)).alias("mean_y"),
+    )
