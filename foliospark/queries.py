@@ -16,6 +16,7 @@ from .operators import confidence as Q
 from .operators import context, detect, export, glossary, grouping, history, incremental, ordering
 from .plans import dag, graph
 from .sources import archives
+from .sources.shared import settled
 from .streaming import review_stream
 
 PAGE_W, PAGE_H = 800.0, 1200.0
@@ -272,8 +273,14 @@ def ai_flags(spark, d):
   from ({AGG}) a left join ({FLAGS}) f on f.region_id = a.region_id where status <> 'ignore')
 select *, (row_number() over (order by not (low_confidence or ai_flagged), page_id, reading_order, region_id) - 1)::bigint place from q""")
 def review_queue(spark, d):
-    r = regions(spark, d)
-    return Q.review_queue(r, spans(spark, d), _flags(spark, d), r.select("page_id", "region_id", F.col("rn").alias("reading_order")))
+    """Regions are worked out once, as a table; spans, units and candidates follow from it."""
+    r = settled(regions(spark, d), "regions")
+
+    def over(sql: str) -> DataFrame:
+        return spark.sql(sql.replace(G, "select * from {g}"), g=r)
+
+    flags = Q.ai_flags(over(X.UNIT_REGIONS), over(X.CANDIDATES))
+    return Q.review_queue(r, over(X.SPANS), flags, r.select("page_id", "region_id", F.col("rn").alias("reading_order")))
 
 
 @query(f"""select p.page_id, coalesce(n_regions, 0) n_regions, coalesce(n_units, 0) n_units, coalesce(n_low, 0) n_low, coalesce(n_ai_flagged, 0) n_ai_flagged
