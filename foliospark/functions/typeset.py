@@ -1,7 +1,7 @@
 """Text fitted into boxes and outlines, with a font whose characters are all as wide as another.
 
-A character of size s is s / 2 wide and a line s high; a stroke adds its width on every side. Fitting to a box is a fold in
-the JVM; fitting to an outline, and painting, are numpy functions over one placement.
+A character of size s is s / 2 wide and a line s high; a stroke adds its width on every side. Fitting, to a box or to an
+outline, is a fold in the JVM; painting is a numpy function over one placement.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shape import band_inner, let
 from .text import wrapped
 
 
@@ -61,14 +62,46 @@ def _of_preset(name: Column, field: str) -> Column:
 
 
 LINE = "struct<line:string,x:long,y:long>"
+LAYOUT = f"struct<font_size:int,line_step:int,text_width:int,text_height:int,overflow:boolean,lines:array<{LINE}>>"
 
 
 def fitted(placements: DataFrame) -> DataFrame:
     """placements(.., text, w, h, preset) with font_size, line_step, text_width, text_height, overflow and lines.
 
     The largest size whose wrapped block lies inside the box's margins; if none does, the least one, with overflow.
-    lines have their places inside the box: aligned by the style, the block in the middle of the height.
+    lines have their places inside the box: aligned by the style, the block in the middle of the height. Where there is
+    a column outline (array of struct x, y, as x and y of the box) with three points or more, lines keep inside it.
     """
+    chars = F.greatest(F.lit(1), F.length(F.regexp_replace("text", r"\s+", "")))
+    out, more = _once(placements, "_chars", chars), ["_chars", "_b"]
+    layout = _in_box()
+    if "outline" in placements.columns:
+        out, shaped, made = _in_outline(out)
+        layout, more = F.when(F.size("outline") >= 3, shaped).otherwise(layout), [*more, *made]
+    out = _once(out, "_b", layout)
+    return out.withColumns({c: F.col(f"_b.{c}") for c in ("font_size", "line_step", "text_width", "text_height", "overflow", "lines")}).drop(*more)
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row: a generator keeps the optimizer from copying its expression."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def _sizes() -> Column:
+    return F.sequence(_of_preset(F.col("preset"), "max_size"), _of_preset(F.col("preset"), "min_size"), F.lit(-1))
+
+
+def _laid(done: Column, size: Column, step: Column, width: Column, height: Column, lines: Column) -> Column:
+    return F.struct(size.cast("int").alias("font_size"), step.cast("int").alias("line_step"), width.cast("int").alias("text_width"), height.cast("int").alias("text_height"), (~done).alias("overflow"), lines.alias("lines")).cast(LAYOUT)
+
+
+def _aside(free: Column) -> Column:
+    """How far from the left a line with so much room beside it stands."""
+    align = _of_preset(F.col("preset"), "align")
+    return F.when(align == "left", F.lit(0.0)).when(align == "right", free).otherwise(free / 2)
+
+
+def _in_box() -> Column:
     name = F.col("preset")
     pad, stroke, spacing = _of_preset(name, "padding"), _of_preset(name, "stroke"), _of_preset(name, "spacing")
     room_w, room_h = F.col("w") - 2 * pad, F.col("h") - 2 * pad
@@ -92,109 +125,129 @@ def fitted(placements: DataFrame) -> DataFrame:
         least = F.ceil(F.col("_chars") / per_line)
         height = z + 2 * stroke
         hopeless = (z > _of_preset(name, "min_size")) & (F.bround(height * spacing) * (least - 1) + height > room_h)
-        return F.when(s["done"] | hopeless, s).otherwise(F.get(F.transform(F.array(lines), measured), F.lit(0)))
+        return F.when(s["done"] | hopeless, s).otherwise(let(lines, measured))
 
     zero = F.struct(F.lit(False).alias("done"), *[F.lit(0).alias(n) for n in ("size", "step", "width", "height")], F.array().cast("array<string>").alias("lines")).cast(state)
-    best = F.aggregate(F.sequence(_of_preset(name, "max_size"), _of_preset(name, "min_size"), F.lit(-1)), zero, step)
-    chars = F.greatest(F.lit(1), F.length(F.regexp_replace("text", r"\s+", "")))
-    out = placements.withColumn("_chars", F.explode(F.array(chars))).withColumn("_b", F.explode(F.array(best))).drop("_chars")  # each once a row
-    align, size = _of_preset(name, "align"), F.col("_b.size")
-    top = pad + F.greatest(F.lit(0), F.floor((F.bround("h") - 2 * pad - F.col("_b.height")) / 2))
-    free = F.bround("w") - 2 * pad
-
-    def placed(line: Column, i: Column) -> Column:
-        left = free - (F.length(line) * size / F.lit(2.0) + 2 * stroke)
-        x = pad + F.when(align == "left", F.lit(0.0)).when(align == "right", left).otherwise(left / 2)
-        return F.struct(line.alias("line"), F.bround(x).cast("long").alias("x"), (top + i * F.col("_b.step")).cast("long").alias("y")).cast(LINE)
-
-    return out.withColumns({
-        "font_size": size, "line_step": F.col("_b.step"), "text_width": F.col("_b.width"), "text_height": F.col("_b.height"), "overflow": ~F.col("_b.done"),
-        "lines": F.transform("_b.lines", placed),
-    }).drop("_b")
-
-
-# outlines
-
-
-def span_at(outline: np.ndarray, y: float) -> tuple[float, float] | None:
-    """The outermost crossings of an outline (n, 2) with a line at y."""
-    a, b = outline, np.roll(outline, -1, axis=0)
-    hit = (np.minimum(a[:, 1], b[:, 1]) <= y) & (y < np.maximum(a[:, 1], b[:, 1]))
-    if len(outline) < 3 or hit.sum() < 2:
-        return None
-    a, b = a[hit], b[hit]
-    x = a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
-    return float(x.min()), float(x.max())
-
-
-def band(outline: np.ndarray, top: float, bottom: float, samples: int = 5) -> tuple[float, float]:
-    """What lies inside the outline on all of `samples` lines from top to bottom; (0, 0) if nothing does."""
-    found = [span_at(outline, top + (bottom - top) * i / (samples - 1)) for i in range(samples)]
-    if any(f is None for f in found):
-        return 0.0, 0.0
-    left, right = max(f[0] for f in found), min(f[1] for f in found)
-    return (left, right) if right > left else (0.0, 0.0)
-
-
-def wrapped_to(text: str, room: Callable[[int], float], advance: float, stroke: int) -> list[str]:
-    """Greedy lines where line i is at most room(i) wide; a word wider than its line is cut."""
-    lines: list[str] = []
-    now = ""
-    for word in text.split():
-        longer = f"{now} {word}" if now else word
-        if len(longer) * advance + 2 * stroke <= room(len(lines)):
-            now = longer
-            continue
-        if now:
-            lines.append(now)
-        here = room(len(lines))
-        if len(word) * advance + 2 * stroke > here:
-            n = max(1, int((max(1.0, here) - 2 * stroke) // advance))
-            *full, word = [word[i : i + n] for i in range(0, len(word), n)]
-            lines += full
-        now = word
-    return [*lines, now] if now or not lines else lines
 
+    def layout(s: Column) -> Column:
+        top = pad + F.greatest(F.lit(0), F.floor((F.bround("h") - 2 * pad - s["height"]) / 2))
+        free = F.bround("w") - 2 * pad
 
-@dataclass(frozen=True)
-class Layout:
-    font_size: int
-    lines: list[str]
-    bands: list[tuple[float, float]]
-    top: float
-    step: int
-    overflow: bool
+        def placed(line: Column, i: Column) -> Column:
+            x = pad + _aside(free - (F.length(line) * s["size"] / F.lit(2.0) + 2 * stroke))
+            return F.struct(line.alias("line"), F.bround(x).cast("long").alias("x"), (top + i * s["step"]).cast("long").alias("y")).cast(LINE)
+
+        return _laid(s["done"], s["size"], s["step"], s["width"], s["height"], F.transform(s["lines"], placed))
+
+    return let(F.aggregate(_sizes(), zero, step), layout)
 
 
-def fit_outline(text: str, w: float, h: float, style: Preset, outline: np.ndarray, passes: int = 4) -> Layout:
-    """The largest size at which text lies inside an outline given in the box's own coordinates.
+#: Times that a number of lines is worked out from the room that the number before leaves them.
+PASSES = 3
 
-    Lines and the bands they have depend on each other, so they are settled in a few passes.
+
+def _in_outline(rows: DataFrame) -> tuple[DataFrame, Column, list[str]]:
+    """rows with columns to work with, the layout inside the outline, and the names of these columns.
+
+    The room of a line depends on how many lines there are, and on nothing else of them. So what has to settle is a
+    number: from that of a wrap at the box's width, each next one is the number of lines in the room of the one before.
+    The lines are those in the room of the last number. Each step is a column with an entry for every size that is tried.
     """
-    room_h, pad = h - 2 * style.padding, style.padding
-    last = None
-    for size in range(style.max_size, style.min_size - 1, -1):
-        height, advance = size + 2 * style.stroke, size / 2
-        step = round(height * style.spacing)
-
-        def laid(n: int, height: int = height, step: int = step) -> tuple[float, float, list[tuple[float, float]]]:
-            block = step * (n - 1) + height if n else 0
-            top = pad + max(0.0, (room_h - block) / 2)
-            return block, top, [band(outline, top + i * step, top + i * step + height) for i in range(n)]
-
-        lines = wrapped_to(text, lambda i: max(1.0, w - 2 * pad), advance, style.stroke)
-        for _ in range(passes):
-            bands = laid(len(lines))[2]
-            new = wrapped_to(text, lambda i, b=bands: b[min(i, len(b) - 1)][1] - b[min(i, len(b) - 1)][0] - 2 * pad, advance, style.stroke)
-            if new == lines:
-                break
-            lines = new
-        block, top, bands = laid(len(lines))
-        fits = block <= room_h and all(r - l - 2 * pad > 0 and len(t) * advance + 2 * style.stroke <= r - l - 2 * pad for t, (l, r) in zip(lines, bands))
-        last = Layout(size, lines, bands, top, step, not fits)
-        if fits:
-            break
-    return last
+    for c in ("padding", "stroke", "spacing", "min_size"):
+        rows = _once(rows, f"_{c}", _of_preset(F.col("preset"), c))
+    rows = _once(rows, "_room_h", F.col("h") - 2 * F.col("_padding"))
+    pad, stroke, spacing, room_h, ws = F.col("_padding"), F.col("_stroke"), F.col("_spacing"), F.col("_room_h"), F.col("_words")
+    kind, span = "struct<lines:array<string>,cur:string>", "struct<l:double,r:double>"
+
+    def down(z: Column) -> Column:
+        return F.bround((z + 2 * stroke) * spacing).cast("int")
+
+    def wide(t: Column, z: Column) -> Column:
+        return F.length(t) * z / F.lit(2.0) + 2 * stroke
+
+    def block(z: Column, n: Column) -> Column:
+        return down(z) * (n - 1) + z + 2 * stroke
+
+    def top_of(z: Column, n: Column) -> Column:
+        return pad + F.greatest(F.lit(0.0), (room_h - block(z, n)) / 2)
+
+    def bands_of(z: Column, n: Column) -> Column:
+        nothing = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("r")).cast(span)
+
+        def one(y: Column) -> Column:
+            return F.coalesce(band_inner(F.col("_points"), y, y + z + 2 * stroke).cast(span), nothing)
+
+        return F.transform(let(F.struct(top_of(z, n).alias("a"), down(z).alias("b")), lambda t: F.transform(F.sequence(F.lit(0), n - 1), lambda i: t["a"] + i * t["b"])), one)
+
+    def rooms(bands: Column) -> Column:
+        return F.transform(bands, lambda r: r["r"] - r["l"] - 2 * pad)
+
+    def wrap(z: Column, room: Callable[[Column], Column]) -> Column:
+        """Greedy lines, line i at most room(i) wide; a word wider than its line is cut."""
+
+        def cut(lines: Column, t: Column) -> Column:
+            n = F.greatest(F.lit(1), F.floor((F.greatest(F.lit(1.0), room(F.size(lines))) - 2 * stroke) / (z / F.lit(2.0)))).cast("int")
+            parts = let(n, lambda k: F.transform(F.sequence(F.lit(0), F.ceil(F.length(t) / k).cast("int") - 1), lambda i: F.substring(t, i * k + 1, k)))
+            return let(parts, lambda c: F.struct(F.concat(lines, F.slice(c, 1, F.size(c) - 1)).alias("lines"), F.element_at(c, -1).alias("cur")).cast(kind))
+
+        def next_line(lines: Column, t: Column) -> Column:
+            whole = F.struct(lines.alias("lines"), t.alias("cur")).cast(kind)
+            return F.when(wide(t, z) <= room(F.size(lines)), whole).otherwise(cut(lines, t))
+
+        def step(s: Column, t: Column) -> Column:
+            longer = F.length(s["cur"]) + F.length(t) + F.when(s["cur"] == "", 0).otherwise(1)
+            joined = F.when(s["cur"] == "", t).otherwise(F.concat(s["cur"], F.lit(" "), t))
+            on = F.struct(s["lines"].alias("lines"), joined.alias("cur")).cast(kind)
+            closed = F.when(s["cur"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["cur"])))
+            return F.when(longer * z / F.lit(2.0) + 2 * stroke <= room(F.size(s["lines"])), on).otherwise(let(closed, lambda lines: next_line(lines, t)))
+
+        zero = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("cur")).cast(kind)
+        return F.aggregate(ws, zero, step, lambda s: F.concat(s["lines"], F.array(s["cur"])))
+
+    def in_room(s: Column) -> Column:
+        return wrap(s["z"], lambda i: F.get(s["rooms"], F.least(i, F.size(s["rooms"]) - 1)))
+
+    points = F.transform("outline", lambda p: F.struct((p["x"] - F.col("x")).alias("x"), (p["y"] - F.col("y")).alias("y")))
+    out = _once(rows, "_words", F.filter(F.split("text", r"\s+"), lambda t: t != ""))
+    out = _once(out, "_points", points)
+    # no line holds more than the outline's width does: sizes that need too many lines for that are not tried, but for the least
+    xs = F.transform("_points", lambda p: p["x"])
+    out = _once(out, "_across", F.array_max(xs) - F.array_min(xs) - 2 * pad - 2 * stroke)
+
+    def promising(z: Column) -> Column:
+        per_line = F.greatest(F.lit(1), F.floor(F.col("_across") / (z / F.lit(2.0))))
+        return (z == F.col("_min_size")) | (block(z, F.ceil(F.col("_chars") / per_line)) <= room_h)
+
+    tried = F.filter(_sizes(), promising)
+    out = _once(out, "_plain", F.greatest(F.lit(1.0), F.col("w") - 2 * pad))
+    plain = F.col("_plain")
+    out = _once(out, "_try", F.when(F.size("outline") >= 3, F.transform(tried, lambda z: F.struct(z.alias("z"), F.size(wrap(z, lambda i: plain)).alias("n")))))
+
+    def with_rooms(s: Column) -> Column:
+        return F.struct(s["z"].alias("z"), rooms(bands_of(s["z"], s["n"])).alias("rooms"))
+
+    for _ in range(PASSES):
+        out = _once(out, "_try", F.transform("_try", with_rooms))
+        out = _once(out, "_try", F.transform("_try", lambda s: F.struct(s["z"].alias("z"), F.size(in_room(s)).alias("n"))))
+    out = _once(out, "_try", F.transform("_try", with_rooms))
+    out = _once(out, "_try", F.transform("_try", lambda s: F.struct(s["z"].alias("z"), in_room(s).alias("lines"))))
+    out = _once(out, "_try", F.transform("_try", lambda s: F.struct(s["z"].alias("z"), s["lines"].alias("lines"), bands_of(s["z"], F.size(s["lines"])).alias("bands"))))
+
+    def fits(s: Column) -> Column:
+        rooms = F.zip_with(s["lines"], s["bands"], lambda t, r: (r["r"] - r["l"] - 2 * pad > 0) & (wide(t, s["z"]) <= r["r"] - r["l"] - 2 * pad))
+        return F.forall(rooms, lambda x: x) & (block(s["z"], F.size(s["lines"])) <= room_h)
+
+    out = _once(out, "_good", F.get(F.filter("_try", fits), F.lit(0)))  # sizes fall
+    out = _once(out, "_best", F.coalesce("_good", F.try_element_at("_try", F.lit(-1))))
+    best, z = F.col("_best"), F.col("_best.z")
+
+    def placed(p: Column, i: Column) -> Column:
+        x = p["band"]["l"] + pad + _aside(p["band"]["r"] - p["band"]["l"] - 2 * pad - wide(p["line"], z))
+        return F.struct(p["line"].alias("line"), F.bround(x).cast("long").alias("x"), F.bround(top_of(z, F.size(best["lines"])) + i * down(z)).cast("long").alias("y")).cast(LINE)
+
+    lines = F.transform(F.arrays_zip(best["lines"].alias("line"), best["bands"].alias("band")), placed)
+    width = F.bround(F.array_max(F.transform(best["lines"], lambda t: wide(t, z))))
+    return out, _laid(F.col("_good").isNotNull(), z, down(z), width, block(z, F.size(best["lines"])), lines), ["_padding", "_stroke", "_spacing", "_min_size", "_room_h", "_plain", "_words", "_points", "_across", "_try", "_good", "_best"]
 
 
 # painting

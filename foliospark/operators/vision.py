@@ -304,9 +304,8 @@ def mask_images(images: DataFrame, boxes: DataFrame, border: int = 4) -> DataFra
 
 
 def composite_images(images: DataFrame, placements: DataFrame) -> DataFrame:
-    """(page_id, png, overflow): images with fitted placements painted in order, those with an outline fitted to it.
+    """(page_id, png, overflow): images with placements, as typeset.fitted gives them, painted in the order of place.
 
-    placements as typeset.fitted gives them, with place; outline (array of struct x, y in page coordinates) may be null.
     overflow counts those that do not fit at their least size.
     """
     from ..functions import typeset
@@ -316,17 +315,7 @@ def composite_images(images: DataFrame, placements: DataFrame) -> DataFrame:
         over = 0
         for r in rows.sort_values("place").itertuples(index=False):
             style = typeset.PRESETS.get(r.preset, typeset.PRESETS["default"])
-            outline = getattr(r, "outline", None)
-            if outline is not None and len(outline) >= 3:
-                shape = np.array([[p["x"] - r.x, p["y"] - r.y] for p in outline], float)
-                fit = typeset.fit_outline(r.text, r.w, r.h, style, shape)
-                lines, size, full = [], fit.font_size, fit.overflow
-                for i, (t, (left, right)) in enumerate(zip(fit.lines, fit.bands)):
-                    free = right - left - 2 * style.padding - (len(t) * size / 2 + 2 * style.stroke)
-                    x = left + style.padding + {"left": 0.0, "right": free}.get(style.align, free / 2)
-                    lines.append((t, round(x), round(fit.top + i * fit.step)))
-            else:
-                lines, size, full = [(q["line"], q["x"], q["y"]) for q in r.lines], r.font_size, r.overflow
+            lines, size, full = [(q["line"], q["x"], q["y"]) for q in r.lines], r.font_size, r.overflow
             over += bool(full)
             out = typeset.painted(out, r.x, r.y, r.w, r.h, lines, size, style)
         return pd.DataFrame({"png": [encode_png(out)], "overflow": [over]})

@@ -1,5 +1,7 @@
 """Edits, stages, typesetting and the store on small cases with known results."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -164,7 +166,7 @@ def test_layouts(spark):
     for r in got:
         style = typeset.PRESETS.get(r["preset"], typeset.PRESETS["default"])
         for size in range(style.max_size, style.min_size - 1, -1):
-            lines = typeset.wrapped_to(r["text"], lambda i: max(1.0, r["w"] - 2 * style.padding), size / 2, style.stroke) or [""]
+            lines = greedy(r["text"], lambda i: max(1.0, r["w"] - 2 * style.padding), size / 2, style.stroke)
             tall = round((size + 2 * style.stroke) * style.spacing) * (len(lines) - 1) + size + 2 * style.stroke
             wide = round(max(len(x) for x in lines) * size / 2 + 2 * style.stroke)
             if wide <= r["w"] - 2 * style.padding and tall <= r["h"] - 2 * style.padding:
@@ -175,16 +177,82 @@ def test_layouts(spark):
         typeset.preset("nothing")
 
 
-def test_outline_fit():
-    diamond = np.array([[60.0, 0.0], [120.0, 60.0], [60.0, 120.0], [0.0, 60.0]])
-    square = np.array([[0.0, 0.0], [120.0, 0.0], [120.0, 120.0], [0.0, 120.0]])
-    style = typeset.PRESETS["whisper"]
-    a, b = (typeset.fit_outline("some words to lay out", 120, 120, style, p) for p in (diamond, square))
-    assert not a.overflow and not b.overflow and a.font_size < b.font_size
-    for line, (left, right) in zip(a.lines, a.bands):
-        assert len(line) * a.font_size / 2 <= right - left - 2 * style.padding
-    assert typeset.fit_outline("word" * 40, 120, 120, style, diamond).overflow
-    assert typeset.span_at(diamond, 60.0) == (0.0, 120.0) and typeset.span_at(diamond, 200.0) is None and typeset.band(diamond, 30.0, 90.0) == (30.0, 90.0)
+def greedy(text, room, advance, stroke):
+    """Lines of text, line i at most room(i) wide; a word wider than its line is cut."""
+    lines, held = [], []
+    for word in text.split():
+        if held and len(" ".join([*held, word])) * advance + 2 * stroke > room(len(lines)):
+            lines, held = [*lines, " ".join(held)], []
+        if not held:
+            while len(word) * advance + 2 * stroke > room(len(lines)):
+                n = max(1, int((max(1.0, room(len(lines))) - 2 * stroke) // advance))
+                start = room(len(lines))
+                pieces = [word[i : i + n] for i in range(0, len(word), n)]
+                assert start == room(len(lines))
+                lines, word = lines + pieces[:-1], pieces[-1]
+                break
+        held.append(word)
+    return [*lines, " ".join(held)]
+
+
+def in_outline(r, style):
+    """The layout of a placement inside its outline, by trying every size."""
+    points = [(p[0] - r["x"], p[1] - r["y"]) for p in r["outline"]]
+
+    def across(y):
+        xs = [ax + (y - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]) if min(ay, by) <= y < max(ay, by)]
+        return (min(xs), max(xs)) if len(xs) > 1 else None
+
+    for size in range(style.max_size, style.min_size - 1, -1):
+        tall, advance, room_h = size + 2 * style.stroke, size / 2, r["h"] - 2 * style.padding
+        step = round(tall * style.spacing)
+
+        def bands(n):
+            top = style.padding + max(0.0, (room_h - step * (n - 1) - tall) / 2)
+            out = []
+            for i in range(n):
+                cuts = [across(top + i * step + tall * k / 4) for k in range(5)]
+                left, right = (0.0, 0.0) if None in cuts else (max(c[0] for c in cuts), min(c[1] for c in cuts))
+                out.append((left, right) if right > left else (0.0, 0.0))
+            return top, out
+
+        def lines_in(n):
+            found = bands(n)[1]
+            return greedy(r["text"], lambda i: found[min(i, n - 1)][1] - found[min(i, n - 1)][0] - 2 * style.padding, advance, style.stroke)
+
+        n = len(greedy(r["text"], lambda i: max(1.0, r["w"] - 2 * style.padding), advance, style.stroke))
+        for _ in range(3):
+            n = len(lines_in(n))
+        lines = lines_in(n)
+        top, found = bands(len(lines))
+        rooms = [b - a - 2 * style.padding for a, b in found]
+        block = step * (len(lines) - 1) + tall
+        if block <= room_h and all(m > 0 and len(t) * advance + 2 * style.stroke <= m for t, m in zip(lines, rooms)) or size == style.min_size:
+            fits = block <= room_h and all(m > 0 and len(t) * advance + 2 * style.stroke <= m for t, m in zip(lines, rooms))
+            places = []
+            for i, (t, (a, _), m) in enumerate(zip(lines, found, rooms)):
+                free = m - (len(t) * advance + 2 * style.stroke)
+                places.append((t, round(a + style.padding + (0.0 if style.align == "left" else free / 2)), round(top + i * step)))
+            return size, step, round(max(len(t) * advance + 2 * style.stroke for t in lines)), block, not fits, places
+
+
+def test_outline_fit(spark):
+    rng = random.Random(8)
+    words = ["a", "some", "words", "to", "lay", "out", "unbreakable" * 3, "é漢字"]
+    rows = []
+    for i in range(60):
+        w, h = rng.choice([60.0, 120.0, 200.0]), rng.choice([40.0, 120.0, 180.0])
+        x, y = float(rng.randint(0, 50)), float(rng.randint(0, 50))
+        shape = rng.choice([[(0.5, 0), (1, 0.5), (0.5, 1), (0, 0.5)], [(0, 0), (1, 0), (1, 1), (0, 1)], [(0.5, 0), (1, 0.3), (1, 0.7), (0.5, 1), (0, 0.7), (0, 0.3)], [(0, 0), (1, 0), (0.5, 1)], [(0.2, 0), (0.8, 0), (1.3, 1), (-0.3, 1)], [(0, 0.5), (1, 0.5), (0.5, 0.5)]])
+        rows.append((i, " ".join(rng.choices(words, k=rng.randint(0, 9))), x, y, w, h, rng.choice(list(typeset.PRESETS)), [(x + a * w, y + b * h) for a, b in shape]))
+    rows += [(100, "no outline here", 0.0, 0.0, 90.0, 60.0, "default", None), (101, "two points", 0.0, 0.0, 90.0, 60.0, "default", [(0.0, 0.0), (1.0, 1.0)])]
+    df = spark.createDataFrame(rows, "id int, text string, x double, y double, w double, h double, preset string, outline array<struct<x:double,y:double>>")
+    got = {r["id"]: (r["font_size"], r["line_step"], r["text_width"], r["text_height"], r["overflow"], [tuple(q) for q in r["lines"]]) for r in typeset.fitted(df).collect()}
+    for r in df.filter("id < 100").collect():
+        assert got[r["id"]] == in_outline(r, typeset.PRESETS[r["preset"]]), r
+    plain = {r["id"]: (r["font_size"], [tuple(q) for q in r["lines"]]) for r in typeset.fitted(df.drop("outline")).collect()}
+    assert all((got[i][0], got[i][5]) == plain[i] for i in (100, 101))
+    assert sum(g[4] for g in got.values()) > 3 and sum(len(g[5]) > 1 for g in got.values()) > 20
 
 
 def test_masks_and_renders(spark):
@@ -197,7 +265,7 @@ def test_masks_and_renders(spark):
     text = spark.createDataFrame([(1, 0, "HI", 10.0, 10.0, 60.0, 40.0, "whisper"), (1, 1, "x" * 90, 0.0, 0.0, 12.0, 12.0, "default")], "page_id long, place int, text string, x double, y double, w double, h double, preset string")
     done = {r["page_id"]: (images.decode_png(r["png"]), r["overflow"]) for r in vision.composite_images(df, typeset.fitted(text)).collect()}
     assert done[1][1] == 1 and done[2][1] == 0 and done[1][0].shape == (60, 80, 3) and (done[1][0] == 60).any() and (done[2][0] == page[:, :, None]).all()
-    round_ = typeset.fitted(text.limit(1)).withColumn("outline", F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((40.0, 10.0), (70.0, 30.0), (40.0, 50.0), (10.0, 30.0))]))
+    round_ = typeset.fitted(text.limit(1).withColumn("outline", F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((40.0, 10.0), (70.0, 30.0), (40.0, 50.0), (10.0, 30.0))])))
     shaped = vision.composite_images(df.limit(1), round_).first()
     assert shaped["overflow"] == 0 and (images.decode_png(shaped["png"]) == 60).any()
 
