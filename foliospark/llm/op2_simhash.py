@@ -176,21 +176,21 @@ def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 def _with_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """(rep, hashes): the sets of shingles, as carried(), of classes(rep, first, a, b): first is the id of a text, a and b its digest.
 
-    Texts are found by their id, and where an id has several, the one of that digest counts.
+    Texts are found by their id alone, in a table of ids that is as small as it can be; where an id has several texts, the
+    digest of their sets tells them apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keep, data = [], []
-            for text, low, high in zip(b["text"], b["a"].to_pylist(), b["b"].to_pylist()):
-                h = shingle_set(text, shingle)
-                keep.append(_digest(h) == (low, high))
-                data.append(carried(h) if keep[-1] else None)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([b["rep"].filter(mask), pa.array(data, pa.binary()).filter(mask)], ["rep", "hashes"])
-
-    found = docs.select("doc_id", "text").join(classes.select("rep", F.col("first").alias("doc_id"), "a", "b"), "doc_id").select("rep", "a", "b", "text")
-    return found.mapInArrow(run, "rep long, hashes binary").groupBy("rep").agg(F.first("hashes").alias("hashes"))
+            sets = [shingle_set(text, shingle) for text in b["text"]]
+            low, high = zip(*map(_digest, sets)) if sets else ((), ())
+            columns = [b["doc_id"].cast(pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array([carried(h) for h in sets], pa.binary())]
+            yield pa.record_batch(columns, ["doc_id", "a", "b", "hashes"])
+
+    ids = written(classes.select(F.col("first").alias("doc_id")).distinct(), "first")
+    found = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(run, "doc_id long, a long, b long, hashes binary")
+    once = found.groupBy("doc_id", "a", "b").agg(F.first("hashes").alias("hashes"))
+    return once.join(classes.select("rep", F.col("first").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"]).select("rep", "hashes")
 
 
 def _tested(sets: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
