@@ -416,6 +416,22 @@ def test_packing(spark, sf_dir, odd, empty):
     assert op5_packing.pack_documents(empty, tokens.public_path()).count() == 0
 
 
+def test_packing_of_two_layouts(spark, sf_dir):
+    """However rows are dealt to tasks, every id is in one piece, a task pads one sequence, and documents are cut alike."""
+    docs, found = common.documents(spark, sf_dir), []
+    for n in (1, 6):
+        rows = op5_packing.pack_documents(docs.repartition(n), tokens.public_path()).collect()
+        used, where = collections.Counter(), collections.defaultdict(list)
+        for r in rows:
+            used[r["sequence_id"]] += r["length"]
+            where[r["doc_id"]].append((r["start"], r["length"]))
+        for parts in where.values():
+            assert all(s + k == t for (s, k), (t, _) in zip(sorted(parts), sorted(parts)[1:])) and min(parts)[0] == 0
+        assert sum(k < 2048 for k in used.values()) <= n and max(used.values()) <= 2048
+        found.append({d: sum(k for _, k in p) for d, p in where.items()})
+    assert found[0] == found[1]
+
+
 def packed_by_definition(lengths, capacity, longest):
     """Every part in descending length to the lowest-cost sequence with room, one by one."""
     n = -(-sum(lengths) // capacity)
