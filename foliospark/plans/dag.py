@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.keys import content_key_of
+from ..sources.shared import dropped, settled
 
 
 @dataclass(frozen=True)
@@ -97,5 +100,18 @@ class JsonState:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs that edges(src, dst) connect, by a recursive query."""
-    return edges.sparkSession.sql("with recursive c(src, dst) as (select src, dst from {e} union all select c.src, e.dst from c join {e} e on c.dst = e.src) select distinct src, dst from c", e=edges)
+    """(src, dst) of all pairs that edges(src, dst) connect, each once, in rounds of joins as many as the longest way; cycles end too.
+
+    A round leads on only from the pairs that the last one found. Each is a table in the shared folder, and no number of pairs is too many.
+    """
+    edges = settled(edges.select("src", "dst").distinct(), "edges")
+    step = edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
+    found = [edges]
+    while True:
+        met = found[-1].join(step, F.col("dst") == F.col("_at")).select("src", F.col("_to").alias("dst")).distinct()
+        had = reduce(DataFrame.union, found).toDF("_src", "_dst")
+        new = settled(met.join(had, F.col("src").eqNullSafe(F.col("_src")) & F.col("dst").eqNullSafe(F.col("_dst")), "left_anti"), "closure")
+        if not new.limit(1).count():
+            dropped(new)
+            return reduce(DataFrame.union, found)
+        found.append(new)

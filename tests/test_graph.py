@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from foliospark.plans import graph
+from foliospark.plans import dag, graph
 
 NODES, EDGES = "node string, own string", "src string, dst string"
 
@@ -87,3 +87,16 @@ def test_graphs_of_nothing_and_of_twins(spark):
     hub = spark.createDataFrame([("a", str(i)) for i in range(400)], EDGES)
     order, stuck = graph.peeled(spark.createDataFrame([("a", "")] + [(str(i), "") for i in range(400)], NODES), hub)
     assert order.groupBy("level").count().orderBy("level").collect() == [(0, 1), (1, 400)] and stuck.count() == 0
+
+
+def test_closures_of_cycles_and_long_chains(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 4}") for i in range(4)] + [("r0", "r1"), ("in", "r2"), (None, "in"), ("r3", None)]
+    got = [tuple(r) for r in dag.closure(spark.createDataFrame(ring, EDGES)).collect()]
+    rs = [f"r{i}" for i in range(4)]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in (*rs, "in", None) for b in (*rs, None)} | {(None, "in")}
+
+
+def test_a_closure_of_over_a_million_pairs(spark):
+    """A hub between many and many: the pairs are more than a recursive query may give."""
+    ends = spark.range(1050).selectExpr("concat('a', id) src", "'hub' dst").union(spark.range(1000).selectExpr("'hub' src", "concat('b', id) dst"))
+    assert dag.closure(ends).count() == 1050 * 1000 + 1050 + 1000
