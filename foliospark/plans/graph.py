@@ -1,9 +1,9 @@
 """Graphs of stages as tables: order, keys, cycles and closures in rounds of joins.
 
 nodes(node, own): a stage and what its own key depends on. edges(src, dst): dst depends on src. Node names are texts. A graph may have
-any number of nodes and edges; the number of rounds is the length of its longest chain. Each round joins the edges of the nodes that
-the last one finished and writes what is left as a table in the shared folder; sums are taken before the shuffle, so
-neither a node with many dependents nor one with many dependencies is gathered anywhere.
+any number of nodes and edges; the number of rounds is the length of its longest chain. Each round takes off the edges of the nodes that
+the last one finished and writes the nodes and edges that are left as tables in the shared folder, so later rounds read ever less; sums
+are taken before the shuffle, so neither a node with many dependents nor one with many dependencies is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -51,11 +51,13 @@ def peeled(nodes: DataFrame, edges: DataFrame, most: int = 100_000) -> tuple[Dat
     waits = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deps"))
     zero = [F.lit(0).cast("decimal(38,0)").alias(s) for s in _sums()]
     state = nodes.select("node", "own").join(waits, "node", "left").select("node", "own", F.coalesce("deps", F.lit(0)).alias("deps"), F.coalesce("deps", F.lit(0)).alias("waits"), *zero)
-    done, last, level = [], None, 0
+    done, used, last, level = [], [], None, 0
     while True:
         state = settled(state.withColumn("key", F.when(F.col("waits") == 0, _key())), "stages", "waits = 0")
+        dropped(*used)
         if last is not None:
             dropped(last)
+        used = []
         ready, last = state.filter("part"), state.filter("not part")
         last._shared_path = f"{state._shared_path}/part=false"
         if not ready.limit(1).count():
@@ -63,7 +65,10 @@ def peeled(nodes: DataFrame, edges: DataFrame, most: int = 100_000) -> tuple[Dat
         if level > most:
             raise RuntimeError(f"chains of over {most} stages")
         done.append(ready.select("node", F.lit(level).alias("level"), "key"))
-        sent = ready.select("node", "key").join(edges, F.col("node") == F.col("src")).select("dst", *[s.alias(c) for s, c in zip(_share(F.col("src"), F.col("key")), _sums())])
+        shares = ready.select("node", *[s.alias(c) for s, c in zip(_share(F.col("node"), F.col("key")), _sums())])  # once for a node
+        sent = edges.join(shares, F.col("node") == F.col("src")).select("dst", *_sums())
+        used.append(edges)
+        edges = settled(edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "edges")
         sent = sent.groupBy("dst").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"_{c}") for c in _sums()])
         left = last.join(sent, F.col("node") == F.col("dst"), "left")
         more = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast("decimal(38,0)").alias(c) for c in _sums()]

@@ -668,11 +668,10 @@ def graph_levels(spark, d):
 s as (select n.node from n join b on n.node = b.node where n.own <> b.own union select node from n where node like 'part %00' union select e.dst from s join e on e.src = s.node) select distinct node from s""")
 def graph_stale(spark, d):
     nodes, edges = X.frame(spark, d, STAGES), X.frame(spark, d, STAGE_EDGES)
-    before, _ = graph.peeled(X.frame(spark, d, BEFORE), edges)
+    # parts without a key are unknown then, so what depends on them was never run either
+    before, _ = graph.peeled(X.frame(spark, d, BEFORE).filter("node not like 'part %00'"), edges)
     now, _ = graph.peeled(nodes, edges)
-    # what depends on a part without a key was never run either
-    ran = before.join(graph.reached(edges, nodes.filter("node like 'part %00'")), "node", "left_anti")
-    return graph.stale(now, ran).select("node")
+    return graph.stale(now, before).select("node")
 
 
 @query(f"with recursive e as ({STAGE_EDGES}), r as (select 'part 3' node union select 'order 10' union select e.dst from r join e on e.src = r.node), b as (select 'nation 1' node union select 'nation 2' union select e.src from b join e on e.dst = b.node) select node from r where node in (select node from b)")

@@ -100,3 +100,14 @@ def test_a_closure_of_over_a_million_pairs(spark):
     """A hub between many and many: the pairs are more than a recursive query may give."""
     ends = spark.range(1050).selectExpr("concat('a', id) src", "'hub' dst").union(spark.range(1000).selectExpr("'hub' src", "concat('b', id) dst"))
     assert dag.closure(ends).count() == 1050 * 1000 + 1050 + 1000
+
+
+def test_edges_that_were_used_are_not_read_again(spark, monkeypatch):
+    """Rounds write what is left of the edges: together a bounded multiple of them where levels thin out."""
+    kept, real = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df, tag, part=None: (out := real(df, tag, part), kept.append(out.count()) if tag == "edges" else None)[0])
+    edges = [(f"p{i}", f"o{i % 7}") for i in range(200)] + [(f"o{i}", f"o{i + 1}") for i in range(6)]
+    names = sorted({n for e in edges for n in e})
+    order, stuck = graph.peeled(spark.createDataFrame([(n, "") for n in names], NODES), spark.createDataFrame(edges, EDGES))
+    assert {r["node"]: r["level"] for r in order.collect()} == walk(names, edges)[0] and stuck.count() == 0
+    assert kept[0] == 206 and kept[1:] == [6, 5, 4, 3, 2, 1, 0, 0][: len(kept) - 1]
