@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_null, discard, documents, free_name, prefix_sums, written
+from .common import as_null, discard, documents, free_name, prefix_sums, shared_path, written
 
 
 #: Places of a block in the fold of a bucket's permutation.
@@ -102,7 +102,7 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, seed: int = 42,
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     sizes = counted.select("d", copy.alias("copy")).groupBy(at(F.col("copy")).alias("_bucket")).agg(F.count("*").alias("_n"))
     bases = prefix_sums(sizes, [], "_bucket", "_n", "_base")
-    more = counted.filter("copies > 1").select("d", "copies")
+    more = written(counted.filter("copies > 1").select("d", "copies"), "copies")  # mostly few: the planner sees its size, and texts are not shuffled for it
     first = F.lit(1).cast("long")
     single = keyed.join(more, "d", "left_anti").select(at(first).alias("_bucket"), F.struct("d", first.alias("copy"), "r").alias("_row"))
     several = keyed.join(more, "d").groupBy("d", "copies").agg(F.first("r").alias("r")).select("d", "r", copy.alias("copy"))
@@ -115,12 +115,17 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, seed: int = 42,
     place = F.col("_base") + F.col("_at")
     out = placed.select(F.expr("_row.r.*"), F.pmod(place, F.lit(n_shards)).cast("int").alias("_shard"), F.floor(place / F.lit(n_shards)).alias("_slot"))
     out.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
-    discard(counted)
+    discard(counted, more)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 15 under the law rows. A null text has size 1 and the checksum of no byte."""
+    """All documents, texts and all, written to shards 0 to 15 under the law rows; the columns are read from the shards' files.
+
+    A null text has size 1 and the checksum of no byte.
+    """
+    docs, path = documents(spark, sf_dir), shared_path(spark, "shards")
+    write_shards(docs, path, 16)
+    made = spark.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, _slot long, _shard int").parquet(path)
     text = F.coalesce("text", F.lit(""))
-    records = documents(spark, sf_dir).select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    made = external_shuffle(records, 16, ["doc_id", "text_crc32", "size"])
-    return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), as_null("int").alias("grown_shard"))
+    size, crc = F.octet_length(text).cast("long") + 1, F.crc32(F.encode(text, "UTF-8"))
+    return made.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), as_null("int").alias("grown_shard"))

@@ -800,3 +800,14 @@ def test_mixing_over_many_buckets(spark):
         {r["doc_id"]: r["taken"] for r in op10_mixing.mix(df, op10_mixing.words_in(F.col("text")), ["doc_id"], bucket_rows=n).select("row.doc_id", "taken").collect()} for n in (4096, 1)
     )
     assert few == many and len(few) == 5000
+
+
+def test_sharding_is_read_from_shards_of_whole_documents(spark, sf_dir, monkeypatch):
+    from foliospark.llm import op6_sharding as op6
+
+    paths, real = [], op6.write_shards
+    monkeypatch.setattr(op6, "write_shards", lambda docs, path, *a: (paths.append(path), real(docs, path, *a)))
+    got = {(r["doc_id"], r["shard"], r["slot"]) for r in op6.op6_sharding(spark, sf_dir).collect()}
+    docs, shards = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(paths[0])
+    assert shards.select(docs.columns).exceptAll(docs).isEmpty() and shards.count() == docs.count()
+    assert {(r["doc_id"], r["_shard"], r["_slot"]) for r in shards.select("doc_id", "_shard", "_slot").collect()} == got
