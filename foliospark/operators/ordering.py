@@ -69,7 +69,7 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(F.arrays_zip(chunks.alias("t"), numbers.alias("n")), lambda z: F.concat(z["t"], F.coalesce(z["n"], F.lit("")))), "")
 
 
-def placed(rows: DataFrame, key: Column, place: str, then: list[str], first: int = 0, rows_of: int = 200_000, sample: int = 20_000) -> DataFrame:
+def placed(rows: DataFrame, key: Column, place: str, then: list[str | Column], first: int = 0, rows_of: int = 200_000, sample: int = 20_000) -> DataFrame:
     """rows with their place, from `first` on, by key and further columns, without one task for all of them.
 
     A sample of the keys, picked by their hash and of a bounded size, gives bounds of groups; ranks inside a group follow
