@@ -713,8 +713,7 @@ u as (select *, case when x = lag(x) over (partition by page_id, y order by x) +
 c as (select page_id, first, count(*) area, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h, count(*) filter (opens = 1) runs, sum(x) sx, sum(y) sy from u group by page_id, first)
 select page_id, count(*) n, sum(area)::bigint ink, max(area) largest, sum(w * h)::bigint boxes, sum(runs)::bigint runs, max(round(1.0 * sx / area, 6)) mean_x, max(round(1.0 * sy / area, 6)) mean_y from c group by page_id""")
 def ink_components(spark, d):
-    found = labelling.labelled(_ink(spark, d))
-    each = labelling.blobs(found).join(found.groupBy("page_id", "label").agg(F.count("*").alias("runs")), ["page_id", "label"])
+    each = labelling.blobs_of(_ink(spark, d))
     return each.groupBy("page_id").agg(
         F.count("*").alias("n"), F.sum("area").alias("ink"), F.max("area").alias("largest"), F.sum(F.col("w") * F.col("h")).cast("long").alias("boxes"), F.sum("runs").alias("runs"),
         F.max(F.round("mean_x", 6)).alias("mean_x"), F.max(F.round("mean_y", 6)).alias("mean_y"),

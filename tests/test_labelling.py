@@ -40,3 +40,26 @@ def test_components_are_what_a_flood_finds(spark, corners):
 
 def test_no_ink(spark):
     assert labelling.blobs(labelling.labelled(spark.createDataFrame([], "page_id long, x int, y int"))).count() == 0
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_components_over_several_tiles(spark, corners, monkeypatch):
+    """Tiles are labelled by themselves; what touches across their borders is one, and runs that they cut are whole."""
+    monkeypatch.setattr(labelling, "READ", 2000)
+    rng = random.Random(2)
+    s = labelling.SIDE
+    ink = {(1, s + rng.randrange(-30, 30), s + rng.randrange(-30, 30)) for _ in range(1500)}
+    ink |= {(2, x, 5) for x in range(2 * s + 9)} | {(2, 2 * s + 8, y) for y in range(s + 3)} | {(2, x, 7) for x in range(s - 4, s)} | {(2, x, 8) for x in range(s, s + 3)}
+    ink |= {(3, s - 1, s - 1), (3, s, s), (3, 0, 0), (3, s - 1, 1), (3, 0, 2), (3, s - 1, 3), (3, s - 2, 3), (3, 4, s - 1), (3, 4, s)}
+    df = spark.createDataFrame([*ink, *list(ink)[:500]], "page_id long, x int, y int").repartition(5)
+    want = flood(ink, corners)
+    runs = labelling.labelled(df, corners).collect()
+    covered = [(r["page_id"], x, r["y"]) for r in runs for x in range(r["x0"], r["x1"] + 1)]
+    assert len(covered) == len(ink) and set(covered) == ink
+    assert all((r["page_id"], r["x0"] - 1, r["y"]) not in ink and (r["page_id"], r["x1"] + 1, r["y"]) not in ink for r in runs)
+    for made in (labelling.blobs(labelling.labelled(df, corners)), labelling.blobs_of(df, corners)):
+        assert {(r["page_id"], r["label"]): (r["area"], r["x"], r["y"], r["w"], r["h"], round(r["mean_x"], 6), round(r["mean_y"], 6)) for r in made.collect()} == want
+    counted = {}
+    for r in runs:
+        counted[r["page_id"], r["label"]] = counted.get((r["page_id"], r["label"]), 0) + 1
+    assert {(r["page_id"], r["label"]): r["runs"] for r in labelling.blobs_of(df, corners).collect()} == counted
