@@ -127,8 +127,12 @@ def as_set(data: bytes) -> np.ndarray:
     return np.unique(out.view("<u8")[:, 0])
 
 
+def _hashes(text: pa.BinaryScalar | pa.StringScalar, shingle: int) -> np.ndarray:
+    return shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle)
+
+
 def shingle_set(text: pa.BinaryScalar | pa.StringScalar, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
+    return np.unique(_hashes(text, shingle))
 
 
 def minima(hashes: np.ndarray, lanes: int, chunk: int = 1 << 12) -> np.ndarray:
@@ -148,7 +152,7 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, a 128-bit digest (a, b) of the text's set of shingles, its size and the keys of its bands, of every row.
+    """doc_id, a 128-bit digest (a, b) of the text's set of shingles, its size, its fingerprint and the keys of its bands, of every row.
 
     A band is `rows` minima. tags has the low byte of each minimum. A set without shingles has no keys.
     """
@@ -158,19 +162,27 @@ def _sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         for b in slices(batches):
             out = []
             for text in b["text"]:
-                h = shingle_set(text, shingle)
+                every = _hashes(text, shingle)
+                fp, h = fingerprint(every), np.unique(every)
                 low, high = _digest(h)
                 if not len(h):
-                    out.append((low, high, 0, [], b""))
+                    out.append((low, high, 0, fp, [], b""))
                     continue
                 least = minima(h, lanes).astype("<u8")
                 keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(bands, rows))]
-                out.append((low, high, len(h), np.array(keys, np.uint64).view(np.int64), (least >> np.uint64(32)).astype(np.uint8).tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+                out.append((low, high, len(h), fp, np.array(keys, np.uint64).view(np.int64), (least >> np.uint64(32)).astype(np.uint8).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             columns = zip(*out) if out else [()] * len(kinds)
-            yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "a", "b", "size", "keys", "tags"])
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "a", "b", "size", "fp", "keys", "tags"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, size int, fp long, keys array<long>, tags binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, size int, keys array<long>, tags binary")
+def _near_marks(classes: DataFrame, radius: int) -> DataFrame:
+    """(u, v): each of classes(rep, fp) and the least of its fingerprint; and that one and the least that the covering masks bring it to."""
+    marks = written(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "marks")
+    alike = classes.select("fp", F.col("rep").alias("u")).join(marks, "fp").filter("u <> rep").select("u", F.col("rep").alias("v"))
+    return alike.union(link_fingerprints(marks, radius).select("u", "v"))
 
 
 def _with_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -278,13 +290,15 @@ def _similar(similarity: float):
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 3, limit: int = 1024, block_hashes: int = 1 << 19) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 3, limit: int = 1024, block_hashes: int = 1 << 19, radius: int = 3) -> DataFrame:
     """(doc_id, keep) of docs(doc_id, text) with an id: keep is the least id of the document's group.
 
-    Texts with one set of word shingles are a class; so are all null texts and those without a word. Classes meet in a
+    Texts with one set of word shingles are a class; so are all null texts and those without a word. Classes whose fingerprints
+    are equal, or at most `radius` bits apart, are brought together by the covering masks. As most pairs of 0.8 are
+    further apart, that is not all: classes also meet in a
     cell where all `rows` minima of one of `bands` bands of their sets agree, which a pair of similarity s does in
     none of them with a chance of (1 - s**rows)**bands: 4e-10 at 0.8. A link holds if the sets themselves share
-    `similarity` or more of their union. Each class of a cell is first tested with the least, so that large groups
+    `similarity` or more of their union. Each class is first tested with the least that the masks bring it to and with the least of each cell, so that large groups
     become components without all their pairs. Then the classes of a cell that have another there, of a different
     component, that sizes and minima do not rule out (a true pair with a chance of at most 1e-9) are compared, in
     blocks of at most about block_hashes shingles, and only links to the least class reached in a block leave it: no
@@ -293,11 +307,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     signs = written(_sets(docs, shingle, bands, rows), "signs")
-    classes = signs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags"))
+    classes = signs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("tags").alias("tags"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a name that two texts of one id do not share
     dealt = classes.select(F.explode("keys").alias("key"), "rep")
     least = dealt.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = written(dealt.join(least, "key").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "stars")
+    in_cells = dealt.join(least, "key").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    stars = written(_near_marks(classes.filter("size > 0"), radius).union(in_cells).distinct(), "stars")
     ids = stars.select(F.col("u").alias("rep")).union(stars.select("v")).distinct()
     wanted = written(classes.join(ids, "rep", "left_semi").select("rep", "first", "a", "b"), "ids")
     sets = written(_with_sets(docs, wanted, shingle), "sets")  # of all classes that meet another in a cell

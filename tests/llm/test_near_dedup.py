@@ -98,3 +98,16 @@ def test_texts_that_share_an_id_are_texts_of_their_own(spark):
     want = sorted((i, least[top(t or "")]) for i, t in rows if i is not None)
     got = op2_simhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
     assert sorted((r["doc_id"], r["keep"]) for r in got) == want
+
+
+def test_candidates_of_the_covering_masks(spark):
+    """Without any minima what the masks bring together is found, and only if the sets are similar."""
+    rng, texts = random.Random(5), []
+    for _ in range(20):
+        a = words(rng, 1500)
+        texts += [" ".join(a), " ".join(a[:-1] + words(rng, 1))]
+    marks = [op2_simhash.fingerprint(op2_simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    near = {2 * k + 1 for k in range(20) if ((marks[2 * k] ^ marks[2 * k + 1]) & (1 << 64) - 1).bit_count() <= 3}
+    assert len(near) > 10
+    got = kept(spark, [*texts, "one two", "three four", ""], bands=0)
+    assert got == {i: i - (i in near) for i in range(43)}
