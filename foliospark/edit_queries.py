@@ -638,14 +638,21 @@ def panels(spark, d):
 
     from .sources.images import encode_png
 
-    def paint(frames: pd.DataFrame) -> pd.DataFrame:
-        page = np.full((600, 400), 255, np.uint8)
-        for x, y, w, h in frames[["x", "y", "w", "h"]].astype(int).itertuples(index=False, name=None):
-            page[y : y + h, x : x + w] = 0
-            page[y + 3 : y + h - 3, x + 3 : x + w - 3] = 255
-        return pd.DataFrame({"page_id": frames["page_id"].iloc[:1], "png": [encode_png(page)]})
-
-    pages = X.frame(spark, d, FRAMES).groupBy("page_id").applyInPandas(paint, "page_id long, png binary")
+    def paint(batches):
+        for b in batches:
+            for i in range(0, len(b), vision.TOGETHER):
+                some, made = b.iloc[i : i + vision.TOGETHER], []
+                for frames in some["frames"]:
+                    page = np.full((600, 400), 255, np.uint8)
+                    for f in frames:
+                        x, y, w, h = int(f["x"]), int(f["y"]), int(f["w"]), int(f["h"])
+                        page[y : y + h, x : x + w] = 0
+                        page[y + 3 : y + h - 3, x + 3 : x + w - 3] = 255
+                    made.append(encode_png(page, 1))
+                yield pd.DataFrame({"page_id": some["page_id"], "png": made})
+
+    listed = X.frame(spark, d, FRAMES).groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("frames"))
+    pages = listed.mapInPandas(paint, "page_id long, png binary")
     return vision.over_images(pages, vision.panels, "x double, y double, w double, h double")
 
 

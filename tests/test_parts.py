@@ -5,6 +5,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,11 @@ def test_store_rules(spark):
     spans = spark.createDataFrame([("r1", 0, "x", 0.5, "det"), ("r2", 0, "y", 0.5, "ocr"), ("r3", 0, "z", 0.5, "det")], "region_id string, seq int, text string, confidence double, source string")
     adopted, rest = incremental.adopt_spans(regions, spans, "det")
     assert [r["region_id"] for r in adopted.collect()] == ["r1"] and [r["region_id"] for r in rest.collect()] == ["r2"]
+
+
+def test_rows_of_several_pages_leave_together(spark):
+    """One frame of rows for many pages, whatever each has; pages without rows are in none."""
+    pages = spark.createDataFrame([(k, images.encode_png(np.full((5, 4), k, np.uint8), 1)) for k in range(7)], "page_id long, png binary").coalesce(1)
+    sizes = lambda a: pd.DataFrame({"v": [int(a[0, 0])] * int(a[0, 0] % 3)})
+    got = sorted(tuple(r) for r in vision.over_images(pages, sizes, "v long").collect())
+    assert got == [(k, k) for k in range(7) for _ in range(k % 3)] and vision.TOGETHER > 1
