@@ -32,3 +32,11 @@ def test_same_rows(name, spark, sf_dir, duck):
     assert columns == sorted(want.columns)
     assert len(got)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_units_come_from_their_candidates_in_one_aggregation(spark, sf_dir):
+    """What is picked is not joined to the candidates again."""
+    from foliospark.queries import units
+
+    plan = units(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "MergeJoin" not in plan
