@@ -11,7 +11,7 @@ from .operators import candidates as C
 from .operators import confidence as Q
 from .operators import calls, detect, export, glossary, incremental, labelling, presets, review, stages, vision
 from .operators import history as H
-from .queries import AGG, EDITS, FLAGS, INTER, PAGE_H, PAGE_W, PICK, PROJECT_SQL, SERIES_SQL, _flags, _layers, _order, _order_sql, candidate_rows, query, regions, spans, unit_regions, units
+from .queries import AGG, EDITS, FLAGS, INTER, PAGE_H, PAGE_W, PICK, PROJECT_SQL, SERIES_SQL, _flags, _layers, _order, _order_sql, candidate_rows, picked, query, regions, spans, unit_regions, units
 
 G = X.REGIONS
 #: Reading order of regions: the input order.
@@ -24,11 +24,11 @@ def ordered(spark, d) -> DataFrame:
     return X.frame(spark, d, ORDERED)
 
 
-def full_units(spark, d) -> DataFrame:
-    """Units with their regions as an array."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "region_id"))), lambda s: s["region_id"])
-    listed = unit_regions(spark, d).groupBy("page_id", "unit_id").agg(ids.alias("ordered_region_ids"))
-    return units(spark, d).join(listed, ["page_id", "unit_id"]).select("page_id", "unit_id", "ordered_region_ids", "candidates", "selected")
+def full_units(spark, d, frame=X.frame, **columns) -> DataFrame:
+    """Units with their regions as an array: regions and candidates are gathered together, not joined."""
+    placed = frame(spark, d, X.UNIT_REGIONS, **columns).select("page_id", "unit_id", F.struct("pos", "region_id").alias("_r"))
+    ids = F.transform(F.array_sort(F.collect_list("_r")), lambda s: s["region_id"])
+    return picked(frame(spark, d, X.CANDIDATES, **columns), ids.alias("ordered_region_ids"), beside=placed).select("page_id", "unit_id", "ordered_region_ids", "candidates", "selected")
 
 
 def _pick(sql: str) -> str:
@@ -251,9 +251,9 @@ def snapshot_restore(spark, d):
 
 @query(f'select page_id, unit_id, {CANDS.format("c")} candidates, sel selected, array_to_string(ids, \',\') ids from ({LISTED}) l')
 def snapshot_units(spark, d):
-    u = full_units(spark, d)
-    saved = review.snapshots(regions(spark, d), spans(spark, d), u)
-    back = review.restored(regions(spark, d), spans(spark, d), u.filter("page_id % 2 = 0"), saved).units
+    r, s, u = X.shared(spark, d, X.REGIONS), X.shared(spark, d, X.SPANS), full_units(spark, d, X.shared)
+    saved = review.snapshots(r, s, u)
+    back = review.restored(r, s, u.filter("page_id % 2 = 0"), saved).units
     return _cands(back, "page_id", F.array_join("ordered_region_ids", ",").alias("ids")).select("page_id", "unit_id", "candidates", "selected", "ids")
 
 

@@ -6,6 +6,7 @@ Each text names its source table in braces; Spark binds a DataFrame to it, DuckD
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Regions of pages: boxes, types, states, confidences. rn is the input order within a page.
 REGIONS = """
@@ -77,3 +78,24 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The text as a DataFrame over the tables of sf_dir."""
     used = [t for t in TABLES if "{" + t + "}" in sql]
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
+#: What REGIONS calls the columns of lineitem.
+NAMES = {"l_orderkey": "page_id", "l_partkey": "pk", "l_suppkey": "sk", "l_linenumber": "ln", "l_quantity": "qty", "l_discount": "disc"}
+
+
+def shared(spark: SparkSession, sf_dir: str, sql: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """As frame() for a text over REGIONS; all tables of a query that come from here share one shuffle of lineitem.
+
+    Columns are renamed before the window, which would shuffle a column under both of its names and leave it unknown that pages are
+    dealt by page_id. Regions are gathered by page and dealt out again: nothing is pruned from what is gathered, so the
+    shuffles are alike and Spark runs one of them, and all that keeps page_id stays where its page is.
+    columns: just these of the regions.
+    """
+    text = REGIONS
+    for old, new in NAMES.items():
+        text = text.replace(f"{old} {new}", new).replace(old, new)
+    g = spark.sql(text, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnsRenamed(NAMES))
+    pages = g.groupBy("page_id").agg(F.collect_list(F.struct(*(columns or [c for c in g.columns if c != "page_id"]))).alias("rows"))
+    g = pages.select("page_id", F.explode("rows").alias("r")).select("page_id", "r.*")
+    return spark.sql(sql.replace(REGIONS, "select * from {g}"), g=g)

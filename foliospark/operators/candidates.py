@@ -8,13 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pages import met
+
 AI_KINDS = ("ai", "literal", "natural")
 
 
-def gathered(candidates: DataFrame, *more: Column) -> DataFrame:
-    """(page_id, unit_id, candidates) from one row a candidate, in the order of ord; more are further aggregates of a unit's rows."""
+def gathered(candidates: DataFrame, *more: Column, beside: DataFrame | None = None) -> DataFrame:
+    """(page_id, unit_id, candidates) from one row a candidate, in the order of ord; more are further aggregates of a unit's rows.
+
+    beside(page_id, unit_id, ...): rows that are no candidates and have no ord, for more.
+    """
     item = F.struct("ord", F.struct(F.col("candidate_id").alias("id"), "kind", "text", F.col("confidence").cast("double").alias("confidence")).alias("c"))
-    return candidates.groupBy("page_id", "unit_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["c"]).alias("candidates"), *more)
+    if beside is not None:
+        item = F.when(F.col("ord").isNotNull(), item)
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda s: s["c"]).alias("candidates")
+    return met(["page_id", "unit_id"], [candidates] if beside is None else [candidates, beside], listed, *more)
 
 
 def candidate(id_: Column, kind: str, text: Column, confidence: Column | None = None) -> Column:

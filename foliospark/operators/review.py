@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import candidates as C
 from . import confidence as Q
+from .pages import met
 
 ORDER_LAST = 1 << 30
 STATUSES = ("auto", "correct", "needs_review", "ignore", "manual")
@@ -296,11 +297,12 @@ def snapshots(regions: DataFrame, spans: DataFrame, units: DataFrame) -> DataFra
     parts = []
     for name, table, order in (("regions", regions, ["region_id"]), ("spans", spans, ["region_id", "seq"]), ("units", units, ["unit_id"])):
         item = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.struct(*[c for c in table.columns if c != "page_id"]).alias("r"))
-        rows = F.transform(F.array_sort(F.collect_list(item)), lambda s: s["r"])
-        parts.append(table.groupBy("page_id").agg(F.to_json(rows).alias(name)))
-    joined = parts[0].join(parts[1], "page_id", "full").join(parts[2], "page_id", "full")
-    fields = [F.concat(F.lit(f'"{n}":'), F.coalesce(n, F.lit("[]"))) for n in ("regions", "spans", "units")]
-    return joined.select("page_id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("snapshot"))
+        parts.append(table.select("page_id", item.alias(name)))
+    # a page's rows of all tables meet in one aggregation: a full join of the texts would shuffle them once more
+    listed = lambda n: F.to_json(F.transform(F.array_sort(F.collect_list(n)), lambda s: s["r"]))
+    pages = met(["page_id"], parts, *[listed(n).alias(n) for n in ("regions", "spans", "units")])
+    fields = [F.concat(F.lit(f'"{n}":'), n) for n in ("regions", "spans", "units")]
+    return pages.select("page_id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("snapshot"))
 
 
 def restored(regions: DataFrame, spans: DataFrame, units: DataFrame, saved: DataFrame) -> Edited:

@@ -52,10 +52,14 @@ def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
     return X.frame(spark, d, X.CANDIDATES)
 
 
-def units(spark: SparkSession, d: str) -> DataFrame:
-    """Units with their candidates as an array, and the one picked."""
+def picked(rows: DataFrame, *more, beside: DataFrame | None = None) -> DataFrame:
+    """Units with their candidates as an array, and the one picked; more are further aggregates of their rows and those beside."""
     selected = F.when(F.col("picked") != "none", F.concat("unit_id", F.lit("_"), "picked"))
-    return C.gathered(candidate_rows(spark, d), F.first("picked").alias("picked")).withColumn("selected", selected).drop("picked")
+    return C.gathered(rows, F.first("picked", ignorenulls=True).alias("picked"), *more, beside=beside).withColumn("selected", selected).drop("picked")
+
+
+def units(spark: SparkSession, d: str) -> DataFrame:
+    return picked(candidate_rows(spark, d))
 
 
 G = X.REGIONS

@@ -40,3 +40,28 @@ def test_units_come_from_their_candidates_in_one_aggregation(spark, sf_dir):
 
     plan = units(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "HashJoin" not in plan and "MergeJoin" not in plan
+
+
+def shuffled(plan):
+    """What each shuffle of a plan's text has below it."""
+    lines = [(len(x) - len(x.lstrip(" :+-*")), x) for x in plan.split("\n") if x.strip()]
+    for i, (depth, line) in enumerate(lines):
+        if " Exchange hashpartitioning" in line:
+            below = next((j for j in range(i + 1, len(lines)) if lines[j][0] <= depth), len(lines))
+            yield line, "\n".join(x for _, x in lines[i + 1 : below])
+
+
+@pytest.fixture
+def joins_shuffle(spark):
+    """No table of the small inputs is broadcast, only literal ones."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["snapshot_units"])
+def test_only_tables_as_read_are_shuffled(name, spark, sf_dir, joins_shuffle):
+    """Everything derived from lineitem stays where its page is."""
+    found = list(shuffled(QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()))
+    assert found and all("hashpartitioning(page_id" in line and line.count("#") == 1 for line, _ in found)
+    assert not any(x in below for _, below in found for x in ("Aggregate", "Join", "Window", "Union", "Exchange"))
