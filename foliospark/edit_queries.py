@@ -222,7 +222,9 @@ left join (select page_id, count(*) n, string_agg(region_id || ':' || type || ':
 left join (select page_id, count(*) n, string_agg(unit_id || ':' || coalesce(list_filter(c, lambda x: x.id = sel)[1].text, '') || ':' || len(c)::varchar || ':' || len(ids)::varchar, ';' order by unit_id) units from ({LISTED}) l group by page_id) u on u.page_id = o.o_orderkey""")
 def page_views(spark, d):
     pages = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("page_id"), (F.col("o_orderkey") % 7).alias("rev"))
-    view = review.page_views(pages, ordered(spark, d), spans(spark, d), full_units(spark, d), _flags(spark, d))
+    r, s = X.shared(spark, d, ORDERED), X.shared(spark, d, X.SPANS)
+    flags = Q.ai_flags(X.shared(spark, d, X.UNIT_REGIONS), X.shared(spark, d, X.CANDIDATES), paged=True)
+    view = review.page_views(pages, r, s, full_units(spark, d, X.shared), flags)
     text = lambda b: b.cast("string")
     region = lambda r: F.concat_ws(":", r["region_id"], r["type"], F.coalesce(F.round(r["confidence"] * 10).cast("int").cast("string"), F.lit("")), text(r["low_confidence"]), text(r["ai_flagged"]), F.coalesce(F.array_join(F.transform(r["ocr"], lambda o: o["text"]), "|"), F.lit("")))
     unit = lambda u: F.concat_ws(":", u["unit_id"], u["translation"], F.size(u["candidates"]).cast("string"), F.size(u["ordered_region_ids"]).cast("string"))

@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import met
+
 THRESHOLD = 0.5
 ORDER_LAST = 1 << 30
 
@@ -37,8 +39,17 @@ def flag_low(regions: DataFrame, spans: DataFrame, threshold: float = THRESHOLD)
     return found.withColumn("status", status)
 
 
-def ai_flags(unit_regions: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(region_id, ai_confidence, ai_flagged) of regions whose unit has an AI candidate; the last unit wins."""
+def ai_flags(unit_regions: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, paged: bool = False) -> DataFrame:
+    """(region_id, ai_confidence, ai_flagged) of regions whose unit has an AI candidate; the last unit wins.
+
+    paged: with page_id, and units are looked up within their page.
+    """
+    if paged:
+        ai = candidates.filter("kind = 'ai'").select("page_id", "unit_id", F.struct("ord", F.struct("confidence").alias("c")).alias("_a"))
+        units = met(["page_id", "unit_id"], [unit_regions.select("page_id", "unit_id", "region_id"), ai], F.collect_list("region_id").alias("ids"), F.min_by("_a.c", "_a.ord").alias("c"))
+        rows = units.filter("c is not null").select("page_id", "unit_id", "c", F.explode("ids").alias("region_id"))
+        last = rows.groupBy("page_id", "region_id").agg(F.max_by("c", "unit_id").alias("c"))
+        return last.select("page_id", "region_id", F.col("c.confidence").alias("ai_confidence"), is_low(F.col("c.confidence"), threshold).alias("ai_flagged"))
     first = candidates.filter("kind = 'ai'").groupBy("unit_id").agg(F.min_by(F.struct("confidence"), "ord").alias("c"))
     joined = unit_regions.join(first, "unit_id")
     last = joined.groupBy("region_id").agg(F.max_by("c", "unit_id").alias("c"))

@@ -275,10 +275,16 @@ def unit_views(units: DataFrame, log: DataFrame | None = None) -> DataFrame:
 def page_views(pages: DataFrame, regions: DataFrame, spans: DataFrame, units: DataFrame, flags: DataFrame, log: DataFrame | None = None, threshold: float = Q.THRESHOLD) -> DataFrame:
     """(page_id, rev, regions, units) of pages(page_id, rev): regions in reading order with spans, confidence and flags.
 
-    A page bounds its arrays. to_json of a row is what an editor loads.
+    A page bounds its arrays. to_json of a row is what an editor loads. Flags that have page_id are looked up within the page.
     """
-    texts = spans.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "confidence"))).alias("ocr"))
-    found = Q.region_confidence(regions, spans).join(texts, "region_id", "left").join(flags, "region_id", "left")
+    seen = spans.select("page_id", "region_id", F.struct("seq", "text", "confidence").alias("_s"))
+    marked = [flags.select("page_id", "region_id", F.struct("ai_confidence", "ai_flagged").alias("_f"))] if "page_id" in flags.columns else []
+    mine = regions.select("page_id", "region_id", F.struct("type", "reading_order", "status", "confidence", "x", "y", "w", "h").alias("_r"))
+    texts = F.array_sort(F.collect_list("_s"))
+    found = met(["page_id", "region_id"], [mine, seen, *marked], F.collect_list("_r").alias("_r"), F.when(F.count("_s") > 0, texts).alias("ocr"), F.min("_s.confidence").alias("_least"), *([F.first("_f", ignorenulls=True).alias("_f")] if marked else []))
+    found = found.select("page_id", "region_id", "ocr", "_least", *(["_f.*"] if marked else []), F.explode("_r").alias("_r")).select("*", "_r.*").withColumn("agg_confidence", F.least("confidence", "_least"))
+    if not marked:
+        found = found.join(flags, "region_id", "left")
     low = Q.is_low(F.col("agg_confidence"), threshold)
     item = F.struct(
         F.coalesce("reading_order", F.lit(ORDER_LAST)).alias("_o"), F.col("region_id").alias("_id"),
