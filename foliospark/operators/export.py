@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from . import candidates as C
+from .pages import met
 
 #: Text style by region type; others have the default one.
 TYPE_PRESETS = {"sfx": "shout", "narration": "caption", "caption": "caption", "side_text": "whisper"}
@@ -61,16 +62,26 @@ def transcript(unit_regions: DataFrame, spans: DataFrame, units: DataFrame, orde
 def lineage(unit_regions: DataFrame, regions: DataFrame, spans: DataFrame, units: DataFrame, order: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """(page_id, mapping): units of a page in order with their regions, spans, candidates and edits, as JSON.
 
-    Regions that are not there are left out. log(unit_id, seq, action, before, after, editor) may be missing.
+    Regions that are not there are left out. log(unit_id, seq, action, before, after, editor) may be missing; with page_id its
+    edits are looked up within the page.
     """
-    with_spans = regions.join(spans.select("region_id", "seq", "text", F.col("confidence").alias("span_confidence")), "region_id", "left")
-    with_spans = with_spans.groupBy("region_id", "x", "y", "w", "h", "type", "status").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "text", F.col("span_confidence").alias("confidence"))))), lambda s: F.struct(s["text"].alias("text"), s["confidence"].alias("confidence"))).alias("spans")
-    )
-    joined = unit_regions.join(with_spans, "region_id")
-    per_unit = joined.groupBy("page_id", "unit_id").agg(F.array_sort(F.collect_list(F.struct("pos", "region_id", "type", "status", "x", "y", "w", "h", "spans"))).alias("regions"))
-    full = per_unit.join(unit_ranks(unit_regions, order), ["page_id", "unit_id"]).join(units.select("unit_id", "candidates", "selected"), "unit_id", "left")
-    if log is not None:
+    # what belongs to a region, then what belongs to a unit, meets in one aggregation of the page: joins by id would shuffle it all again
+    mine = regions.select("page_id", "region_id", F.struct("type", "status", "x", "y", "w", "h").alias("_r"))
+    seen = spans.select("page_id", "region_id", F.struct("seq", "text", "confidence").alias("_s"))
+    placed = order.select("page_id", "region_id", F.col("reading_order").alias("_o"))
+    used = unit_regions.select("page_id", "region_id", F.struct("unit_id", "pos").alias("_u"))
+    texts = F.transform(F.array_sort(F.collect_list("_s")), lambda s: F.struct(s["text"].alias("text"), s["confidence"].alias("confidence")))
+    found = met(["page_id", "region_id"], [used, mine, seen, placed], F.collect_list("_u").alias("_u"), F.first("_r", ignorenulls=True).alias("_r"), texts.alias("spans"), F.min("_o").alias("_o"))
+    rows = found.select("page_id", "region_id", "_r", "spans", "_o", F.explode("_u").alias("_u")).select("*", "_u.*")
+    region = F.when(F.col("_r").isNotNull(), F.struct("pos", "region_id", "_r.type", "_r.status", "_r.x", "_r.y", "_r.w", "_r.h", "spans"))
+    parts = [rows.select("page_id", "unit_id", region.alias("_r"), F.when(F.col("_o").isNotNull(), F.struct("pos", "_o")).alias("_o")), units.select("page_id", "unit_id", F.struct("candidates", "selected").alias("_c"))]
+    edits, paged = [], log is not None and "page_id" in log.columns
+    if paged:
+        parts.append(log.select("page_id", "unit_id", F.struct("seq", "action", "before", "after", "editor").alias("_e")))
+        edits = [F.when(F.count("_e") > 0, F.array_sort(F.collect_list("_e"))).alias("edits")]
+    listed = F.array_sort(F.collect_list("_r")).alias("regions")
+    full = met(["page_id", "unit_id"], parts, listed, F.min("_o")["_o"].alias("rank"), F.first("_c", ignorenulls=True).alias("_c"), *edits).filter(F.size("regions") > 0).select("*", "_c.*")
+    if log is not None and not paged:
         edits = F.array_sort(F.collect_list(F.struct("seq", "action", "before", "after", "editor")))
         full = full.join(log.groupBy("unit_id").agg(edits.alias("edits")), "unit_id", "left")
     item = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "unit_id", "regions", "candidates", "selected", *(["edits"] if log is not None else []))

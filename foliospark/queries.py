@@ -527,8 +527,9 @@ join (select unit_id, array_to_string(list_transform(c, lambda x: x.id || '=' ||
 left join (select unit_id, string_agg(seq::varchar || ':' || "after", '|' order by seq) edits from ({EDITS}) e group by unit_id) e on e.unit_id = u.unit_id""")
 def lineage(spark, d):
     # the nested mapping, flattened again: JSON text of doubles differs between engines
-    log = X.frame(spark, d, EDITS).withColumns({"action": F.lit("edit_translation"), "before": F.lit(""), "editor": F.lit("user")})
-    made = export.lineage(unit_regions(spark, d), regions(spark, d), spans(spark, d), units(spark, d), _order(spark, d), log)
+    table = lambda sql: X.shared(spark, d, sql)
+    log = table(EDITS.replace("select unit_id,", "select page_id, unit_id,", 1)).withColumns({"action": F.lit("edit_translation"), "before": F.lit(""), "editor": F.lit("user")})
+    made = export.lineage(table(X.UNIT_REGIONS), table(X.REGIONS), table(X.SPANS), picked(table(X.CANDIDATES)), table(ORDERED), log)
     span, cand, edit = "struct<text:string>", "struct<id:string,text:string>", "struct<seq:int,after:string>"
     region = f"struct<pos:int,region_id:string,type:string,status:string,x:double,y:double,w:double,h:double,spans:array<{span}>>"
     kind = f"array<struct<rank:int,unit_id:string,regions:array<{region}>,candidates:array<{cand}>,selected:string,edits:array<{edit}>>>"

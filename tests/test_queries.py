@@ -59,7 +59,7 @@ def joins_shuffle(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["snapshot_units", "snapshot_restore", "page_views"])
+@pytest.mark.parametrize("name", ["snapshot_units", "snapshot_restore", "page_views", "lineage"])
 def test_only_tables_as_read_are_shuffled(name, spark, sf_dir, joins_shuffle):
     """Everything derived from lineitem stays where its page is."""
     found = list(shuffled(QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()))
