@@ -65,3 +65,10 @@ def test_only_tables_as_read_are_shuffled(name, spark, sf_dir, joins_shuffle):
     found = list(shuffled(QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()))
     assert found and all("hashpartitioning(page_id" in line and line.count("#") == 1 for line, _ in found)
     assert not any(x in below for _, below in found for x in ("Aggregate", "Join", "Window", "Union", "Exchange"))
+
+
+def test_translations_are_shuffled_without_what_is_on_their_page(spark, sf_dir, joins_shuffle):
+    """Besides tables as read, just what a search made is shuffled, by page; nothing goes by unit or region."""
+    found = list(shuffled(QUERIES["translate_stage"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()))
+    assert found and all("hashpartitioning(page_id" in line and line.count("#") == 1 for line, _ in found)
+    assert not any(x in below for line, below in found if "REPARTITION" not in line for x in ("Aggregate", "Join", "Window", "Union", "Exchange"))
